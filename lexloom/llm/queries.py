@@ -8,9 +8,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import languages, lookalikes
+from lexloom.llm import languages, leaks, lookalikes, packing, repeated_lines
 from lexloom.llm.sentences import sentences
-from lexloom.session import table
+from lexloom.session import cut, table
 
 
 def _values(spark: SparkSession, d: str) -> DataFrame:
@@ -61,6 +61,41 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return of_laws.unionByName(of_chunks)
 
 
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return repeated_lines.lines(table(spark, d, "clean_results"), table(spark, d, "law_metadata"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    """Lines that stand in many files of one volume."""
+    every = _lines(spark, d)
+    return repeated_lines.occurrences(every, repeated_lines.frequent_lines(every))
+
+
+def p5_sequences(spark: SparkSession, d: str) -> DataFrame:
+    """Frequent sequences of lines per volume."""
+    every = _lines(spark, d)
+    return repeated_lines.prefix_span(every, repeated_lines.frequent_lines(every))
+
+
+def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    """Every file without the lines repeated in its volume."""
+    every = _lines(spark, d)
+    return repeated_lines.without_repeated(every, repeated_lines.frequent_lines(every))
+
+
+def p7_packed(spark: SparkSession, d: str) -> DataFrame:
+    """Containers of every kind, filled with the documents."""
+    items = cut(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"))
+    kinds = table(spark, d, "pack_sizes").distinct().collect()  # a handful of kinds, fixed
+    packed = [packing.pack(items, k["container_kind"], k["capacity_tokens"]) for k in sorted(kinds, key=lambda k: k["capacity_tokens"])]
+    return reduce(DataFrame.unionByName, packed).withColumnRenamed("item", "doc_id")
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold a passage of an evaluation item."""
+    return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
