@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import languages, leaks, lookalikes, packing, repeated_lines
+from lexloom.llm import languages, leaks, lookalikes, mojibake, packing, repeated_lines, scans
 from lexloom.llm.sentences import sentences
 from lexloom.session import cut, table
 
@@ -35,6 +35,24 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical(_values(spark, d)).select("field_name", "row_key", "canon").distinct()
 
 
+def _decoded(spark: SparkSession, d: str) -> DataFrame:
+    laws = table(spark, d, "law_metadata").select("law_id", F.col("source_pdf").alias("source")).distinct()
+    files = table(spark, d, "loaded_documents").select(F.lit("raw_text").alias("field_name"), F.col("file_id").alias("record_id"), "law_id", F.col("raw_text").alias("value"))
+    titles = table(spark, d, "legal_sections").select(F.lit("section_title").alias("field_name"), F.col("section_id").alias("record_id"), "law_id", F.col("section_title").alias("value"))
+    return files.unionByName(titles).join(laws, "law_id", "left").select("field_name", "record_id", "source", "value")
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    """Files and section titles that hold text decoded wrongly."""
+    return mojibake.records(_decoded(spark, d)).select("field_name", "record_id")
+
+
+def p2_restored(spark: SparkSession, d: str) -> DataFrame:
+    """Their text as it was, where it survives."""
+    rows = _decoded(spark, d)
+    return mojibake.restored(rows, mojibake.records(rows))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of every chunk and clause."""
     chunks = sentences(table(spark, d, "chunks"), "chunk_id", "text", "chunk")
@@ -83,6 +101,25 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return repeated_lines.without_repeated(every, repeated_lines.frequent_lines(every))
 
 
+def _scanned(spark: SparkSession, d: str) -> DataFrame:
+    laws = table(spark, d, "law_metadata").groupBy("law_id").agg(F.flatten(F.collect_set(F.array("act_name", "bangla_name"))).alias("names"))
+    files = table(spark, d, "loaded_documents").where(F.size("pages") > 0).groupBy("file_id", "law_id").agg(F.first("pages").alias("pages"))
+    wrong = mojibake.records(_decoded(spark, d)).where("field_name = 'raw_text'").select(F.col("record_id").alias("file_id"))
+    return files.join(laws, "law_id", "left").join(wrong, "file_id", "left_anti").select("file_id", "pages", "names")
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    """Noise of scanning, page by page."""
+    files = _scanned(spark, d)
+    return scans.page_noise(files, scans.fit(table(spark, d, "loaded_documents"), "pages"))
+
+
+def p6_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Continuous paragraphs of every file."""
+    files = _scanned(spark, d)
+    return scans.repaired(files, scans.fit(table(spark, d, "loaded_documents"), "pages"))
+
+
 def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     """Containers of every kind, filled with the documents."""
     items = cut(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"))
