@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Single-byte code pages that start the mappings.
-PAGES = "cp1252 latin_1 cp437 cp850 cp1251 koi8_r mac_roman cp866 cp1250 iso8859_2 iso8859_5 iso8859_15 cp1253 cp1254 cp852 cp775 mac_cyrillic cp737 cp1257 koi8_u".split()
+PAGES = "cp1252 latin_1 cp437 cp850 cp1251 koi8_r mac_roman cp866 iso8859_5 cp1250 iso8859_2 cp1253 iso8859_7 cp852 mac_cyrillic cp1254".split()
 #: Plaintexts: bytes of UTF-8, or letters of the Western single-byte page.
 FORMS = ("utf8", "legacy")
 _LOST = re.compile("�|\\?{3,}")
@@ -55,6 +56,26 @@ def pages() -> dict[str, dict[int, str]]:
     return out
 
 
+def foreign(word: str) -> bool:
+    """Whether some page turns a run of a word's unusual characters into UTF-8 as a whole: no word of a language then."""
+    for run in _HIGH.findall(word):
+        if len(run) > 1:
+            for table in _backward():
+                raw = run.translate(table)
+                if all(ord(c) < 256 for c in raw):
+                    try:
+                        raw.encode("latin-1").decode("utf-8")
+                        return True
+                    except UnicodeDecodeError:
+                        pass
+    return False
+
+
+@lru_cache(maxsize=1)
+def _backward() -> list[dict[int, int]]:
+    return [{ord(c): b for b, c in t.items()} for t in pages().values()]
+
+
 def kind(c: str) -> str:
     """A letter itself, or one sign for all of its block where a script has thousands."""
     o = ord(c)
@@ -76,6 +97,7 @@ def statistics(df: DataFrame) -> DataFrame:
                     words.update(tokens(t))
                 words.pop("", None)
                 strange = [(w, n) for w, n in words.items() if odd(w)]
+                wrong = {w for w, _ in strange if _LOST.search(w) or foreign(w) or len({x for x in _scripts(w, 'L') if x}) > 1}
                 for w, n in strange:
                     high = f" {w} "
                     for a, b in zip(high, high[1:]):
@@ -84,7 +106,7 @@ def statistics(df: DataFrame) -> DataFrame:
                 for what, page in (("utf8", "utf-8"), ("legacy", "cp1252")):
                     parts, weights = [], []
                     for w, n in words.items():
-                        if not _LOST.search(w):
+                        if w not in wrong:
                             raw = f" {w} ".encode(page, "ignore")
                             if what == "utf8" or len(raw) == len(w) + 2:
                                 parts.append(raw)
@@ -97,6 +119,8 @@ def statistics(df: DataFrame) -> DataFrame:
                             total[what, None, chr(i >> 8), chr(i & 255)] += int(got[i])
                 seen: Counter = Counter()
                 for w, n in words.items():
+                    if w in wrong:
+                        continue
                     k = f" {''.join(map(kind, w))} " if not w.isascii() else f" {w} "
                     for pair in zip(k, k[1:]):
                         seen[pair] += n
@@ -125,24 +149,18 @@ class Language:
         self.joint = {}
         for form in FORMS:
             m = _matrix(rows[rows["what"] == form])
-            if form == "utf8":  # the bytes of damaged text are not the language's: they stand in few words
-                high = m[128:, 128:]
-                high[high < 2e-6 * m.sum()] = 0
-            self.joint[form] = (m + 1e-9) / (m.sum() + 1e-9 * 65536)
+            m = (m + 1e-7) / (m.sum() + 1e-7 * 65536)
+            if form == "utf8":  # what UTF-8 allows, though no text of the corpus has it yet
+                allowed = np.zeros((256, 256))
+                allowed[0xC2:0xF5, 0x80:0xC0] = allowed[0x80:0xC0, 0x80:0xC0] = allowed[0x80:0xC0, 0xC2:0xF5] = 1
+                m = 0.99 * m + 0.01 * allowed / allowed.sum()
+            self.joint[form] = m
         chars = rows[rows["what"] == "char"]
         self.char = {a + b: float(n) for a, b, n in zip(chars["a"], chars["b"], chars["n"])}
         self.first: Counter = Counter()
         for k, n in self.char.items():
             self.first[k[0]] += n
-
-    def discount(self, share: dict[str, float]) -> None:
-        """Take from the characters' bigrams what expectation-maximisation gave to ciphers."""
-        for k, s in share.items():
-            if k in self.char:
-                self.char[k] *= 1 - s
-        self.first = Counter()
-        for k, n in self.char.items():
-            self.first[k[0]] += n
+        self.total = sum(self.first.values())
 
     def score(self, word: str) -> float:
         """Mean log probability of a word's bigrams."""
@@ -150,86 +168,82 @@ class Language:
         total = sum(math.log((self.char.get(a + b, 0.0) + 0.05) / (self.first.get(a, 0.0) + 20.0)) for a, b in zip(w, w[1:]))
         return total / (len(w) - 1)
 
+    def reads(self, word: str, least: float = 2.0) -> bool:
+        """Whether all bigrams round unusual characters of a word occur in the language."""
+        w = f" {''.join(map(kind, word))} "
+        return all(a.isascii() and b.isascii() or self.char.get(a + b, 0.0) >= least for a, b in zip(w, w[1:]))
+
 
-def learn(rows: pd.DataFrame, joint: dict[str, np.ndarray], clean: dict[str, float], rounds: int = 8) -> list[tuple[str, str, str, int, float, float]]:
-    """Mappings of one source: (page, form, character, byte, probability, weight of the cipher).
+def learn(rows: pd.DataFrame, joint: dict[str, np.ndarray], clean: dict[str, float], rounds: int = 8) -> list[tuple[str, str, str, int, float]]:
+    """Mappings of one source: (page, form, character, byte, weight of the cipher), entries of the page left out.
 
-    ``rows``: a, b, n, bigrams of its odd tokens. Each cipher is a component of a mixture, beside clean text. Its
-    emissions start at a code page and move as its bigrams say; weights of ciphers that explain nothing vanish.
+    ``rows``: a, b, n, bigrams of its odd tokens. Each cipher is a component of a mixture, beside clean text. The
+    entries of its code page hold; what the page leaves open, control characters above all, is learnt: in each round
+    the bytes such a character may stand for are weighed by the bigrams it occurs in, and the weights of the ciphers by
+    how well they explain theirs. Ciphers that explain nothing vanish.
     """
-    pairs = rows[["a", "b"]].to_numpy()
+    firsts, seconds = rows["a"].tolist(), rows["b"].tolist()
     n = rows["n"].to_numpy(dtype=float)
-    letters = sorted({c for p in pairs for c in p if not c.isascii()})
-    slot = {c: i for i, c in enumerate(letters)}
-    places = list(range(128, 256))
-    ciphers = [(p, f) for p in PAGES for f in FORMS if not (f == "legacy" and p in ("cp1252", "latin_1", "cp1254", "iso8859_15"))]
-    theta = {}
-    for page, form in ciphers:
-        t = np.full((128, len(letters)), 1e-6)
-        for b, c in pages()[page].items():
-            if c in slot:
-                t[b - 128, slot[c]] = 1.0
-        theta[page, form] = t
-    prior = {k: t * 4 for k, t in theta.items()}
-    weight = {k: 0.3 / len(ciphers) for k in ciphers}
-    ground = np.array([clean.get(a + b, 0.0) for a, b in pairs])
+    if not len(n):
+        return []
     total = max(sum(clean.values()), 1.0)
-    ground = (ground * 0.2 + 0.02) / total
-
-    def emit(c: str, t: np.ndarray) -> np.ndarray:
-        out = np.zeros(256)
-        if c.isascii():
-            out[ord(c)] = 1.0
-        else:
-            out[128:] = t[:, slot[c]] if c in slot else 0
-        return out
-
-    index: dict[str, int] = {}
-    for p in pairs:
-        for c in p:
-            index.setdefault(c, len(index))
-    left = np.array([index[a] for a in pairs[:, 0]]) if len(pairs) else np.zeros(0, int)
-    right = np.array([index[b] for b in pairs[:, 1]]) if len(pairs) else np.zeros(0, int)
+    ground = (np.array([clean.get(kind(a) + kind(b), 0.0) for a, b in zip(firsts, seconds)]) + 0.01) / total
+    ciphers = {}
+    for page in PAGES:
+        back = {c: b for b, c in pages()[page].items()}
+        code = lambda c: ord(c) if c.isascii() else back.get(c, -1 if ord(c) < 0xA0 else -2)  # noqa: B023, E731
+        a, b = np.array([code(c) for c in firsts]), np.array([code(c) for c in seconds])
+        sure = (a >= 0) & (b >= 0)
+        if ((a >= 0xC2) & (b >= 0x80) & (b < 0xC0)).any():
+            ciphers[page, "utf8"] = (a, b, sure)
+        if page not in ("cp1252", "latin_1", "cp1254") and sure.any():
+            ciphers[page, "legacy"] = (a, b, sure)
+    weight = {k: 0.3 / max(len(ciphers), 1) for k in ciphers}
+    open_letters = sorted({c for c in firsts + seconds if 0x80 <= ord(c) < 0xA0})
+    slot = {c: i for i, c in enumerate(open_letters)}
+    theta = {k: np.full((len(open_letters), 128), 1 / 128) for k in ciphers}
+    at_a = np.array([slot.get(c, -1) for c in firsts])
+    at_b = np.array([slot.get(c, -1) for c in seconds])
     for _ in range(rounds):
-        like, parts = {}, {}
-        for k in list(weight):
-            e = np.stack([emit(c, theta[k]) for c in index]) if index else np.zeros((0, 256))
-            through = e @ joint[k[1]]
-            like[k] = np.einsum("ij,ij->i", through[left], e[right]) * weight[k]
-            parts[k] = (e, through)
-        base = ground * (1 - sum(weight.values()))
-        whole = base + sum(like.values())
-        for k in list(weight):
-            r = like[k] / np.maximum(whole, 1e-300) * n
-            weight[k] = (r.sum() + 1e-9) / (n.sum() + 1e-9)
-            if r.sum() < 0.5:
-                del weight[k], theta[k]
+        like = {}
+        for k, (a, b, sure) in ciphers.items():
+            if k not in weight:
+                continue
+            x = np.full(len(n), 1e-12)
+            j = joint[k[1]]
+            x[sure] = j[a[sure], b[sure]]
+            right = (a >= 0) & (b == -1)
+            x[right] = (j[a[right], 128:] * theta[k][at_b[right]]).sum(axis=1)
+            left = (a == -1) & (b >= 0)
+            x[left] = (j[128:, b[left]].T * theta[k][at_a[left]]).sum(axis=1)
+            like[k] = x * weight[k]
+        whole = ground * max(1 - sum(weight.values()), 0.02) + sum(like.values(), np.zeros(len(n)))
+        for k, x in like.items():
+            a, b, _ = ciphers[k]
+            r = x / whole * n
+            weight[k] = r.sum() / n.sum()
+            if r.sum() < 0.02:
+                del weight[k]
                 continue
-            e, through = parts[k]
-            back = e @ joint[k[1]].T
-            counts = np.zeros((128, len(letters)))
-            ratio = r / np.maximum(like[k] / max(weight[k], 1e-300), 1e-300)
-            for side, other, near in ((left, back[right], left), (right, through[left], right)):
-                for i, c in enumerate(index):
-                    if not c.isascii():
-                        mine = np.flatnonzero(side == i)
-                        if len(mine):
-                            g = (other[mine, 128:] * e[i, 128:]) * ratio[mine, None]
-                            counts[:, slot[c]] += g.sum(axis=0)
-            counts = counts / max(counts.sum(), 1e-300) * 2 * r.sum()
-            t = counts + prior[k]
-            theta[k] = t / np.maximum(t.sum(axis=1, keepdims=True), 1e-300)
-        spare = 0.98 / max(sum(weight.values()), 0.98)
-        weight = {k: w * spare for k, w in weight.items()}
+            j = joint[k[1]]
+            counts = np.full((len(open_letters), 128), 1e-3)
+            for i in np.flatnonzero((a >= 0) & (b == -1)):
+                part = j[a[i], 128:] * theta[k][at_b[i]]
+                counts[at_b[i]] += r[i] * part / part.sum()
+            for i in np.flatnonzero((a == -1) & (b >= 0)):
+                part = j[128:, b[i]] * theta[k][at_a[i]]
+                counts[at_a[i]] += r[i] * part / part.sum()
+            theta[k] = counts / counts.sum(axis=1, keepdims=True)
+        if sum(weight.values()) > 0.98:
+            weight = {k: w * 0.98 / sum(weight.values()) for k, w in weight.items()}
     out = []
+    letters = sorted({c for c in firsts + seconds if not c.isascii()})
     for k, w in weight.items():
-        if w * n.sum() < 0.5:
-            continue
+        back = {c: b for b, c in pages()[k[0]].items()}
+        out.append((k[0], k[1], "", 0, float(w)))  # the page itself, which every task knows
         for c in letters:
-            col = theta[k][:, slot[c]]
-            b = int(col.argmax())
-            if col[b] > 1e-5:
-                out.append((k[0], k[1], c, places[b], float(col[b]), float(w)))
+            if c not in back and c in slot and theta[k][slot[c]].max() > 0.3:
+                out.append((k[0], k[1], c, int(theta[k][slot[c]].argmax()) + 128, float(w)))
     return out
 
 
@@ -238,12 +252,18 @@ def _bytes_of(word: str, table: dict[int, int]) -> bytes | None:
     return swapped.encode("latin-1") if all(ord(c) < 256 for c in swapped) else None
 
 
+def _scripts(word: str, categories: str = "LS") -> set[str]:
+    return {unicodedata.name(c, "?").split(" ")[0] for c in word if not (c.isascii() and not c.isalpha()) and unicodedata.category(c)[0] in categories}
+
+
 def decrypt(word: str, tables: dict[tuple[str, str], dict[int, int]], language: Language) -> tuple[bool, str]:
     """Whether a token was decoded wrongly, and the token restored as far as it can be."""
     if _LOST.search(word):
         return True, word
     own = language.score(word)
-    best, text = own, word
+    best, text, wrong = own, word, False
+    rare = 20 + 2e-6 * language.total
+    mixed = len(_scripts(word)) > 1 or all(language.first.get(c, 0) < rare for c in word if c.isalpha())
     for (page, form), table in tables.items():
         if form == "utf8":
             changed = False
@@ -251,16 +271,16 @@ def decrypt(word: str, tables: dict[tuple[str, str], dict[int, int]], language:
             def fix(m: re.Match) -> str:
                 nonlocal changed
                 raw = _bytes_of(m.group(), table)
-                if raw is None:
+                if raw is None or len(raw) < 2:
                     return m.group()
                 try:
                     out = raw.decode("utf-8")
                 except UnicodeDecodeError:
+                    if not (raw[0] >= 0xC2 and 0x80 <= raw[1] < 0xC0):
+                        return m.group()
                     out = raw.decode("utf-8", "ignore")
-                    if len(raw) < 6 or 3 * len(out.encode()) < 2 * len(raw):
+                    if 2 * len(out.encode()) < len(raw) and len(raw) > 3:
                         return m.group()
-                if _C1.search(out):
-                    return m.group()
                 changed = True
                 return out
 
@@ -268,40 +288,34 @@ def decrypt(word: str, tables: dict[tuple[str, str], dict[int, int]], language:
             if not changed:
                 continue
         else:
-            raw = _bytes_of("".join(c for c in word if not c.isascii()), table)
-            if raw is None:
+            if not mixed or _bytes_of("".join(c for c in word if not c.isascii()), table) is None:
                 continue
             made = word.translate({c: _WEST.get(b, chr(b)) for c, b in table.items()})
-            if made == word:
+            if made == word or not language.reads(made):
                 continue
         again = made
         if form == "utf8" and odd(made):  # decoded wrongly twice
-            twice = decrypt_once(made, tables)
-            if twice is not None and language.score(twice) > language.score(made):
-                again = twice
+            again = max([made, *decrypt_once(made, tables)], key=language.score)
         score = language.score(again)
-        if score > best + (0.0 if form == "utf8" else 0.7):
-            best, text = score, again
-    return text != word, text
+        if score > best:
+            best, text, wrong = score, again, True
+    return wrong, text
 
 
-def decrypt_once(word: str, tables: dict[tuple[str, str], dict[int, int]]) -> str | None:
-    for (page, form), table in tables.items():
+def decrypt_once(word: str, tables: dict[tuple[str, str], dict[int, int]]) -> list[str]:
+    """Every form a token takes when a table turns all of its unusual runs into UTF-8."""
+    out = []
+    for (_, form), table in tables.items():
         if form == "utf8":
-            def fix(m: re.Match) -> str:
-                raw = _bytes_of(m.group(), table)
+            raw = _bytes_of(word, table)
+            if raw is not None:
                 try:
-                    return raw.decode("utf-8") if raw is not None else m.group()
+                    out.append(raw.decode("utf-8"))
                 except UnicodeDecodeError:
-                    return m.group()
-
-            made = _HIGH.sub(fix, word)
-            if made != word:
-                return made
-    return None
+                    pass
+    return out
 
 
-_C1 = re.compile("[\x80-\x9f�]")
 _WEST = {b: c for b, c in ((b, bytes([b]).decode("cp1252", "ignore")) for b in range(128, 256)) if c}
 
 
@@ -315,9 +329,9 @@ def wrong_tokens(df: DataFrame) -> DataFrame:
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         found = learn(pdf, joint, clean)
-        return pd.DataFrame([(pdf["source"].iloc[0], *x) for x in found], columns=["source", "page", "form", "letter", "byte", "p", "weight"])
+        return pd.DataFrame([(pdf["source"].iloc[0], *x) for x in found], columns=["source", "page", "form", "letter", "byte", "weight"])
 
-    mapping = counted.where("what = 'odd'").groupBy("source").applyInPandas(fit, "source string, page string, form string, letter string, byte int, p double, weight double")
+    mapping = counted.where("what = 'odd'").groupBy("source").applyInPandas(fit, "source string, page string, form string, letter string, byte int, weight double")
     tables = mapping.groupBy("source").agg(F.collect_list(F.struct("page", "form", "letter", "byte", "weight")).alias("table"))
 
     def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,7 +352,9 @@ def wrong_tokens(df: DataFrame) -> DataFrame:
                 if own is None:
                     own = {}
                     for x in sorted(table if table is not None else [], key=lambda x: -x["weight"]):
-                        own.setdefault((x["page"], x["form"]), {})[ord(x["letter"])] = x["byte"]
+                        mine = own.setdefault((x["page"], x["form"]), {ord(c): b for b, c in pages()[x["page"]].items()})
+                        if x["letter"]:
+                            mine[ord(x["letter"])] = x["byte"]
                     if len(kept) > 1000:
                         kept.clear()
                     kept[source] = own

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm import languages, leaks, lookalikes, mojibake, packing, repeated_lines, scans
+from lexloom.llm import abuse, languages, leaks, lookalikes, mojibake, packing, repeated_lines, scans
 from lexloom.llm.sentences import sentences
 from lexloom.session import cut, table
 
@@ -133,6 +133,30 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaks(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
 
+def _scored(spark: SparkSession, d: str) -> tuple[DataFrame, float]:
+    documents = table(spark, d, "documents")
+    net, threshold = abuse.fit(documents, table(spark, d, "review_labels"))
+    return abuse.scores(documents, net, ["source"]), threshold
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that hold abusive, hateful or sexual sentences."""
+    scored, threshold = _scored(spark, d)
+    return scored.where(F.col("score") >= threshold).select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The score of every document."""
+    return _scored(spark, d)[0].select("doc_id", F.round("score", 4).alias("score")).distinct()
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates per source."""
+    scored, threshold = _scored(spark, d)
+    rows = scored.groupBy("doc_id").agg(F.max("source").alias("source"), F.max("score").alias("score"))
+    return rows.groupBy("source").agg(F.count("*").alias("documents"), F.count_if(F.col("score") >= threshold).alias("abusive"), F.avg((F.col("score") >= threshold).cast("double")).alias("rate"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1].isdigit()}
 
