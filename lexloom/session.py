@@ -35,3 +35,25 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """One table of the data folder."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers whose path lacks it, through Spark's own file distribution."""
+    import zipfile
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = [os.path.abspath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in paths or spark.sparkContext.applicationId in _shipped:
+        return
+    name = os.path.join(tempfile.mkdtemp(), "lexloom.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for folder, _, files in os.walk(os.path.join(root, "lexloom")):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(name)
+    _shipped.add(spark.sparkContext.applicationId)
