@@ -27,7 +27,7 @@ PAGES = "cp1252 latin_1 cp437 cp850 cp1251 koi8_r mac_roman cp866 iso8859_5 cp12
 #: Plaintexts: bytes of UTF-8, or letters of the Western single-byte page.
 FORMS = ("utf8", "legacy")
 _LOST = re.compile("�|\\?{3,}")
-_ODD = re.compile("[\x80-˿Ͱ-ԯ ‐-⯿�]")
+_ODD = re.compile("[\x80-\u02ff\u0370-\u052f\ufffd]|[\u2010-\u2bff]{2}")
 _BLANK = re.compile("[ \t\n\r\f\v]+")
 _HIGH = re.compile("[^\x00-\x7f]+")
 
@@ -82,6 +82,19 @@ def kind(c: str) -> str:
     return c if o < 0x0E00 or 0x1E00 <= o < 0x2C00 or o == 0xFFFD else chr(o - o % 0x1000)
 
 
+def _pairs(words: dict[str, int], kinds: bool) -> Iterator[tuple[str, str, int]]:
+    """Weighted bigrams of words, blanks at both ends; characters or their kinds."""
+    if not words:
+        return
+    c = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    if kinds:
+        c = np.where((c < 0x0E00) | (c >= 0x1E00) & (c < 0x2C00) | (c == 0xFFFD), c, c - c % 0x1000)
+    weights = np.repeat(np.array(list(words.values()), dtype=float), [len(w) + 1 for w in words])
+    keys, place = np.unique(c[:-1] << 21 | c[1:], return_inverse=True)
+    for k, n in zip(keys.tolist(), np.bincount(place, weights=weights)):
+        yield chr(k >> 21), chr(k & 0x1FFFFF), int(n)
+
+
 def statistics(df: DataFrame) -> DataFrame:
     """what, source, a, b, n: bigrams of bytes, of letters as bytes, of characters, and of odd tokens per source.
 
@@ -91,41 +104,33 @@ def statistics(df: DataFrame) -> DataFrame:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
         for pdf in batches:
+            every: Counter = Counter()
             for source, part in pdf.groupby("source", dropna=False):
                 words: Counter = Counter()
                 for t in part["value"]:
                     words.update(tokens(t))
                 words.pop("", None)
-                strange = [(w, n) for w, n in words.items() if odd(w)]
-                wrong = {w for w, _ in strange if _LOST.search(w) or foreign(w) or len({x for x in _scripts(w, 'L') if x}) > 1}
-                for w, n in strange:
-                    high = f" {w} "
-                    for a, b in zip(high, high[1:]):
-                        if not (a.isascii() and b.isascii()):
-                            total["odd", source, a, b] += n
-                for what, page in (("utf8", "utf-8"), ("legacy", "cp1252")):
-                    parts, weights = [], []
-                    for w, n in words.items():
-                        if w not in wrong:
-                            raw = f" {w} ".encode(page, "ignore")
-                            if what == "utf8" or len(raw) == len(w) + 2:
-                                parts.append(raw)
-                                weights.append(n)
-                    flat = np.frombuffer(b"".join(parts), dtype=np.uint8).astype(np.int64)
-                    if len(flat) > 1:
-                        repeated = np.repeat(np.array(weights, dtype=float), [len(x) for x in parts])
-                        got = np.bincount(flat[:-1] * 256 + flat[1:], weights=repeated[:-1], minlength=65536)
-                        for i in np.flatnonzero(got):
-                            total[what, None, chr(i >> 8), chr(i & 255)] += int(got[i])
-                seen: Counter = Counter()
-                for w, n in words.items():
-                    if w in wrong:
-                        continue
-                    k = f" {''.join(map(kind, w))} " if not w.isascii() else f" {w} "
-                    for pair in zip(k, k[1:]):
-                        seen[pair] += n
-                for (a, b), n in seen.items():
-                    total["char", None, a, b] += n
+                strange = {w: n for w, n in words.items() if odd(w)}
+                for a, b, n in _pairs(strange, False):
+                    if not (a.isascii() and b.isascii()):
+                        total["odd", source, a, b] += n
+                every.update(words)
+            for w in [w for w in every if odd(w) and (_LOST.search(w) or foreign(w) or len(_scripts(w, "L")) > 1)]:
+                del every[w]
+            for what, page in (("utf8", "utf-8"), ("legacy", "cp1252")):
+                parts, weights = [], []
+                for w, n in every.items():
+                    raw = w.encode(page, "ignore")
+                    if what == "utf8" or len(raw) == len(w):
+                        parts.append(raw)
+                        weights.append(n)
+                flat = np.frombuffer(b" " + b" ".join(parts) + b" ", dtype=np.uint8).astype(np.int64)
+                if parts:
+                    got = np.bincount(flat[:-1] * 256 + flat[1:], weights=np.repeat(np.array(weights, dtype=float), [len(x) + 1 for x in parts]), minlength=65536)
+                    for i in np.flatnonzero(got):
+                        total[what, None, chr(i >> 8), chr(i & 255)] += int(got[i])
+            for a, b, n in _pairs(every, True):
+                total["char", None, a, b] += n
             if len(total) > 500_000:
                 yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["what", "source", "a", "b", "n"])
                 total = Counter()
@@ -260,12 +265,17 @@ def decrypt(word: str, tables: dict[tuple[str, str], dict[int, int]], language:
     """Whether a token was decoded wrongly, and the token restored as far as it can be."""
     if _LOST.search(word):
         return True, word
-    own = language.score(word)
-    best, text, wrong = own, word, False
+    runs = max(map(len, _HIGH.findall(word)), default=0)
     rare = 20 + 2e-6 * language.total
     mixed = len(_scripts(word)) > 1 or all(language.first.get(c, 0) < rare for c in word if c.isalpha())
+    if runs < 2 and not mixed:
+        return False, word
+    own = language.score(word)
+    best, text, wrong = own, word, False
     for (page, form), table in tables.items():
         if form == "utf8":
+            if runs < 2:
+                continue
             changed = False
 
             def fix(m: re.Match) -> str:
@@ -299,6 +309,8 @@ def decrypt(word: str, tables: dict[tuple[str, str], dict[int, int]], language:
         score = language.score(again)
         if score > best:
             best, text, wrong = score, again, True
+            if language.reads(again):  # the likeliest cipher that gives plain text
+                break
     return wrong, text
 
 
@@ -319,9 +331,24 @@ def decrypt_once(word: str, tables: dict[tuple[str, str], dict[int, int]]) -> li
 _WEST = {b: c for b, c in ((b, bytes([b]).decode("cp1252", "ignore")) for b in range(128, 256)) if c}
 
 
-def wrong_tokens(df: DataFrame) -> DataFrame:
-    """source, token, restored of every token that was decoded wrongly. ``df``: source, value; a null source is one of its own."""
-    rows = df.select(F.coalesce("source", F.lit("")).alias("source"), "value").where("value is not null")
+def _held(rows: DataFrame) -> DataFrame:
+    """field_name, record_id, source, token of every token that may have been decoded wrongly."""
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = set()
+            for f, i, s, v in zip(pdf["field_name"], pdf["record_id"], pdf["source"], pdf["value"]):
+                out.update((f, i, s, w) for w in tokens(v) if not w.isascii() and odd(w) or "??" in w and _LOST.search(w))
+            yield pd.DataFrame(sorted(out), columns=["field_name", "record_id", "source", "token"])
+
+    return rows.mapInPandas(pick, "field_name string, record_id long, source string, token string")
+
+
+def wrong_tokens(rows: DataFrame, held: DataFrame) -> DataFrame:
+    """source, token, restored of every token that was decoded wrongly.
+
+    ``rows``: source, value; ``held``: source, token of the tokens in question.
+    """
     counted = statistics(rows).persist()
     shared = counted.where("what <> 'odd'").toPandas()  # 2 x 65536 byte pairs and the characters' pairs, bounded by the alphabets
     language = Language(shared)
@@ -334,14 +361,7 @@ def wrong_tokens(df: DataFrame) -> DataFrame:
     mapping = counted.where("what = 'odd'").groupBy("source").applyInPandas(fit, "source string, page string, form string, letter string, byte int, weight double")
     tables = mapping.groupBy("source").agg(F.collect_list(F.struct("page", "form", "letter", "byte", "weight")).alias("table"))
 
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = set()
-            for source, value in zip(pdf["source"], pdf["value"]):
-                out.update((source, w) for w in tokens(value) if odd(w) or _LOST.search(w))
-            yield pd.DataFrame(sorted(out), columns=["source", "token"])
-
-    strange = rows.mapInPandas(pick, "source string, token string").distinct()
+    strange = held.select("source", "token").distinct()
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[str, dict] = {}
@@ -372,16 +392,8 @@ def records(df: DataFrame) -> DataFrame:
     ``df``: field_name, record_id, source, value. Repeated rows count once; null values are none.
     """
     rows = df.select("field_name", "record_id", F.coalesce("source", F.lit("")).alias("source"), "value").where("value is not null")
-    wrong = wrong_tokens(rows.select("source", "value"))
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = set()
-            for f, i, s, v in zip(pdf["field_name"], pdf["record_id"], pdf["source"], pdf["value"]):
-                out.update((f, i, s, w) for w in tokens(v) if odd(w) or _LOST.search(w))
-            yield pd.DataFrame(sorted(out), columns=["field_name", "record_id", "source", "token"])
-
-    held = rows.mapInPandas(pick, "field_name string, record_id long, source string, token string").distinct()
+    held = _held(rows).distinct().persist()
+    wrong = wrong_tokens(rows.select("source", "value"), held)
     return held.join(wrong, ["source", "token"]).groupBy("field_name", "record_id").agg(F.collect_set(F.struct("token", "restored")).alias("tokens"))
 
 
