@@ -179,7 +179,7 @@ class Language:
         return all(a.isascii() and b.isascii() or self.char.get(a + b, 0.0) >= least for a, b in zip(w, w[1:]))
 
 
-def learn(rows: pd.DataFrame, joint: dict[str, np.ndarray], clean: dict[str, float], rounds: int = 8) -> list[tuple[str, str, str, int, float]]:
+def learn(rows: pd.DataFrame, joint: dict[str, np.ndarray], clean: dict[str, float], rounds: int = 5) -> list[tuple[str, str, str, int, float]]:
     """Mappings of one source: (page, form, character, byte, weight of the cipher), entries of the page left out.
 
     ``rows``: a, b, n, bigrams of its odd tokens. Each cipher is a component of a mixture, beside clean text. The
