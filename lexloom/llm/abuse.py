@@ -20,13 +20,16 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.lookalikes import TO_LATIN
 
-WINDOW, STRIDE = 16, 8
+WINDOW, STRIDE = 24, 16
 HIDDEN, WIDTH, BUCKETS = 14, 20, 1 << 13
+#: Windows that pass through the network at once.
+BATCH = 512
 #: Bounds of what is fitted on: reviewed documents and windows of them.
-MOST_DOCUMENTS, MOST_WINDOWS = 20_000, 24_000
+MOST_DOCUMENTS, MOST_WINDOWS = 20_000, 16_000
 
 _DRAWN = str.maketrans(TO_LATIN | {"\xad": "", "​": "", "‌": "", "‍": "", "⁠": "", "﻿": ""})
-_SPREAD = re.compile(r"(?<![^\W_])(?:[^\W_][ ._\-]){3,}[^\W_](?![^\W_])")
+_VEIL = re.compile("[" + "".join(map(chr, _DRAWN)) + "]")
+_SPREAD = re.compile(r"[^\W\d_](?:[-_][^\W_]){3,}")
 _WORD = re.compile(r"[^\s.,;:?()\[\]{}“”\"«»।॥…—–/。，！？（）：；]+")
 _LEET = str.maketrans("0134579@$!|", "oieastgasil")
 _HARD = re.compile(r"[a-zà-ÿ]")
@@ -36,12 +39,26 @@ _CJK = re.compile("([㐀-鿿])")
 
 
 def words(text: str) -> list[str]:
-    """Normal forms of a text's words."""
+    """Words of a text in small letters; letters spread one by one are put together."""
     t = text.lower()
     if not t.isascii():
-        t = _CJK.sub(r" \1 ", t.translate(_DRAWN))
-    t = _SPREAD.sub(lambda m: m.group().replace(" ", "").replace(".", "").replace("-", "").replace("_", ""), t)
-    return _WORD.findall(t)
+        if _VEIL.search(t):
+            t = t.translate(_DRAWN)
+        if _CJK.search(t):
+            t = _CJK.sub(r" \1 ", t)
+    out = _WORD.findall(t)
+    if list(map(len, out)).count(1) > 3:
+        made: list[str] = []
+        row: list[str] = []
+        for w in [*out, ""]:
+            if len(w) == 1 and w.isalnum() and not "㐀" <= w <= "鿿":
+                row.append(w)
+                continue
+            made += ["".join(row)] if len(row) > 3 else row
+            row = []
+            made.append(w)
+        out = made[:-1]
+    return out
 
 
 def normal(word: str) -> str:
@@ -49,6 +66,8 @@ def normal(word: str) -> str:
     w = word.strip("!'’‘-_")
     if not w:
         return "!" if "!" in word else "-"
+    if ("-" in w or "_" in w) and _SPREAD.fullmatch(w):
+        w = w.replace("-", "").replace("_", "")
     if _TRICK.search(w):
         if not _HARD.search(w):
             return "#"
@@ -60,7 +79,7 @@ def slots(word: str) -> list[int]:
     w = f"<{word}>"
     raw = w.encode()
     out = [zlib.crc32(raw) % BUCKETS] * 2
-    for n in (2, 3, 4):
+    for n in (2, 3):
         out += [zlib.crc32(w[i : i + n].encode()) % BUCKETS for i in range(len(w) - n + 1)] if len(w) >= n else []
     return out
 
@@ -198,7 +217,8 @@ class Data:
         return at
 
     def cut(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        ids = [self.word(w) for w in words(text)]
+        get, word = self.raw.get, self.word
+        ids = [at if (at := get(w)) is not None else word(w) for w in words(text)]
         starts = windows(len(ids))
         out = np.zeros((len(starts), WINDOW), np.int64)
         mask = np.zeros((len(starts), WINDOW), np.float32)
@@ -229,7 +249,7 @@ def verdicts(labels: pd.DataFrame) -> dict[int, float]:
     return truth.to_dict()
 
 
-def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 3, epochs: int = 6) -> tuple[Network, float]:
+def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 2, epochs: int = 5) -> tuple[Network, float]:
     """Network and threshold fitted to documents with probabilities ``y`` of being abusive.
 
     In the first round the windows of a positive document are told from the others by words that positive documents
@@ -295,18 +315,18 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 3, epoch
                     s[k] += 0.01 * (v * v - s[k])
                     net.p[k] -= rate_now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-7) + rate_now * 1e-4 * net.p[k]
         belief = probabilities(net, data, index, mask)
-    # the threshold that agrees best with the reviews
+    # the highest threshold that agrees with the reviews about as well as the best one
     best = pd.Series(belief).groupby(doc).max().reindex(range(len(cuts)), fill_value=0.0).to_numpy()
     marks = np.linspace(0.2, 0.95, 16)
-    gain = [2 * (y * (best >= t)).sum() / ((best >= t).sum() + y.sum() + 1e-9) - 1e-3 * abs(t - 0.6) for t in marks]
-    return net, float(marks[int(np.argmax(gain))])
+    gain = np.array([2 * (y * (best >= t)).sum() / ((best >= t).sum() + y.sum() + 1e-9) for t in marks])
+    return net, float(marks[np.flatnonzero(gain >= gain.max() - 0.01).max()])
 
 
 def probabilities(net: Network, data: Data, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
     table = net.project(data.bags)
     out = np.zeros(len(index), np.float32)
-    for at in range(0, len(index), 2048):
-        out[at : at + 2048] = net.run(table[index[at : at + 2048]], mask[at : at + 2048])
+    for at in range(0, len(index), BATCH):
+        out[at : at + BATCH] = net.run(table[index[at : at + BATCH]], mask[at : at + BATCH])
     return out
 
 
@@ -340,9 +360,9 @@ def scores(documents: DataFrame, net: Network, carry: list[str] = ()) -> DataFra
             index = np.concatenate([c[0] for c in cuts])
             mask = np.concatenate([c[1] for c in cuts])
             doc = np.repeat(np.arange(len(cuts)), [len(c[0]) for c in cuts])
-            for at in range(0, len(index), 2048):
-                prob = own.run(table[index[at : at + 2048]], mask[at : at + 2048])
-                np.maximum.at(out, doc[at : at + 2048], prob)
+            for at in range(0, len(index), BATCH):
+                prob = own.run(table[index[at : at + BATCH]], mask[at : at + BATCH])
+                np.maximum.at(out, doc[at : at + BATCH], prob)
             yield pdf[["doc_id", *kept]].assign(score=out)
 
     rows = documents.select("doc_id", *kept, "text")
