@@ -21,11 +21,12 @@ from pyspark.sql import functions as F
 from lexloom.llm.lookalikes import TO_LATIN
 
 WINDOW, STRIDE = 24, 16
-HIDDEN, WIDTH, BUCKETS = 14, 20, 1 << 13
+HIDDEN, WIDTH, BUCKETS = 12, 20, 1 << 13
 #: Windows that pass through the network at once.
 BATCH = 512
+
 #: Bounds of what is fitted on: reviewed documents and windows of them.
-MOST_DOCUMENTS, MOST_WINDOWS = 20_000, 16_000
+MOST_DOCUMENTS, MOST_WINDOWS = 20_000, 12_000
 
 _DRAWN = str.maketrans(TO_LATIN | {"\xad": "", "​": "", "‌": "", "‍": "", "⁠": "", "﻿": ""})
 _VEIL = re.compile("[" + "".join(map(chr, _DRAWN)) + "]")
@@ -79,9 +80,7 @@ def slots(word: str) -> list[int]:
     w = f"<{word}>"
     raw = w.encode()
     out = [zlib.crc32(raw) % BUCKETS] * 2
-    for n in (2, 3):
-        out += [zlib.crc32(w[i : i + n].encode()) % BUCKETS for i in range(len(w) - n + 1)] if len(w) >= n else []
-    return out
+    return out + [zlib.crc32(w[i : i + 3].encode()) % BUCKETS for i in range(len(w) - 2)]
 
 
 def windows(n: int) -> list[int]:
@@ -249,7 +248,7 @@ def verdicts(labels: pd.DataFrame) -> dict[int, float]:
     return truth.to_dict()
 
 
-def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 2, epochs: int = 5) -> tuple[Network, float]:
+def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 2, epochs: int = 4) -> tuple[Network, float]:
     """Network and threshold fitted to documents with probabilities ``y`` of being abusive.
 
     In the first round the windows of a positive document are told from the others by words that positive documents
@@ -302,14 +301,14 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 2, epoch
             some = pos if len(pos) <= MOST_WINDOWS // 2 else rng.choice(pos, MOST_WINDOWS // 2, replace=False)
             times = max(1, int(round(len(negs) / max(len(some), 1) / 4)))
             order = rng.permutation(np.concatenate([*[some] * times, negs]))
-            for at in range(0, len(order), 128):
-                b = order[at : at + 128]
+            for at in range(0, len(order), 256):
+                b = order[at : at + 256]
                 idx = index[b].copy()
                 drop = (rng.random(idx.shape) < 0.08) & (mask[b] > 0)
                 idx[drop] = data.word("#")
                 g = net.gradients(idx, mask[b], target[b] * 0.98 + 0.01, np.ones(len(b), np.float32), data.bags)
                 step += 1
-                rate_now = 0.006 * min(1, step / 50) * (1 - 0.8 * epoch / epochs)
+                rate_now = 0.009 * min(1, step / 50) * (1 - 0.8 * epoch / epochs)
                 for k, v in g.items():
                     m[k] += 0.1 * (v - m[k])
                     s[k] += 0.01 * (v * v - s[k])
@@ -317,9 +316,9 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 2, epoch
         belief = probabilities(net, data, index, mask)
     # the highest threshold that agrees with the reviews about as well as the best one
     best = pd.Series(belief).groupby(doc).max().reindex(range(len(cuts)), fill_value=0.0).to_numpy()
-    marks = np.linspace(0.2, 0.95, 16)
+    marks = np.linspace(0.2, 0.9, 15)
     gain = np.array([2 * (y * (best >= t)).sum() / ((best >= t).sum() + y.sum() + 1e-9) for t in marks])
-    return net, float(marks[np.flatnonzero(gain >= gain.max() - 0.01).max()])
+    return net, float(marks[np.flatnonzero(gain >= gain.max() - 0.005).max()])
 
 
 def probabilities(net: Network, data: Data, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
