@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from lexloom.operators.retrieval import filtered
 
@@ -19,16 +22,19 @@ class PointStore:
         path = jvm.org.apache.hadoop.fs.Path(self.path)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
 
-    def ensure(self, schema) -> None:
+    def ensure(self, schema: StructType) -> None:
         """Create the table where there is none; another vector or payload type than before is refused."""
         if not self.exists():
-            self.spark.createDataFrame([], schema).write.partitionBy(self.by).parquet(self.path)
+            self.spark.createDataFrame([(schema.json(),)], "value string").coalesce(1).write.text(f"{self.path}/_schema")
             return
-        have = {f.name: f.dataType for f in self.spark.read.parquet(self.path).schema}
+        have = {f.name: f.dataType for f in self.schema()}
         for f in schema:
-            if f.name in have and f.name != self.by and have[f.name] != f.dataType:
+            if f.name in have and have[f.name] != f.dataType:
                 raise ValueError(f"column {f.name} is {have[f.name].simpleString()}, not {f.dataType.simpleString()}")
 
+    def schema(self) -> StructType:
+        return StructType.fromJson(json.loads(self.spark.read.text(f"{self.path}/_schema").first()[0]))
+
     def upsert(self, points: DataFrame) -> None:
         """Replace the points of every source that is written; ids are stable, so writing twice changes nothing."""
         rows = points.withColumn("point_id", F.sha2(F.concat_ws("\x1f", self.by, F.col("section").cast("string"), F.col("chunk_index").cast("string")), 256))
@@ -45,13 +51,13 @@ class PointStore:
         fs.delete(path, True)
 
     def truncate(self) -> None:
-        schema = self.spark.read.parquet(self.path).schema
+        schema = self.schema()
         path, fs = self._files()
         fs.delete(path, True)
-        self.spark.createDataFrame([], schema).write.partitionBy(self.by).parquet(self.path)
+        self.ensure(schema)
 
     def points(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema(self.schema()).parquet(self.path)
 
     def scan(self, filters: dict | None = None, limit: int | None = None) -> DataFrame:
         """Points by payload alone, in order of id where they are limited."""
