@@ -192,7 +192,7 @@ def sentence_languages(df: DataFrame, key: str, text: str, logp: np.ndarray) ->
                 nos += range(1, len(cuts) + 1)
                 langs += [LANGUAGE[COMPONENTS[c]] for c in found]
                 sure += p.tolist()
-            yield pd.DataFrame({"record_key": keys, "sentence_no": nos, "lang": langs, "confidence": sure})
+            yield pd.DataFrame({"record_key": pd.Series(keys, dtype=object), "sentence_no": nos, "lang": pd.Series(langs, dtype=object), "confidence": sure})
 
     return _texts(df, key, text).mapInPandas(tag, "record_key string, sentence_no int, lang string, confidence double")
 
