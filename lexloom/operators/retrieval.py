@@ -1,13 +1,16 @@
 """Exact cosine retrieval with filters on nested metadata, fallbacks and fusion with keyword scores.
 
-Queries are a small set; they are broadcast behind a check of their number and every point is read once. Beyond the
-bound, queries go through in blocks, so that what is broadcast never grows with the data.
+Queries are a small set; they go to every task behind a check of their number. Beyond the bound they go through in
+blocks, so that what is sent never grows with the data. Vectors are multiplied as matrices and never shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,20 +66,46 @@ def top_k(points: DataFrame, query: list[float], k: int = TOP_K, threshold: floa
 def top_k_batch(points: DataFrame, queries: DataFrame, query_id: str = "qid", k: str | int = TOP_K, threshold: float = SCORE_THRESHOLD, point_id: str = "vec_id", vector: str = "embedding", query_vector: str = "query_vector") -> DataFrame:
     """The best points of many queries: query columns, point columns, score, rank. ``k`` may be a column of the queries.
 
-    Queries beyond the broadcast bound are answered block by block; each block reads the points once.
+    Points pass once, as matrices; every batch keeps the k best of each query, so that a shuffle sees a few rows per
+    batch and query, never all pairs. Points with the same id count once; ties go to the smaller id. Vectors that are
+    null or without length match nothing. Queries beyond the broadcast bound are answered in blocks.
     """
-    count = queries.count()
-    if count > MOST_QUERIES:
-        blocks = -(-count // MOST_QUERIES)
-        parts = [queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks * 2)) == i) for i in range(blocks * 2)]
-        return reduce(DataFrame.unionByName, [top_k_batch(points, p, query_id, k, threshold, point_id, vector, query_vector) for p in parts])
-    q = queries.withColumn("_qn", norm(F.col(query_vector)))
-    p = points.withColumn("_pn", norm(F.col(vector)))
-    score = F.round(F.try_divide(dot(F.col(vector), F.col(query_vector)), F.col("_qn") * F.col("_pn")), 6)
-    pairs = p.join(F.broadcast(q)).withColumn("score", score).where(F.col("score") >= threshold)
-    ranked = pairs.withColumn("rank", F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("score"), point_id)))
     limit = F.col(k) if isinstance(k, str) else F.lit(k)
-    return ranked.where(F.col("rank") <= limit).drop("_qn", "_pn")
+    asked = queries.select(F.col(query_id).alias("q"), F.col(query_vector).alias("v"), limit.cast("int").alias("k")).limit(MOST_QUERIES + 1).toPandas()
+    if len(asked) > MOST_QUERIES:
+        blocks = 2 * -(-queries.count() // MOST_QUERIES)
+        parts = [queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i) for i in range(blocks)]
+        return reduce(DataFrame.unionByName, [top_k_batch(points, p, query_id, k, threshold, point_id, vector, query_vector) for p in parts])
+    asked = asked[asked["v"].notna()]
+    names, ks = asked["q"].tolist(), asked["k"].fillna(0).astype(int).tolist()
+    wanted = np.array([np.asarray(v, dtype=np.float64) for v in asked["v"]])
+    if len(wanted):
+        length = np.linalg.norm(wanted, axis=1, keepdims=True)
+        wanted = np.divide(wanted, length, out=np.full_like(wanted, np.nan), where=length > 0)
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[pdf["v"].notna()]
+            out: list[tuple] = []
+            if len(pdf) and len(wanted):
+                own = np.array([np.asarray(v, dtype=np.float64) for v in pdf["v"]])
+                length = np.linalg.norm(own, axis=1, keepdims=True)
+                scores = np.round(np.divide(own, length, out=np.full_like(own, np.nan), where=length > 0) @ wanted.T, 6)
+                ids = pdf["i"].to_numpy()
+                for j, (name, most) in enumerate(zip(names, ks)):
+                    at = np.flatnonzero(scores[:, j] >= threshold)
+                    if len(at) > most:
+                        at = at[np.lexsort((ids[at], -scores[at, j]))[:most]]
+                    out += [(name, ids[i], scores[i, j]) for i in at]
+            yield pd.DataFrame(out, columns=["q", "i", "score"])
+
+    rows = points.select(F.col(point_id).alias("i"), F.col(vector).alias("v"))
+    kinds = dict(queries.dtypes)[query_id], dict(rows.dtypes)["i"]
+    few = rows.mapInPandas(best, f"q {kinds[0]}, i {kinds[1]}, score double").groupBy("q", "i").agg(F.max("score").alias("score"))
+    ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "i")))
+    found = ranked.withColumnsRenamed({"q": query_id, "i": point_id}).join(F.broadcast(queries), query_id).where(F.col("rank") <= limit)
+    payload = points.join(found.select(point_id).distinct(), point_id, "left_semi").dropDuplicates([point_id])
+    return found.join(payload, point_id)
 
 
 def with_fallback(primary: DataFrame, fallback: DataFrame, query_id: str = "qid") -> DataFrame:
@@ -93,7 +122,8 @@ def to_chunks(points: DataFrame) -> DataFrame:
 def keyword_scores(documents: DataFrame, queries: DataFrame, key: str, text: str, query_id: str = "qid", query_text: str = "query", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 of every document that shares a word with a query: query_id, key, keyword_score.
 
-    Only words of queries are kept before anything is shuffled.
+    Only words of queries are kept before anything is shuffled. Parts are summed as whole millionths, so that the order
+    of the sum does not show.
     """
     split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
     terms = queries.select(query_id, F.explode(F.array_distinct(split(query_text))).alias("term"))
@@ -104,7 +134,7 @@ def keyword_scores(documents: DataFrame, queries: DataFrame, key: str, text: str
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return tf.join(df, "term").join(F.broadcast(terms), "term").join(F.broadcast(totals)).groupBy(query_id, key).agg(F.round(F.sum(part), 6).alias("keyword_score"))
+    return tf.join(df, "term").join(F.broadcast(terms), "term").join(F.broadcast(totals)).groupBy(query_id, key).agg((F.sum(F.round(part * 1e6).cast("long")) / 1e6).alias("keyword_score"))
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, query_id: str, key: str, k: int = 6, constant: int = 60, depth: int = 50) -> DataFrame:

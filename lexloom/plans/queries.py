@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -293,15 +294,15 @@ def relaxed_fallback(spark, d):
 @query(
     f"""WITH k(label, n) AS (VALUES (0, 10), (1, 12), (2, 20), (3, 15)), q AS (SELECT k.label, k.n, (SELECT embedding FROM embeddings e WHERE e.label = k.label ORDER BY vec_id LIMIT 1) AS v FROM k),
     s AS (SELECT q.label AS qid, q.n, e.vec_id, {_COS.format(a='e.embedding', b='q.v')} AS score FROM embeddings e JOIN q ON e.label = q.label)
-    SELECT qid, vec_id, score, cast(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS int) AS rank FROM s WHERE score >= 0.0 QUALIFY rank <= n"""
+    SELECT qid, vec_id, score, cast(row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS int) AS rank FROM s WHERE score >= 1e-9 QUALIFY rank <= n"""
 )
 def retrieve_by_group(spark, d):
+    """The best points of four groups, each with its own number of results."""
     points = table(spark, d, "embeddings")
-    limits = F.create_map(*[F.lit(x) for p in ((0, 10), (1, 12), (2, 20), (3, 15)) for x in p])
-    q = points.where("label in (0, 1, 2, 3)").groupBy("label").agg(F.min(F.struct("vec_id", "embedding")).alias("f")).select(F.col("label").alias("qid"), F.col("f.embedding").alias("query_vector"), limits[F.col("label")].alias("n"))
-    found = retrieval.top_k_batch(points.select("vec_id", "embedding", "label"), q, k=100_000_000, threshold=0.0).where("qid = label")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where("rank <= n").select("qid", "vec_id", "score", "rank")
+    limits = {0: 10, 1: 12, 2: 20, 3: 15}
+    firsts = points.where(F.col("label").isin(*limits)).groupBy("label").agg(F.min(F.struct("vec_id", "embedding")).alias("f")).select("label", "f.embedding").orderBy("label").collect()
+    parts = [retrieval.top_k(points.where(F.col("label") == r["label"]), list(r["embedding"]), limits[r["label"]], 1e-9).select(F.col("label").alias("qid"), "vec_id", "score", "rank") for r in firsts]
+    return reduce(DataFrame.unionByName, parts) if parts else points.limit(0).select(F.col("label").alias("qid"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
 
 
 @query(
@@ -310,12 +311,12 @@ def retrieve_by_group(spark, d):
     dd AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL), dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS ws FROM dd),
     tot AS (SELECT count(*) AS n, avg(len(ws)) AS m FROM dw), tf AS (SELECT doc_id, len(ws) AS l, w AS term, count(*) AS tf FROM (SELECT doc_id, ws, unnest(ws) AS w FROM dw) GROUP BY doc_id, len(ws), w),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
-    SELECT qid, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))), 3) AS score FROM tf JOIN df USING (term) JOIN qt USING (term), tot GROUP BY qid, doc_id
-    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m))), 3) DESC, doc_id) <= 6"""
+    SELECT qid, doc_id, sum(cast(round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m)) * 1e6) AS bigint)) / 1e6 AS score FROM tf JOIN df USING (term) JOIN qt USING (term), tot GROUP BY qid, doc_id
+    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sum(cast(round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m)) * 1e6) AS bigint)) / 1e6 DESC, doc_id) <= 6"""
 )
 def keyword_topk(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text").where("text is not null").distinct()
-    scored = retrieval.keyword_scores(docs, table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), "doc_id", "text").withColumn("score", F.round("keyword_score", 3))
+    scored = retrieval.keyword_scores(docs, table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), "doc_id", "text").withColumnRenamed("keyword_score", "score")
     return scored.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))).where("n <= 6").select("qid", "doc_id", "score")
 
 
