@@ -119,22 +119,62 @@ def to_chunks(points: DataFrame) -> DataFrame:
     return points.withColumn("act_name", name).withColumn("year", F.coalesce(F.col("metadata.act_year"), F.lit(0)))
 
 
-def keyword_scores(documents: DataFrame, queries: DataFrame, key: str, text: str, query_id: str = "qid", query_text: str = "query", k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """BM25 of every document that shares a word with a query: query_id, key, keyword_score.
+def keyword_top_k(documents: DataFrame, queries: DataFrame, key: str, text: str, k: int = TOP_K, query_id: str = "qid", query_text: str = "query", k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """The k best documents of each query by BM25: query_id, key, keyword_score.
 
-    Only words of queries are kept before anything is shuffled. Parts are summed as whole millionths, so that the order
-    of the sum does not show.
+    Statistics are counted over all documents, for the queries' words only. Then documents pass once as matrices and
+    every batch keeps the k best of each query: a common word makes no pairs of all documents with all queries. Parts
+    are summed as whole millionths, so that the order of the sum does not show; ties go to the smaller key. A null text
+    holds no word. Queries beyond the bound are answered in blocks.
     """
     split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
-    terms = queries.select(query_id, F.explode(F.array_distinct(split(query_text))).alias("term"))
-    docs = documents.select(key, split(text).alias("words")).withColumn("length", F.size("words"))
-    totals = docs.agg(F.count("*").alias("n_docs"), F.avg("length").alias("mean_length"))
-    wanted = terms.select("term").distinct()
-    tf = docs.select(key, "length", F.explode("words").alias("term")).join(F.broadcast(wanted), "term").groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean_length")))
-    return tf.join(df, "term").join(F.broadcast(terms), "term").join(F.broadcast(totals)).groupBy(query_id, key).agg((F.sum(F.round(part * 1e6).cast("long")) / 1e6).alias("keyword_score"))
+    asked = queries.select(F.col(query_id).alias("q"), F.array_distinct(split(query_text)).alias("words")).limit(MOST_QUERIES + 1).toPandas()
+    if len(asked) > MOST_QUERIES:
+        blocks = 2 * -(-queries.count() // MOST_QUERIES)
+        parts = [queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i) for i in range(blocks)]
+        return reduce(DataFrame.unionByName, [keyword_top_k(documents, p, key, text, k, query_id, query_text, k1, b) for p in parts])
+    terms = sorted({w for ws in asked["words"] if ws is not None for w in ws})
+    place = {w: i for i, w in enumerate(terms)}
+    holds = np.zeros((len(terms), len(asked)))
+    for j, ws in enumerate(asked["words"]):
+        for w in ws if ws is not None else ():
+            holds[place[w], j] = 1
+    docs = documents.select(F.col(key).alias("i"), split(text).alias("words")).where("words is not null")
+    total = docs.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
+    wanted = documents.sparkSession.createDataFrame([(w,) for w in terms], "word string")
+    counted = docs.select(F.explode(F.array_distinct("words")).alias("word")).join(F.broadcast(wanted), "word").groupBy("word").agg(F.count("*").alias("df")).toPandas()
+    have = np.zeros(len(terms))
+    for w, n in zip(counted["word"], counted["df"]):
+        have[place[w]] = n
+    n_docs, mean = total["n"], total["mean"] or 1.0
+    idf = np.log(1 + (n_docs - have + 0.5) / (have + 0.5))
+    names = asked["q"].tolist()
+
+    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in batches:
+            out: list[tuple] = []
+            for at in range(0, len(whole), 1000):
+                pdf = whole.iloc[at : at + 1000]
+                tf = np.zeros((len(pdf), len(terms)))
+                for row, ws in zip(tf, pdf["words"]):
+                    for w in ws:
+                        t = place.get(w)
+                        if t is not None:
+                            row[t] += 1
+                length = pdf["words"].map(len).to_numpy(dtype=float)[:, None]
+                parts = np.round(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)) * 1e6)
+                scores, ids = parts @ holds, pdf["i"].to_numpy()
+                for j, name in enumerate(names):
+                    some = np.flatnonzero(scores[:, j] > 0)
+                    if len(some) > k:
+                        some = some[np.lexsort((ids[some], -scores[some, j]))[:k]]
+                    out += [(name, ids[i], scores[i, j] / 1e6) for i in some]
+            yield pd.DataFrame(out, columns=["q", "i", "keyword_score"])
+
+    kinds = dict(queries.dtypes)[query_id], dict(docs.dtypes)["i"]
+    few = docs.mapInPandas(best, f"q {kinds[0]}, i {kinds[1]}, keyword_score double").groupBy("q", "i").agg(F.max("keyword_score").alias("keyword_score"))
+    ranked = few.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("keyword_score"), "i"))).where(F.col("n") <= k)
+    return ranked.select(F.col("q").alias(query_id), F.col("i").alias(key), "keyword_score")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, query_id: str, key: str, k: int = 6, constant: int = 60, depth: int = 50) -> DataFrame:

@@ -316,8 +316,8 @@ def retrieve_by_group(spark, d):
 )
 def keyword_topk(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text").where("text is not null").distinct()
-    scored = retrieval.keyword_scores(docs, table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.col("text").alias("query")), "doc_id", "text").withColumnRenamed("keyword_score", "score")
-    return scored.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id"))).where("n <= 6").select("qid", "doc_id", "score")
+    questions = table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    return retrieval.keyword_top_k(docs, questions, "doc_id", "text", 6).withColumnRenamed("keyword_score", "score")
 
 
 @query(
@@ -340,7 +340,7 @@ def hybrid_search(spark, d):
     questions = table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
     vectors = questions.join(table(spark, d, "embeddings").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("query_vector")), "qid")
     dense = retrieval.top_k_batch(points, vectors.select("qid", "query_vector"), k=50, threshold=0.01)
-    return retrieval.fuse(dense, retrieval.keyword_scores(docs, questions, "vec_id", "text"), "qid", "vec_id")
+    return retrieval.fuse(dense, retrieval.keyword_top_k(docs, questions, "vec_id", "text", 50), "qid", "vec_id")
 
 
 def _case(patterns, default: str, column: str) -> str:
