@@ -86,7 +86,7 @@ def is_noise_line(c: Column | str) -> Column:
     others = F.length(F.regexp_replace(F.regexp_replace(solid, f"[{BLOCK}]", ""), r"\P{L}", ""))
     short = (n <= 4) & (signs >= n * 0.5)
     sparse = (n <= 6) & (bangla_count(solid) > 0) & (others == 0) & (signs >= 2)
-    return (n > 0) & (short | sparse)
+    return (n > 0) & (n <= 6) & (short | sparse)  # the length decides for almost every line before the rest is looked at
 
 
 def dehyphenate(c: Column | str) -> Column:
@@ -177,5 +177,6 @@ def split_sentences(c: Column | str) -> Column:
     rest = strip(F.regexp_replace(text, r"[^।\n]+।", ""))
     marked = F.concat(runs, F.array(rest))
     plain = F.split(text, r"(?<=[.!?])\s+")
-    out = F.when(F.size(runs) > 0, marked).otherwise(plain)
+    # without a danda the search for one would start again at every character
+    out = F.when(text.contains("।"), F.when(F.size(runs) > 0, marked).otherwise(plain)).otherwise(plain)
     return F.filter(F.transform(out, strip), lambda s: s != "")
