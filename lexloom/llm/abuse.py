@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.lookalikes import TO_LATIN
 
-WINDOW, STRIDE = 24, 16
-HIDDEN, WIDTH, BUCKETS = 12, 20, 1 << 13
+#: Every span of up to WINDOW - STRIDE + 1 words stands whole in some window; a longer one may be cut.
+WINDOW, STRIDE = 24, 8
+HIDDEN, WIDTH, BUCKETS = 14, 20, 1 << 13
 #: Windows that pass through the network at once.
 BATCH = 512
 
 #: Bounds of what is fitted on: reviewed documents and windows of them.
-MOST_DOCUMENTS, MOST_WINDOWS = 20_000, 12_000
+MOST_DOCUMENTS, MOST_WINDOWS = 20_000, 24_000
 
 _DRAWN = str.maketrans(TO_LATIN | {"\xad": "", "​": "", "‌": "", "‍": "", "⁠": "", "﻿": ""})
 _VEIL = re.compile("[" + "".join(map(chr, _DRAWN)) + "]")
@@ -80,7 +81,9 @@ def slots(word: str) -> list[int]:
     w = f"<{word}>"
     raw = w.encode()
     out = [zlib.crc32(raw) % BUCKETS] * 2
-    return out + [zlib.crc32(w[i : i + 3].encode()) % BUCKETS for i in range(len(w) - 2)]
+    for n in (2, 3, 4):
+        out += [zlib.crc32(w[i : i + n].encode()) % BUCKETS for i in range(len(w) - n + 1)]
+    return out
 
 
 def windows(n: int) -> list[int]:
@@ -103,9 +106,14 @@ class Network:
 
     def project(self, listed: list[list[int]]) -> np.ndarray:
         """Inputs to the gates of both directions for words given by their slots."""
-        e = np.stack([self.p["E"][s].sum(axis=0) / np.sqrt(len(s)) for s in listed])
+        e = self._sums(listed) / np.sqrt(np.array(list(map(len, listed)), np.float32))[:, None]
         return np.concatenate([e @ self.p["Wf"] + self.p["cf"], e @ self.p["Wb"] + self.p["cb"]], axis=1)
 
+    def _sums(self, listed: list[list[int]]) -> np.ndarray:
+        """Sums of the vectors of every word's slots; no word is without slots."""
+        sizes = np.fromiter(map(len, listed), np.int64, len(listed))
+        return np.add.reduceat(self.p["E"][np.concatenate(listed)], np.cumsum(sizes) - sizes, axis=0)
+
     @staticmethod
     def _sigmoid(x: np.ndarray) -> np.ndarray:
         return 0.5 * (np.tanh(0.5 * x) + 1)
@@ -140,13 +148,61 @@ class Network:
         prob = self._sigmoid(logit)
         return (prob, (h_all, a, pooled, trail)) if keep else prob
 
+    @staticmethod
+    def halves(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Projected words as ``read`` takes them: gates of either direction apart, sigmoids' inputs halved."""
+        half = np.repeat(np.array([0.5, 0.5, 1.0], np.float32), HIDDEN)
+        return table[:, : 3 * HIDDEN] * half, table[:, 3 * HIDDEN :] * half
+
+    def read(self, forward: np.ndarray, backward: np.ndarray, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """The probabilities of ``run`` for windows given by rows of the halves of a table of projected words."""
+        index, mask = index.T, mask.T
+        t, n = index.shape
+        both = 2 * HIDDEN  # both directions run side by side, the second one backwards
+        recur, cand = np.zeros((both, 2 * both), np.float32), np.zeros((both, both), np.float32)
+        for d, u in enumerate((self.p["Uf"], self.p["Ub"])):
+            own = slice(d * HIDDEN, (d + 1) * HIDDEN)
+            recur[own, own] = 0.5 * u[:, :HIDDEN]
+            recur[own, both + d * HIDDEN : both + (d + 1) * HIDDEN] = 0.5 * u[:, HIDDEN : 2 * HIDDEN]
+            cand[own, own] = u[:, 2 * HIDDEN :]
+        h = np.zeros((n, both), np.float32)
+        states = np.empty((t, n, both), np.float32)
+        gates = np.empty((n, 2 * both), np.float32)
+        for k in range(t):
+            x, w = forward[index[k]], backward[index[t - 1 - k]]
+            np.matmul(h, recur, out=gates)
+            gates[:, :HIDDEN] += x[:, :HIDDEN]
+            gates[:, HIDDEN:both] += w[:, :HIDDEN]
+            gates[:, both : both + HIDDEN] += x[:, HIDDEN : 2 * HIDDEN]
+            gates[:, both + HIDDEN :] += w[:, HIDDEN : 2 * HIDDEN]
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            c = (gates[:, both:] * h) @ cand
+            c[:, :HIDDEN] += x[:, 2 * HIDDEN :]
+            c[:, HIDDEN:] += w[:, 2 * HIDDEN :]
+            np.tanh(c, out=c)
+            c -= h
+            c *= gates[:, :both]
+            for part, m in ((c[:, :HIDDEN], mask[k]), (c[:, HIDDEN:], mask[t - 1 - k])):
+                if not m.all():
+                    part *= m[:, None]
+            h += c
+            states[k, :, :HIDDEN] = h[:, :HIDDEN]
+            states[t - 1 - k, :, HIDDEN:] = h[:, HIDDEN:]
+        score = states @ self.p["wa"] + (mask - 1) * 1e4
+        a = np.exp(score - score.max(axis=0))
+        a /= a.sum(axis=0)
+        logit = ((states @ self.p["wo"]) * a).sum(axis=0) + self.p["bo"]
+        return self._sigmoid(logit)
+
     def gradients(self, index: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, bags: list[list[int]]) -> dict[str, np.ndarray]:
         """Gradients of the weighted cross-entropy; index: windows x words into bags."""
         used, inverse = np.unique(index, return_inverse=True)
         inverse = inverse.reshape(index.shape)
         listed = [bags[i] for i in used]
         roots = np.sqrt(np.array([len(s) for s in listed], np.float32))
-        e = np.stack([self.p["E"][s].sum(axis=0) for s in listed]) / roots[:, None]
+        e = self._sums(listed) / roots[:, None]
         table = np.concatenate([e @ self.p["Wf"] + self.p["cf"], e @ self.p["Wb"] + self.p["cb"]], axis=1)
         px = table[inverse]
         prob, (h_all, a, pooled, trail) = self.run(px, mask, keep=True)
@@ -179,8 +235,9 @@ class Network:
                 dpx[:, k, off + 2 * HIDDEN : off + 3 * HIDDEN] = dc
                 dh = dn * (1 - m * z) + drh * r + dzr @ u[:, : 2 * HIDDEN].T
             g[f"U{d}"] = du
-        dtable = np.zeros_like(table)
-        np.add.at(dtable, inverse.ravel(), dpx.reshape(-1, dpx.shape[2]))
+        place = inverse.ravel()
+        order = np.argsort(place, kind="stable")
+        dtable = np.add.reduceat(dpx.reshape(-1, dpx.shape[2])[order], np.searchsorted(place[order], np.arange(len(used))), axis=0)
         de = np.zeros_like(e)
         for d, off in (("f", 0), ("b", 3 * HIDDEN)):
             part = dtable[:, off : off + 3 * HIDDEN]
@@ -189,8 +246,10 @@ class Network:
             de += part @ self.p[f"W{d}"].T
         de /= roots[:, None]
         ge = np.zeros_like(self.p["E"])
-        flat = np.concatenate([np.asarray(s) for s in listed])
-        np.add.at(ge, flat, np.repeat(de, [len(s) for s in listed], axis=0))
+        flat = np.concatenate(listed)
+        order = np.argsort(flat, kind="stable")
+        slot, first = np.unique(flat[order], return_index=True)
+        ge[slot] = np.add.reduceat(np.repeat(de, list(map(len, listed)), axis=0)[order], first, axis=0)
         g["E"] = ge
         return g
 
@@ -248,7 +307,7 @@ def verdicts(labels: pd.DataFrame) -> dict[int, float]:
     return truth.to_dict()
 
 
-def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 2, epochs: int = 4) -> tuple[Network, float]:
+def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 3, epochs: int = 6) -> tuple[Network, float]:
     """Network and threshold fitted to documents with probabilities ``y`` of being abusive.
 
     In the first round the windows of a positive document are told from the others by words that positive documents
@@ -301,31 +360,31 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 2, epoch
             some = pos if len(pos) <= MOST_WINDOWS // 2 else rng.choice(pos, MOST_WINDOWS // 2, replace=False)
             times = max(1, int(round(len(negs) / max(len(some), 1) / 4)))
             order = rng.permutation(np.concatenate([*[some] * times, negs]))
-            for at in range(0, len(order), 256):
-                b = order[at : at + 256]
+            for at in range(0, len(order), 128):
+                b = order[at : at + 128]
                 idx = index[b].copy()
                 drop = (rng.random(idx.shape) < 0.08) & (mask[b] > 0)
                 idx[drop] = data.word("#")
                 g = net.gradients(idx, mask[b], target[b] * 0.98 + 0.01, np.ones(len(b), np.float32), data.bags)
                 step += 1
-                rate_now = 0.009 * min(1, step / 50) * (1 - 0.8 * epoch / epochs)
+                rate_now = 0.006 * min(1, step / 50) * (1 - 0.8 * epoch / epochs)
                 for k, v in g.items():
                     m[k] += 0.1 * (v - m[k])
                     s[k] += 0.01 * (v * v - s[k])
                     net.p[k] -= rate_now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-7) + rate_now * 1e-4 * net.p[k]
         belief = probabilities(net, data, index, mask)
-    # the highest threshold that agrees with the reviews about as well as the best one
+    # the threshold that agrees best with the reviews
     best = pd.Series(belief).groupby(doc).max().reindex(range(len(cuts)), fill_value=0.0).to_numpy()
-    marks = np.linspace(0.2, 0.9, 15)
-    gain = np.array([2 * (y * (best >= t)).sum() / ((best >= t).sum() + y.sum() + 1e-9) for t in marks])
-    return net, float(marks[np.flatnonzero(gain >= gain.max() - 0.005).max()])
+    marks = np.linspace(0.2, 0.95, 16)
+    gain = [2 * (y * (best >= t)).sum() / ((best >= t).sum() + y.sum() + 1e-9) - 1e-3 * abs(t - 0.6) for t in marks]
+    return net, float(marks[int(np.argmax(gain))])
 
 
 def probabilities(net: Network, data: Data, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    table = net.project(data.bags)
+    forward, backward = net.halves(net.project(data.bags))
     out = np.zeros(len(index), np.float32)
     for at in range(0, len(index), BATCH):
-        out[at : at + BATCH] = net.run(table[index[at : at + BATCH]], mask[at : at + BATCH])
+        out[at : at + BATCH] = net.read(forward, backward, index[at : at + BATCH], mask[at : at + BATCH])
     return out
 
 
@@ -347,20 +406,23 @@ def scores(documents: DataFrame, net: Network, carry: list[str] = ()) -> DataFra
         own = Network()
         own.p = p
         data = Data()
-        table = np.zeros((0, 6 * HIDDEN), np.float32)
+        forward = backward = np.zeros((0, 3 * HIDDEN), np.float32)
         for pdf in batches:
             if len(data.raw) > data.keep:
-                data, table = Data(), np.zeros((0, 6 * HIDDEN), np.float32)
+                data = Data()
+                forward = backward = np.zeros((0, 3 * HIDDEN), np.float32)
             cuts = [data.cut(t) if t else (np.zeros((0, WINDOW), np.int64), np.zeros((0, WINDOW), np.float32)) for t in pdf["text"]]
-            if len(data.bags) > len(table):
-                new = data.bags[len(table) :]
-                table = np.concatenate([table, *[own.project(new[i : i + 4096]) for i in range(0, len(new), 4096)]])
+            if len(data.bags) > len(forward):
+                new = data.bags[len(forward) :]
+                parts = [own.halves(own.project(new[i : i + 4096])) for i in range(0, len(new), 4096)]
+                forward = np.concatenate([forward, *[f for f, _ in parts]])
+                backward = np.concatenate([backward, *[b for _, b in parts]])
             out = np.zeros(len(pdf))
             index = np.concatenate([c[0] for c in cuts])
             mask = np.concatenate([c[1] for c in cuts])
             doc = np.repeat(np.arange(len(cuts)), [len(c[0]) for c in cuts])
             for at in range(0, len(index), BATCH):
-                prob = own.run(table[index[at : at + BATCH]], mask[at : at + BATCH])
+                prob = own.read(forward, backward, index[at : at + BATCH], mask[at : at + BATCH])
                 np.maximum.at(out, doc[at : at + BATCH], prob)
             yield pdf[["doc_id", *kept]].assign(score=out)
 

@@ -168,3 +168,28 @@ def test_reviewers_are_weighed():
     got = abuse.verdicts(pd.DataFrame(rows, columns=["doc_id", "reviewer", "verdict"]))
     assert all((p > 0.5) == (d % 3 == 0) for d, p in got.items())
     assert abuse.verdicts(pd.DataFrame(columns=["doc_id", "reviewer", "verdict"])) == {}
+
+
+def test_every_span_stands_whole_in_a_window():
+    most = abuse.WINDOW - abuse.STRIDE + 1
+    for n in (1, 24, 25, 40, 97):
+        starts = abuse.windows(n)
+        for length in range(1, min(17, n) + 1):
+            assert all(any(w <= s and s + length <= w + abuse.WINDOW for w in starts) for s in range(n - length + 1)), (n, length)
+    assert most == 17
+
+
+def test_pieces_of_two_three_and_four_letters():
+    whole = set(abuse.slots("abcde"))
+    assert {abuse.zlib.crc32(p.encode()) % abuse.BUCKETS for p in ("<a", "ab", "abc", "abcd", "cde>", "<abcde>")} <= whole
+
+
+def test_read_gives_what_run_gives():
+    rng = np.random.default_rng(5)
+    net = abuse.Network(3)
+    table = net.project([abuse.slots(f"w{i}") for i in range(50)])
+    index = rng.integers(0, 50, (70, abuse.WINDOW))
+    index[40:] = index[:30]
+    mask = np.ones(index.shape, np.float32)
+    mask[5, 3:] = mask[45, 9:] = 0
+    assert np.allclose(net.read(*net.halves(table), index, mask), net.run(table[index], mask), atol=1e-5)
