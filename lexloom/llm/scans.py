@@ -30,6 +30,8 @@ CONFUSIONS = [
 ]
 #: Hyphen-like signs at the end of a line. All but the first are no part of ordinary words.
 HYPHENS = "-‐‑\xad¬⁃−"
+#: Prices of a join across a blank, and of leaving two pieces apart at a hyphen that ends a line.
+JOIN, APART = 8.0, 1e4
 _TOKEN = re.compile(r"[^\s.,;:!?।॥“”‘’\"'()\[\]«»…–—·/©£§°&（）。，！？：；《》「」•=+*<>#%~^{}\xad¬‐‑]+")
 _CJK = re.compile("[㐀-鿿]")
 _DIGITS = r"[0-9০-৯०-९]{1,4}"
@@ -126,6 +128,7 @@ class Reader:
                 self.gaps.append((right, cost))
         self.longest = max(map(len, self.swaps), default=1)
         self.known: dict[str, str | None] = {}
+        self.paid: dict[str, float] = {}
 
     def cost(self, word: str) -> float:
         n = self.counts.get(word, 0)
@@ -145,23 +148,93 @@ class Reader:
                 yield word[:i] + right + word[i:], cost
 
     def meant(self, word: str) -> str | None:
-        """The common word that a word misreads, or None if it stands for itself."""
+        """The common word that a word misreads by one or two confusions, or None if it stands for itself."""
         got = self.known.get(word, "")
         if got == "":
             if len(self.known) > 300_000:
                 self.known.clear()
-            own, best = self.counts.get(word, 0), None
+                self.paid.clear()
+            own, best, low = self.counts.get(word, 0), None, self.cost(word) + 4.0
             if len(word) >= 3 and not word.isdecimal():
-                low = 9e9
+                once: dict[str, float] = {}
                 for made, cost in self.repairs(word):
-                    n = self.counts.get(made, 0)
-                    if n >= self.common and n >= 20 * own and len(made) >= 3:
-                        price = self.cost(made) + cost
-                        if price < low and price < self.cost(word) + 4.0:
-                            low, best = price, made
+                    once[made] = min(cost, once.get(made, 9e9))
+                tried = once
+                for turn in range(2):
+                    for made, cost in tried.items():
+                        n = self.counts.get(made, 0)
+                        if n >= self.common and n >= 20 * own and len(made) >= 3 and self.cost(made) + cost < low:
+                            low, best = self.cost(made) + cost, made
+                    if turn or best is not None or own or len(word) < 6:
+                        break
+                    tried = {}
+                    for part, cost in once.items():
+                        for made, more in self.repairs(part):
+                            if self.counts.get(made, 0) >= self.common:
+                                tried[made] = min(cost + more, tried.get(made, 9e9))
+            if best is not None:
+                self.paid[word] = low
             got = self.known[word] = best
         return got
 
+    def reading(self, word: str) -> tuple[float, str]:
+        """Price and word of the cheapest reading of one piece."""
+        right = self.meant(word)
+        return (self.cost(word), word) if right is None else (self.paid[word], right)
+
+    def plain(self, word: str) -> bool:
+        """Whether a piece has no reading but itself, and none with its neighbours either."""
+        return word.isdecimal() or _CJK.search(word) is not None or self.counts.get(word, 0) >= self.common and self.meant(word) is None
+
+    def halves(self, word: str) -> tuple[float, str] | None:
+        """Price and text of the cheapest two common words that make up an unknown one."""
+        if len(word) < 6 or self.counts.get(word, 0) or not word.isalpha():
+            return None
+        least = 5 * self.common
+        made = [(self.cost(a) + self.cost(b) + 4.0, f"{a} {b}") for k in range(3, len(word) - 2) if self.counts.get(a := word[:k], 0) >= least and self.counts.get(b := word[k:], 0) >= least]
+        return min(made, default=None)
+
+    def path(self, pieces: list[str], gaps: list[str]) -> list[tuple[int, int, str, str]]:
+        """The cheapest path through the lattice of pieces, without the edges of pieces that stand for themselves.
+
+        ``gaps``: blank, hyphen, broken (a hyphen no compound has) or "" (neither) after every piece but the last.
+        Edges: first piece, end, reading, and misread, split, broken_word or compound. A join that is misread as well has both names.
+        """
+        best: list[tuple[float, int, str, str]] = [(0.0, 0, "", "")]
+        for j, w in enumerate(pieces, 1):
+            before = best[j - 1][0]
+            price, right = self.reading(w)
+            options = [(before + price, j - 1, right, "misread" if right != w else "")]
+            if right == w and (two := self.halves(w)) is not None:
+                options.append((before + two[0], j - 1, two[1], "split"))
+            gap = gaps[j - 2] if j > 1 else ""
+            if gap:
+                x, whole, start = pieces[j - 2], pieces[j - 2] + w, best[j - 2][0]
+                price, right = self.reading(whole)
+                name = "broken_word" + (" misread" if right != whole else "")
+                known, both = self.counts.get(whole, 0), min(self.counts.get(x, 0), self.counts.get(w, 0)) >= self.common
+                if gap == "blank":
+                    if not (self.plain(x) and self.plain(w)) and not x.isdecimal() and not w.isdecimal() and not _CJK.search(whole) and (known >= self.common or right != whole and not self.plain(x) and not self.plain(w)):
+                        options.append((start + price + JOIN, j - 2, right, name))
+                else:
+                    options[0] = (options[0][0] + APART, *options[0][1:])
+                    options = options[:1]
+                    kept = self.counts.get(f"{x}-{w}", 0)
+                    if gap == "broken" or known > kept or not kept and not known and (right != whole or not both):
+                        options.append((start + price, j - 2, right, name))
+                    else:
+                        (a, left), (b, after) = self.reading(x), self.reading(w)
+                        made = f"{x}-{w}" if kept else f"{left}-{after}"
+                        options.append((start + (self.cost(made) if kept else a + b), j - 2, made, "compound" + (" misread" if made != f"{x}-{w}" else "")))
+            best.append(min(options))
+        out, j = [], len(pieces)
+        while j:
+            _, i, right, name = best[j]
+            if name:
+                out.append((i, j, right, name))
+            j = i
+        return out[::-1]
+
 
 def furniture(lines: list[str], titles: list[list[str]]) -> list[str]:
     """What every line of a page is: text, blank, page_number, running_header or stray_marks."""
@@ -182,74 +255,87 @@ def furniture(lines: list[str], titles: list[list[str]]) -> list[str]:
     return kinds
 
 
+def _cased(right: str, w: str) -> str:
+    return right.upper() if w.isupper() and len(w) > 1 else right[:1].upper() + right[1:] if w[0].isupper() else right
+
+
+def _letter(c: str) -> bool:
+    return c.isalpha() or unicodedata.category(c)[0] == "M"
+
+
 def decode(lines: list[str], kinds: list[str], reader: Reader, rewrite: bool = True) -> tuple[list[str], Counter]:
     """The text lines of a page with words mended, and how often a word was broken or misread.
 
-    Without ``rewrite``, lines stay as they are after the hyphens, and each different misread word counts once.
-
-    Hyphens are resolved first: the pieces round one are joined, kept as a compound, or left. The remaining words go
-    through the lattice; a word that is common decodes to itself, so paths only part round the others.
+    The words of all lines are the pieces of one lattice, whose cheapest path is taken. A piece that has no other
+    reading is on every path, so only the stretches between such pieces are decoded. Without ``rewrite``, lines stay.
     """
     found: Counter = Counter()
-    out: list[str] = []
-    text = [i for i, k in enumerate(kinds) if k == "text"]
-    rest = {i: lines[i] for i in text}
-    for a, b in zip(text, text[1:]):
-        line = rest[a].rstrip()
-        if line and line[-1] in HYPHENS and len(line) > 1 and not line[-2].isspace() and (line[-2].isalpha() or unicodedata.category(line[-2])[0] == "M"):
-            left = words(line[:-1])
-            after = rest[b].lstrip()
-            right = _TOKEN.match(after)
-            if left and line[:-1].endswith(left[-1]) and right and not after[0].isspace() and (right.group()[0].isalpha() or unicodedata.category(right.group()[0])[0] == "M"):
-                x, y = left[-1].lower(), right.group().lower()
-                whole = x + y
-                broken = line[-1] != "-"
-                if not broken:
-                    joined = reader.counts.get(whole, 0)
-                    kept = reader.counts.get(f"{x}-{y}", 0)
-                    broken = joined > kept or (not kept and (not joined and (reader.meant(whole) is not None or not (reader.counts.get(x, 0) >= reader.common and reader.counts.get(y, 0) >= reader.common))))
-                if broken and right.group()[0].isupper() and reader.counts.get(whole, 0) == 0:
-                    broken = False
-                if broken:
-                    found["broken_word"] += 1
-                    rest[a] = line[:-1] + right.group()
-                    rest[b] = after[right.end() :].lstrip() if after[right.end() : right.end() + 1].isspace() else after[right.end() :]
+    text = [lines[i].rstrip() for i, k in enumerate(kinds) if k == "text"]
+    at: list[tuple[int, int, int]] = []  # line, start and end of every piece
+    pieces: list[str] = []
+    for k, line in enumerate(text):
+        for m in _TOKEN.finditer(line):
+            cut = m.end() == len(line) and k + 1 < len(text) and len(m.group()) > 1 and line[-1] in HYPHENS
+            at.append((k, m.start(), m.end() - cut))
+            pieces.append(m.group()[:-1] if cut else m.group())
+    low = [w.lower() for w in pieces]
+    plain = {w: reader.plain(w) for w in set(low)}
+    turns = [k for k in range(1, len(at)) if at[k - 1][0] == at[k][0] - 1 and text[at[k - 1][0]][-1] in HYPHENS and len(text[at[k - 1][0]]) > 1]
+    open_at = {k for k, w in enumerate(low) if not plain[w]}
+    gaps = [""] * max(len(low) - 1, 0)
+    for k in turns:
+        a, b, end = at[k - 1][0], at[k], at[k - 1][2]
+        line, after = text[a], text[b[0]]
+        if end == len(line) - 1 and _letter(line[-2]) and not after[: b[1]].strip() and _letter(after[b[1]]):
+            whole = low[k - 1] + low[k]
+            capital = pieces[k][0].isupper() and reader.counts.get(whole, 0) == 0
+            gaps[k - 1] = "name" if capital else "hyphen" if line[-1] == "-" else "broken"
+            open_at |= {k - 1, k}
+    near_by = sorted({n for k in open_at for n in (k - 1, k, k + 1) if 0 <= n < len(low)})
+    for k in near_by:
+        if k + 1 < len(low) and not gaps[k] and not pieces[k + 1][0].isupper():
+            (a, _, end), (b, start, _) = at[k], at[k + 1]
+            between = text[a][end:start] if a == b else text[a][end:] + text[b][:start] if b == a + 1 else "-"
+            gaps[k] = "" if between.strip() else "blank"
+    edits: list[tuple[int, int, int, str]] = []
+    moved = [k for k, g in enumerate(gaps) if g == "name"]  # a compound whose second part opens with a capital
+    for k in moved:
+        gaps[k] = ""
+    n = 0
+    while n < len(near_by):
+        m = n
+        while m + 1 < len(near_by) and near_by[m + 1] == near_by[m] + 1:
+            m += 1
+        first, last = near_by[n], near_by[m] + 1
+        for i, j, right, name in reader.path(low[first:last], gaps[first : last - 1]):
+            i, j = i + first, j + first
+            found.update(x for x in name.split() if x in ("broken_word", "misread"))
+            if not rewrite:
+                continue
+            (a, start, end), (b, s2, e2) = at[i], at[j - 1]
+            if name == "split":
+                if not pieces[i][0].isupper():
+                    edits.append((a, start, end, right))
+            elif j == i + 1:
+                edits.append((a, start, end, _cased(right, pieces[i])))
+            else:
+                own = pieces[i] + ("-" if name.startswith("compound") else "") + pieces[j - 1]
+                made = own if right == own.lower() else _cased(right, pieces[i])
+                if a == b:
+                    edits.append((a, start, e2, made))
                 else:
-                    rest[a] = line + right.group()
-                    rest[b] = after[right.end() :].lstrip()
-    counts = reader.counts
+                    edits += [(a, start, len(text[a]), made), (b, 0, e2 + len(text[b][e2:]) - len(text[b][e2:].lstrip()), "")]
+        n = m + 1
     if not rewrite:
-        known = reader.known
-        for w in set(_TOKEN.findall("\n".join(rest.values()).lower())):
-            right = known.get(w, "")
-            if right == "":
-                right = None if _CJK.search(w) else reader.meant(w)
-            found["misread"] += right is not None
-        return list(rest.values()), +found
-    for i in text:
-
-        def mend(m: re.Match) -> str:
-            w = m.group()
-            low = w.lower()
-            if counts.get(low, 0) >= reader.common and reader.known.get(low, None) is None and low in reader.known:
-                return w
-            if _CJK.search(low):
-                return w
-            right = reader.meant(low)
-            if right is None:
-                if w[-1] in HYPHENS or len(low) < 6 or counts.get(low, 0) or not low.isalpha() or w[0].isupper():
-                    return w
-                # split: two common words without a blank
-                for k in range(3, len(low) - 2):
-                    a, b = low[:k], low[k:]
-                    if counts.get(a, 0) >= 5 * reader.common and counts.get(b, 0) >= 5 * reader.common and reader.cost(a) + reader.cost(b) + 4 < reader.cost(low):
-                        return f"{a} {b}"
-                return w
-            found["misread"] += 1
-            return right.upper() if w.isupper() and len(w) > 1 else right.capitalize() if w[0].isupper() else right
-
-        out.append(_TOKEN.sub(mend, rest[i]))
-    return out, found
+        return text, +found
+    for line, start, end, made in sorted(edits, reverse=True):
+        text[line] = text[line][:start] + made + text[line][end:]
+    for k in reversed(moved):
+        a, b = at[k][0], at[k + 1][0]
+        cut_at = next((m.end() for m in _TOKEN.finditer(text[b])), 0)
+        if text[a][-1:] in HYPHENS:
+            text[a], text[b] = text[a] + text[b][:cut_at].lstrip(), text[b][cut_at:].lstrip()
+    return text, +found
 
 
 def paragraphs(lines: list[str]) -> list[str]:
@@ -307,7 +393,7 @@ def vocabulary(files: DataFrame, pages: str, most_words: int = 200_000) -> tuple
     return dict(zip(kept["word"], kept["n"])), n_files, counted.where(F.col("n") < least), least
 
 
-def learn_confusions(counts: dict[str, int], rare: DataFrame, common: int, support: int = 10) -> dict[tuple[str, str], float]:
+def learn_confusions(counts: dict[str, int], rare: DataFrame, common: int, support: int = 5) -> dict[tuple[str, str], float]:
     """Costs of confusions: the fixed ones, and edits by which many different rare words differ from common ones."""
     targets = {w for w, n in counts.items() if n >= common and len(w) >= 5 and w.isalpha() or "ঀ" <= w[:1] <= "৿" and n >= common and len(w) >= 5}
     shorter: dict[str, list[str]] = {}
@@ -342,13 +428,23 @@ def learn_confusions(counts: dict[str, int], rare: DataFrame, common: int, suppo
         yield pd.DataFrame(sorted(out), columns=["right", "wrong", "target"])
 
     learnt = rare.select("word").mapInPandas(edits, "right string, wrong string, target string").groupBy("right", "wrong").agg(F.count_distinct("target").alias("n")).where(F.col("n") >= support).toPandas()
+    return confusion_costs(learnt.itertuples(index=False, name=None), targets)
+
+
+def confusion_costs(learnt: Iterable[tuple[str, str, int]], targets: set[str]) -> dict[tuple[str, str], float]:
+    """Costs of the fixed confusions and of all learnt ones, each by its own evidence.
+
+    The rarer a pair is among the common words that have its right side, the dearer it is: 4 if every one of them is
+    met misread, one more for each factor of e. A fixed confusion never costs more than without evidence.
+    """
+    letters = Counter(c for w in targets for c in set(w))
     out = {pair: 6.0 for pair in CONFUSIONS}
-    top = max(learnt["n"].max() if len(learnt) else 1, 1)
-    for right, wrong, n in learnt.itertuples(index=False):
+    for right, wrong, n in learnt:
+        price = 4.0 + math.log(max(letters.get(right, 0) if right else len(targets), n) / n)
         if (right, wrong) in out:
-            out[right, wrong] = 6.0 - min(2.0, n / top * 2)
-        elif n >= 0.3 * top and right and wrong and not (right.isdecimal() or wrong.isdecimal()):
-            out[right, wrong] = 7.0
+            out[right, wrong] = min(6.0, price)
+        elif right and wrong and wrong != "\ufffd" and not (right.isdecimal() or wrong.isdecimal()):  # what a decoder lost is no misreading
+            out[right, wrong] = price
     return out
 
 

@@ -214,3 +214,27 @@ def test_vocabulary_counts_files(spark):
     df = spark.createDataFrame([(["a b", "b c"],), (["b"],), (None,), ([None],)], "pages array<string>")
     counts, n, _, _ = scans.vocabulary(df, "pages")
     assert n == 3 and counts == {"b": 2}
+
+
+@pytest.mark.parametrize(
+    "lines, mended, noise",
+    [
+        (["keep the regi ster of stalls"], "keep the register of stalls", {"broken_word": 1}),
+        (["keep the regi", "ster of stalls"], "keep the register of stalls", {"broken_word": 1}),
+        (["the 1nspect0r shall"], "the inspector shall", {"misread": 1}),
+        (["the inspe-", "ct0r shall keep a by-", "law"], "the inspector shall keep a by-law", {"broken_word": 1, "misread": 1}),
+        (["of marketstalls and a tea chest"], "of market stalls and a tea chest", {}),
+        (["the tea chests shall keep"], "the tea chests shall keep", {}),
+    ],
+)
+def test_cheapest_path_over_the_lines(lines, mended, noise):
+    text, found = scans.decode(lines, ["text"] * len(lines), reader())
+    assert " ".join(x for x in text if x) == mended and found == noise
+    assert scans.decode(lines, ["text"] * len(lines), reader(), rewrite=False)[1] == noise
+
+
+def test_every_learnt_confusion_has_its_own_cost():
+    targets = {f"k{c}word" for c in "abcdefghij"} | {"zebra"}
+    got = scans.confusion_costs([("e", "c", 1000), ("k", "x", 10), ("w", "y", 5), ("o", "�", 9), ("1", "2", 9)], targets)
+    assert got["k", "x"] == 4.0 and 4.0 < got["w", "y"] < 5.0 and got["e", "c"] == 4.0 and got["s", "5"] == 6.0
+    assert ("o", "�") not in got and ("1", "2") not in got
