@@ -344,19 +344,18 @@ def paragraphs(lines: list[str]) -> list[str]:
     if not lines:
         return []
     width = sorted(map(len, lines))[int(0.9 * (len(lines) - 1))]
-    best = [(0.0, 0)]
+    # inside[k]: cost of all joints up to the one before line k, so that of a paragraph is a difference of two
+    inside, best = [0.0, 0.0], [(0.0, 0)]
+    for k in range(1, len(lines)):
+        before, now = lines[k - 1], lines[k]
+        inside.append(inside[-1] + (9.0 if _LABEL.match(now) else 0.0) + (2.5 if _END.search(before) and len(before) < 0.75 * width else 0.0))
+    start = (9e9, 0)  # the cheapest start of a paragraph so far
     for j in range(1, len(lines) + 1):
-        options = []
-        for i in range(max(0, j - 60), j):
-            cost = best[i][0] + 2.0
-            for k in range(i + 1, j):  # joints inside the paragraph
-                before, now = lines[k - 1], lines[k]
-                cost += 9.0 if _LABEL.match(now) else 0.0
-                cost += 2.5 if _END.search(before) and len(before) < 0.75 * width else 0.0
-            if j < len(lines):
-                cost += 0.0 if _LABEL.match(lines[j]) else 4.0 if not _END.search(lines[j - 1]) else 1.0
-            options.append((cost, i))
-        best.append(min(options))
+        start = min(start, (best[j - 1][0] + 2.0 - inside[j], j - 1))
+        cost = start[0] + inside[j]
+        if j < len(lines):
+            cost += 0.0 if _LABEL.match(lines[j]) else 4.0 if not _END.search(lines[j - 1]) else 1.0
+        best.append((cost, start[1]))
     out, j = [], len(lines)
     while j:
         i = best[j][1]
@@ -402,7 +401,7 @@ def learn_confusions(counts: dict[str, int], rare: DataFrame, common: int, suppo
             shorter.setdefault(w[:i] + w[i + 1 :], []).append(w)
 
     def edits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: set[tuple[str, str, str]] = set()
+        out: dict[tuple[str, str, str], float] = {}
         for pdf in batches:
             for w in pdf["word"]:
                 if len(w) < 4 or w in targets:
@@ -413,8 +412,6 @@ def learn_confusions(counts: dict[str, int], rare: DataFrame, common: int, suppo
                     near_by.update(shorter.get(cut, ()))
                     if cut in targets:
                         near_by.add(cut)
-                if len(near_by) > 3:
-                    continue
                 for c in near_by:
                     i = 0
                     while i < min(len(w), len(c)) and w[i] == c[i]:
@@ -424,14 +421,16 @@ def learn_confusions(counts: dict[str, int], rare: DataFrame, common: int, suppo
                         j += 1
                     right, wrong = c[i : len(c) - j], w[i : len(w) - j]
                     if len(right) <= 1 and len(wrong) <= 1:
-                        out.add((right, wrong, c))
-        yield pd.DataFrame(sorted(out), columns=["right", "wrong", "target"])
+                        out[right, wrong, c] = max(1 / len(near_by), out.get((right, wrong, c), 0.0))
+        yield pd.DataFrame([(*k, x) for k, x in sorted(out.items())], columns=["right", "wrong", "target", "share"])
 
-    learnt = rare.select("word").mapInPandas(edits, "right string, wrong string, target string").groupBy("right", "wrong").agg(F.count_distinct("target").alias("n")).where(F.col("n") >= support).toPandas()
+    # a rare word with several common neighbours shares its evidence among them
+    shares = rare.select("word").mapInPandas(edits, "right string, wrong string, target string, share double").groupBy("right", "wrong", "target").agg(F.max("share").alias("share"))
+    learnt = shares.groupBy("right", "wrong").agg(F.sum("share").alias("n")).where(F.col("n") >= support).toPandas()
     return confusion_costs(learnt.itertuples(index=False, name=None), targets)
 
 
-def confusion_costs(learnt: Iterable[tuple[str, str, int]], targets: set[str]) -> dict[tuple[str, str], float]:
+def confusion_costs(learnt: Iterable[tuple[str, str, float]], targets: set[str]) -> dict[tuple[str, str], float]:
     """Costs of the fixed confusions and of all learnt ones, each by its own evidence.
 
     The rarer a pair is among the common words that have its right side, the dearer it is: 4 if every one of them is

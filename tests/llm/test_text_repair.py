@@ -238,3 +238,16 @@ def test_every_learnt_confusion_has_its_own_cost():
     got = scans.confusion_costs([("e", "c", 1000), ("k", "x", 10), ("w", "y", 5), ("o", "�", 9), ("1", "2", 9)], targets)
     assert got["k", "x"] == 4.0 and 4.0 < got["w", "y"] < 5.0 and got["e", "c"] == 4.0 and got["s", "5"] == 6.0
     assert ("o", "�") not in got and ("1", "2") not in got
+
+
+def test_long_paragraphs_stay_whole():
+    lines = ["this line runs on and on without an end"] * 150 + ["and ends here."]
+    assert scans.paragraphs(lines) == [" ".join(lines)]
+    assert scans.paragraphs(["One ends here.", "(1) two goes", "on here.", "(2) three."]) == ["One ends here.", "(1) two goes on here.", "(2) three."]
+
+
+def test_rare_words_of_many_neighbours_count_in_shares(spark):
+    counts = {f"{c}alker": 500 for c in "wtbs"}
+    rare = spark.createDataFrame([("xalker",)], "word string")
+    got = scans.learn_confusions(counts, rare, 10, support=0.2)
+    assert all((c, "x") in got for c in "wtbs")
