@@ -185,19 +185,23 @@ def _paragraph(text: str, offset: int) -> Iterator[tuple[int, int]]:
     for j in range(n):
         s, e, opened, quoted = nodes[j]
         cheapest = (9e9, -1)
-        for i in range(len(best) - 1, max(-1, len(best) - 65), -1):
+        far = None  # the gap's price for all starts that it does not look back to
+        for i in range(len(best) - 1, -1, -1):
             price, begin = best[i][0], ends[i]
             if price >= 9e9 or begin > s:
                 continue
-            body = text[begin:e]
-            if len(body) < 14 and _LABEL.match(body):
+            if e - begin < 14 and _LABEL.match(text[begin:e]):
                 continue
             cost = price + 20.0 * (seen[i] != opened)
             if quoted not in (True, False):  # a bracket closed here
                 own = quoted != "(" and not text[begin:quoted].strip(" \n\t") or (quoted != "(" and _LABEL.match(text[begin:quoted]) is not None)
                 cost += -4.0 if own and _gap(text, s, e, False, begin) < 3 else 5.0
             elif cost < 15 + price:
-                cost += _gap(text, s, e, quoted is True, begin)
+                if quoted is True or begin > s - 24:
+                    cost += _gap(text, s, e, quoted is True, begin)
+                else:
+                    far = _gap(text, s, e, False, begin) if far is None else far
+                    cost += far
             else:
                 cost += 5.0
             if cost < cheapest[0]:

@@ -251,3 +251,10 @@ def test_rare_words_of_many_neighbours_count_in_shares(spark):
     rare = spark.createDataFrame([("xalker",)], "word string")
     got = scans.learn_confusions(counts, rare, 10, support=0.2)
     assert all((c, "x") in got for c in "wtbs")
+
+
+def test_sentences_of_any_number_of_marks():
+    long = "The Board said: “It is " + " or ".join(f"{i}.5" for i in range(100)) + " now.” and left."
+    assert cuts(f"{long} Next one.") == [long, "Next one."]
+    rates = "The rates (" + ", ".join(f"{i}.5" for i in range(100)) + ") apply to it."
+    assert cuts(f"{rates} Next one.") == [rates, "Next one."]
