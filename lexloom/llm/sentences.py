@@ -2,9 +2,9 @@
 
 Spaced scripts: every run of terminators is a node of a lattice, an edge is a possible sentence, and dynamic
 programming takes the cheapest path. The cost of an edge counts quotations and brackets it leaves open, and the gap
-at its end is priced from the word before it, the word after it and the state of quotations. Spaceless scripts: the
-text round a gap is first cut into words over a dictionary lattice; final particles before the gap and opening words
-after it decide.
+at its end is priced from the word before it, the word after it and the state of quotations. Spaceless scripts: an
+end mark ends a sentence; after a closing quotation the text is cut over a lattice of a fixed list of words, and verbs
+that report or words that carry on decide. Without marks, such a paragraph is one sentence.
 """
 
 from __future__ import annotations
