@@ -3,7 +3,8 @@
 Text read with a wrong code page replaces every byte by one character, the same all over the file: a substitution
 cipher whose plaintext are bytes, either the bytes of UTF-8 or the letters of a single-byte page. For every source the
 bigrams of characters in tokens with unusual characters are counted, and expectation-maximisation against the bigrams
-of the corpus' bytes learns which character stands for which byte, starting from the code pages that exist. The table
+of the corpus' bytes weighs a fixed list of code pages, whose entries hold, and learns the bytes of control characters
+that a page leaves open; a page that is not in the list is not learnt. The table
 learnt is applied with ``str.translate``; a token counts as wrongly decoded if its decryption reads better than itself,
 or if it holds characters that a decoder writes where it lost something.
 """
