@@ -95,7 +95,8 @@ def top_k_batch(points: DataFrame, queries: DataFrame, query_id: str = "qid", k:
                 for j, (name, most) in enumerate(zip(names, ks)):
                     at = np.flatnonzero(scores[:, j] >= threshold)
                     if len(at) > most:
-                        at = at[np.lexsort((ids[at], -scores[at, j]))[:most]]
+                        at = at[np.lexsort((ids[at], -scores[at, j]))]
+                        at = at[~pd.Series(ids[at]).duplicated().to_numpy()][:most]  # the best of each id, before the cut
                     out += [(name, ids[i], scores[i, j]) for i in at]
             yield pd.DataFrame(out, columns=["q", "i", "score"])
 

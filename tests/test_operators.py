@@ -246,3 +246,10 @@ def test_streaming(spark, tmp_path):
     rows.write.mode("append").parquet(str(tmp_path / "in"))
     available_now(spark, str(tmp_path / "in"), rows.schema, str(tmp_path / "ck"), lambda b: b.withColumn("n", F.length("t")), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_copies_of_a_point_take_one_place(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0])] * 5 + [(2, [1.0, 0.5]), (3, [1.0, 0.6])], "vec_id long, embedding array<double>").coalesce(1)
+    q = spark.createDataFrame([(7, [1.0, 0.0])], "qid int, query_vector array<double>")
+    got = retrieval.top_k_batch(rows, q, k=2).orderBy("rank").collect()
+    assert [(r.vec_id, r["rank"]) for r in got] == [(1, 1), (2, 2)]
