@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.session import cut
+
 
 def normal_line(line):
     """Lines that differ only in case, in blanks or in runs of decimal digits have one normal form."""
@@ -43,25 +45,27 @@ def frequent_lines(every: DataFrame, least_files: int = 4, least_share: float =
     return support.join(files, "source").withColumn("needed", needed).where("support >= needed").select("source", "line_id", "support", "needed")
 
 
-def prefix_span(every: DataFrame, frequent: DataFrame, longest: int = 3) -> DataFrame:
-    """source, pattern array<bigint>, support: frequent subsequences of body lines, from length 1 to ``longest``.
+def prefix_span(every: DataFrame, frequent: DataFrame, longest: int | None = None) -> DataFrame:
+    """source, pattern array<bigint>, support: frequent subsequences of a file's headers, body lines and footers, in this order.
 
     A prefix is held as one row per file with the place of its first match (the projected database); a step joins it
-    with the frequent lines that follow in the file and keeps the extensions with support.
+    with the frequent lines that follow in the file and keeps the extensions with support. Steps go on until no prefix
+    is frequent, or up to ``longest`` lines.
     """
-    body = every.where("place = 'body'").join(frequent.select("source", "line_id", "needed"), ["source", "line_id"])
-    places = body.groupBy("source", "file_id", "line_id", "needed").agg(F.array_sort(F.collect_set("line_no")).alias("places"))
+    order = F.when(F.col("place") == "header", 0).when(F.col("place") == "body", 1).otherwise(2)
+    held = every.join(frequent.select("source", "line_id", "needed"), ["source", "line_id"]).withColumn("spot", F.struct(order.alias("part"), "line_no"))
+    places = cut(held.groupBy("source", "file_id", "line_id", "needed").agg(F.array_sort(F.collect_set("spot")).alias("places")))
+    after = places.select("source", "file_id", F.col("line_id").alias("next"), "places")
     prefix = places.select("source", "file_id", "needed", F.array("line_id").alias("pattern"), F.col("places")[0].alias("at"))
     kept: list[DataFrame] = []
-    for length in range(1, longest + 1):
-        counts = prefix.groupBy("source", "pattern", "needed").agg(F.count("*").alias("support")).where("support >= needed")
+    while True:
+        counts = cut(prefix.groupBy("source", "pattern", "needed").agg(F.count("*").alias("support")).where("support >= needed"))
         kept.append(counts.select("source", "pattern", "support"))
-        if length == longest:
+        if len(kept) == longest or counts.isEmpty():
             break
         alive = prefix.join(counts.select("source", "pattern"), ["source", "pattern"], "left_semi")
-        after = places.select("source", "file_id", F.col("line_id").alias("next"), "places")
         step = alive.join(after, ["source", "file_id"]).withColumn("then", F.try_element_at(F.filter("places", lambda p: p > F.col("at")), F.lit(1))).where("then is not null")
-        prefix = step.select("source", "file_id", "needed", F.concat("pattern", F.array("next")).alias("pattern"), F.col("then").alias("at"))
+        prefix = cut(step.select("source", "file_id", "needed", F.concat("pattern", F.array("next")).alias("pattern"), F.col("then").alias("at")))
     out = kept[0]
     for more in kept[1:]:
         out = out.unionByName(more)

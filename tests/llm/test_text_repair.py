@@ -258,3 +258,13 @@ def test_sentences_of_any_number_of_marks():
     assert cuts(f"{long} Next one.") == [long, "Next one."]
     rates = "The rates (" + ", ".join(f"{i}.5" for i in range(100)) + ") apply to it."
     assert cuts(f"{rates} Next one.") == [rates, "Next one."]
+
+
+def test_sequences_of_any_length_over_all_places(spark):
+    body = [f"line {chr(97 + k) * 14} of the masthead" for k in range(4)]
+    results = [(i, i, "\n".join(body), ["the header of this volume"], ["the footer of this volume"]) for i in range(4)]
+    r = spark.createDataFrame(results, "file_id long, law_id long, cleaned_text string, removed_headers array<string>, removed_footers array<string>")
+    l = spark.createDataFrame([(i, "v") for i in range(4)], "law_id long, source_pdf string")
+    every = repeated_lines.lines(r, l)
+    found = repeated_lines.prefix_span(every, repeated_lines.frequent_lines(every)).collect()
+    assert len(found) == 2**6 - 1 and max(len(p.pattern) for p in found) == 6 and all(p.support == 4 for p in found)
