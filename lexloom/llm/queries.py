@@ -62,7 +62,8 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
     chunks = table(spark, d, "chunks")
-    return languages.sentence_languages(chunks, "chunk_id", "text", languages.fit_models(chunks, "chunk_id", "text"))
+    rows = languages.sentence_words(chunks, "chunk_id", "text")
+    return cut(languages.tagged_sentences(rows, languages.learn_models(rows)))
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:

@@ -268,3 +268,23 @@ def test_sequences_of_any_length_over_all_places(spark):
     every = repeated_lines.lines(r, l)
     found = repeated_lines.prefix_span(every, repeated_lines.frequent_lines(every)).collect()
     assert len(found) == 2**6 - 1 and max(len(p.pattern) for p in found) == 6 and all(p.support == 4 for p in found)
+
+
+def test_short_sentences_keep_to_their_script(spark):
+    en = ["The owner of the house shall pay the toll to the Court.", "Wait!", "Is the tenant liable for the loss of it?"]
+    zh = ["承租人应当保存登记册。", "委员会可以处以罚款。"]
+    rows = [(f"en{i}", " ".join(en)) for i in range(30)] + [("zh0", "".join(zh)), ("mix", f"{en[0]} {en[1]} {zh[0]}{zh[1]}")]
+    df = spark.createDataFrame(rows, "k string, t string")
+    kept = languages.sentence_words(df, "k", "t")
+    tagged = languages.tagged_sentences(kept, languages.learn_models(kept)).collect()
+    assert all(r.lang == "en" and 0 <= r.confidence <= 1 for r in tagged if r.record_key.startswith("en"))
+    assert [r.lang for r in sorted(tagged, key=lambda r: r.sentence_no) if r.record_key == "mix"] == ["en", "en", "zh", "zh"]
+    nothing = languages.sentence_words(df.limit(0), "k", "t")
+    assert languages.tagged_sentences(nothing, languages.learn_models(nothing)).count() == 0
+
+
+def test_unmet_trigrams_speak_for_no_language(spark):
+    rows = [(f"a{i}", "The owner of the house shall pay the toll to the Court.") for i in range(50)] + [("b", "承租人应当保存登记册。")]
+    logp = languages.fit_models(spark.createDataFrame(rows, "k string, t string"), "k", "t")
+    x = languages.Scorer(logp).read(pd.Series([["qzxv"]]))[0]
+    assert abs(x - x[0, 0]).max() < 1e-5
