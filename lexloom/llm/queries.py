@@ -35,6 +35,11 @@ def p1_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical(_values(spark, d)).select("field_name", "row_key", "canon").distinct()
 
 
+def p1_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of rows of one look that every row is in, and the number of its links."""
+    return lookalikes.look_alike_classes(_values(spark, d))
+
+
 def _decoded(spark: SparkSession, d: str) -> DataFrame:
     laws = table(spark, d, "law_metadata").select("law_id", F.col("source_pdf").alias("source")).distinct()
     files = table(spark, d, "loaded_documents").select(F.lit("raw_text").alias("field_name"), F.col("file_id").alias("record_id"), "law_id", F.col("raw_text").alias("value"))

@@ -80,8 +80,8 @@ def test_look_alike_pairs_match_brute_force(spark):
 
 def test_visible_differences_stay():
     assert lookalikes.fold("m²") == "m²" and lookalikes.fold("É") == "É" and lookalikes.fold("ﬁsh­") == "fish" and lookalikes.fold(None) is None
-    assert lookalikes.proposals("Реnѕіоn", "LATIN") == ["Pension"] or "Pension" in lookalikes.proposals("Реnѕіоn", "LATIN")
-    assert lookalikes.proposals("plain", "LATIN") == []
+    assert "Pension" in lookalikes.proposals("Реnѕіоn")
+    assert lookalikes.proposals("plain") == []
 
 
 CLEAN = ["আদালত এর ক্ষমতা ও নিবন্ধন", "Pêche, péage et étals du marché", "The owner’s claim – first offence", "Closure of the café “at once”", "कर्मचारी के कर्तव्य"] * 12
@@ -288,3 +288,28 @@ def test_unmet_trigrams_speak_for_no_language(spark):
     logp = languages.fit_models(spark.createDataFrame(rows, "k string, t string"), "k", "t")
     x = languages.Scorer(logp).read(pd.Series([["qzxv"]]))[0]
     assert abs(x - x[0, 0]).max() < 1e-5
+
+
+def test_vowels_that_print_as_one_letter():
+    assert lookalikes.fold("অাইন") == "আইন" and lookalikes.fold("अाज") == "आज" and lookalikes.fold("अौर") == "और"
+    assert all(len(k) == 2 and len(v) == 1 and unicodedata.normalize("NFC", k) == k for k, v in lookalikes.ONE_LETTER.items())
+
+
+# letters by their names, not by the operator's table
+NAMED = {c: unicodedata.lookup(f"CYRILLIC {n}") for c, n in {"a": "SMALL LETTER A", "e": "SMALL LETTER IE", "o": "SMALL LETTER O", "p": "SMALL LETTER ER", "c": "SMALL LETTER ES", "M": "CAPITAL LETTER EM", "T": "CAPITAL LETTER TE"}.items()}
+
+
+def test_look_alikes_of_every_kind_share_one_form(spark):
+    put = lambda t: "".join(NAMED.get(c, c) for c in t)
+    base = ["Café of a Map", "Tea Maps Act", "রেশম অাইন", "a", "Map"]
+    rows = [("f", f"k{i}", b) for i, b in enumerate(base)]
+    rows += [("f", f"k{i}x", put(unicodedata.normalize("NFD", b))) for i, b in enumerate(base[:2])] + [("f", "k2x", "রেশম আইন"), ("f", "k4x", put("Map"))]
+    rows += [("f", "r1", "закон о море"), ("f", "r2", "зaкoн о море")]  # a text in Cyrillic letters stays one
+    df = spark.createDataFrame(rows, ROWS)
+    got = {(r.key_lo, r.key_hi) for r in lookalikes.look_alike_pairs(df, most=1).collect()}
+    assert got == {("k0", "k0x"), ("k1", "k1x"), ("k2", "k2x"), ("k4", "k4x"), ("r1", "r2")}
+    canon = {r.row_key: r.canon for r in lookalikes.canonical(df).collect()}
+    assert canon["k0x"] == base[0] and canon["r2"] == "закон о море"
+    classes = {r.row_key: r for r in lookalikes.look_alike_classes(df).collect()}
+    assert len(classes) == len(rows) and classes["k0"].class_id == classes["k0x"].class_id and classes["k0"].links == 1 and classes["k3"].links == 0
+    assert lookalikes.look_alike_classes(spark.createDataFrame([], ROWS)).count() == 0
