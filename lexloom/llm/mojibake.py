@@ -3,10 +3,10 @@
 Text read with a wrong code page replaces every byte by one character, the same all over the file: a substitution
 cipher whose plaintext are bytes, either the bytes of UTF-8 or the letters of a single-byte page. For every source the
 bigrams of characters in tokens with unusual characters are counted, and expectation-maximisation against the bigrams
-of the corpus' bytes weighs a fixed list of code pages, whose entries hold, and learns the bytes of control characters
-that a page leaves open; a page that is not in the list is not learnt. The table
-learnt is applied with ``str.translate``; a token counts as wrongly decoded if its decryption reads better than itself,
-or if it holds characters that a decoder writes where it lost something.
+of the corpus' bytes estimates a mixture of ciphers beside clean text. Existing code
+pages are where ciphers start; the byte of every character that a page lacks is free, and bigrams that none of these
+explain start a cipher all of whose characters are free. The table learnt is applied with ``str.translate``; a token
+counts as wrongly decoded if its decryption reads better than itself, or if a decoder's sign for what it lost is in it.
 """
 
 from __future__ import annotations
@@ -25,11 +25,13 @@ from pyspark.sql import functions as F
 
 # Single-byte code pages that start the mappings.
 PAGES = "cp1252 latin_1 cp437 cp850 cp1251 koi8_r mac_roman cp866 iso8859_5 cp1250 iso8859_2 cp1253 iso8859_7 cp852 mac_cyrillic cp1254".split()
-#: Plaintexts: bytes of UTF-8, or letters of the Western single-byte page.
-FORMS = ("utf8", "legacy")
+#: Plaintexts: bytes of UTF-8, letters of the Western single-byte page, or bytes of the Chinese double-byte page.
+FORMS = ("utf8", "legacy", "double")
 _LOST = re.compile("�|\\?{3,}")
-_ODD = re.compile("[\x80-\u02ff\u0370-\u052f\ufffd]|[\u2010-\u2bff]{2}")
+# characters of no script that has a block of thousands or bytes of three in UTF-8 in the corpus: those of the code pages
+_ODD = re.compile("[\x80-\u02ff\u0370-\u08ff\u0e00-\u1fff\ufffd]|[\u2010-\u2bff]{2}")
 _BLANK = re.compile("[ \t\n\r\f\v]+")
+_HAN = re.compile("[㐀-鿿]")
 _HIGH = re.compile("[^\x00-\x7f]+")
 
 
@@ -80,18 +82,27 @@ def _backward() -> list[dict[int, int]]:
 def kind(c: str) -> str:
     """A letter itself, or one sign for all of its block where a script has thousands."""
     o = ord(c)
-    return c if o < 0x0E00 or 0x1E00 <= o < 0x2C00 or o == 0xFFFD else chr(o - o % 0x1000)
+    return c if o < 0x2E80 or o == 0xFFFD else chr(o - o % 0x1000)
 
 
-def _pairs(words: dict[str, int], kinds: bool) -> Iterator[tuple[str, str, int]]:
-    """Weighted bigrams of words, blanks at both ends; characters or their kinds."""
+def _pairs(words: dict[str, int], kinds: bool, apart: int = 1) -> Iterator[tuple[str, str, int]]:
+    """Weighted pairs of characters so far apart in words, blanks at both ends; characters or their kinds."""
     if not words:
         return
     c = np.frombuffer((" " + " ".join(words) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
     if kinds:
-        c = np.where((c < 0x0E00) | (c >= 0x1E00) & (c < 0x2C00) | (c == 0xFFFD), c, c - c % 0x1000)
-    weights = np.repeat(np.array(list(words.values()), dtype=float), [len(w) + 1 for w in words])
-    keys, place = np.unique(c[:-1] << 21 | c[1:], return_inverse=True)
+        c = np.where((c < 0x2E80) | (c == 0xFFFD), c, c - c % 0x1000)
+    if len(c) <= apart:
+        return
+    sizes = [len(w) + 1 for w in words]
+    weights = np.repeat(np.array(list(words.values()), dtype=float), sizes)
+    keys = c[:-apart] << 21 | c[apart:]
+    if apart > 1:  # within one word
+        word = np.repeat(np.arange(len(words)), sizes)
+        inside = word[: len(keys)] == np.concatenate([word, [-1]])[apart - 1 :][: len(keys)]
+        inside[0] &= c[0] != 32
+        keys, weights = keys[inside], weights[: len(keys)][inside]
+    keys, place = np.unique(keys, return_inverse=True)
     for k, n in zip(keys.tolist(), np.bincount(place, weights=weights)):
         yield chr(k >> 21), chr(k & 0x1FFFFF), int(n)
 
@@ -99,7 +110,9 @@ def _pairs(words: dict[str, int], kinds: bool) -> Iterator[tuple[str, str, int]]
 def statistics(df: DataFrame) -> DataFrame:
     """what, source, a, b, n: bigrams of bytes, of letters as bytes, of characters, and of odd tokens per source.
 
-    ``df``: source, value. Words are counted before their bigrams are, in every batch.
+    Pairs three apart are counted as well, of bytes (utf8-3) and of odd tokens (odd-3): most scripts here take three bytes
+    a letter, so these pairs tell which letters follow each other. ``df``: source, value. Words are counted before their
+    bigrams are, in every batch.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,21 +128,32 @@ def statistics(df: DataFrame) -> DataFrame:
                 for a, b, n in _pairs(strange, False):
                     if not (a.isascii() and b.isascii()):
                         total["odd", source, a, b] += n
+                for a, b, n in _pairs(strange, False, 3):
+                    if not (a.isascii() or b.isascii()):
+                        total["odd-3", source, a, b] += n
                 every.update(words)
             for w in [w for w in every if odd(w) and (_LOST.search(w) or foreign(w) or len(_scripts(w, "L")) > 1)]:
                 del every[w]
-            for what, page in (("utf8", "utf-8"), ("legacy", "cp1252")):
+            for what, page in (("utf8", "utf-8"), ("legacy", "cp1252"), ("double", "gbk")):
                 parts, weights = [], []
                 for w, n in every.items():
+                    if what == "double" and not _HAN.search(w):
+                        continue
                     raw = w.encode(page, "ignore")
-                    if what == "utf8" or len(raw) == len(w):
+                    if what != "legacy" or len(raw) == len(w):
                         parts.append(raw)
                         weights.append(n)
                 flat = np.frombuffer(b" " + b" ".join(parts) + b" ", dtype=np.uint8).astype(np.int64)
                 if parts:
-                    got = np.bincount(flat[:-1] * 256 + flat[1:], weights=np.repeat(np.array(weights, dtype=float), [len(x) + 1 for x in parts]), minlength=65536)
+                    each = np.repeat(np.array(weights, dtype=float), [len(x) + 1 for x in parts])
+                    got = np.bincount(flat[:-1] * 256 + flat[1:], weights=each, minlength=65536)
                     for i in np.flatnonzero(got):
                         total[what, None, chr(i >> 8), chr(i & 255)] += int(got[i])
+                    if what == "utf8":
+                        high = np.flatnonzero((flat[:-3] >= 128) & (flat[3:] >= 128) & (flat[1:-2] != 32) & (flat[2:-1] != 32))
+                        got = np.bincount(flat[high] * 256 + flat[high + 3], weights=each[high], minlength=65536)
+                        for i in np.flatnonzero(got):
+                            total["utf8-3", None, chr(i >> 8), chr(i & 255)] += int(got[i])
             for a, b, n in _pairs(every, True):
                 total["char", None, a, b] += n
             if len(total) > 500_000:
@@ -155,12 +179,16 @@ class Language:
         self.joint = {}
         for form in FORMS:
             m = _matrix(rows[rows["what"] == form])
+            if form == "double":
+                self.double = m
             m = (m + 1e-7) / (m.sum() + 1e-7 * 65536)
             if form == "utf8":  # what UTF-8 allows, though no text of the corpus has it yet
                 allowed = np.zeros((256, 256))
                 allowed[0xC2:0xF5, 0x80:0xC0] = allowed[0x80:0xC0, 0x80:0xC0] = allowed[0x80:0xC0, 0xC2:0xF5] = 1
                 m = 0.99 * m + 0.01 * allowed / allowed.sum()
             self.joint[form] = m
+        m = _matrix(rows[rows["what"] == "utf8-3"])
+        self.joint["utf8-3"] = (m + 1e-7) / (m.sum() + 1e-7 * 65536)
         chars = rows[rows["what"] == "char"]
         self.char = {a + b: float(n) for a, b, n in zip(chars["a"], chars["b"], chars["n"])}
         self.first: Counter = Counter()
@@ -174,86 +202,223 @@ class Language:
         total = sum(math.log((self.char.get(a + b, 0.0) + 0.05) / (self.first.get(a, 0.0) + 20.0)) for a, b in zip(w, w[1:]))
         return total / (len(w) - 1)
 
+    def reads_double(self, raw: bytes) -> str | None:
+        """The Chinese text of bytes, or None unless they hold two letters and all of theirs occur in the language."""
+        try:
+            text = raw.decode("gbk")
+        except UnicodeDecodeError:
+            return None
+        han = [c.encode("gbk") for c in text if not c.isascii()]
+        return text if len(han) > 1 and _HAN.search(text) and all(self.double[c[0], c[1]] >= 2 for c in han) else None
+
     def reads(self, word: str, least: float = 2.0) -> bool:
         """Whether all bigrams round unusual characters of a word occur in the language."""
         w = f" {''.join(map(kind, word))} "
         return all(a.isascii() and b.isascii() or self.char.get(a + b, 0.0) >= least for a, b in zip(w, w[1:]))
 
 
-def learn(rows: pd.DataFrame, joint: dict[str, np.ndarray], clean: dict[str, float], rounds: int = 5) -> list[tuple[str, str, str, int, float]]:
-    """Mappings of one source: (page, form, character, byte, weight of the cipher), entries of the page left out.
+@lru_cache(maxsize=1)
+def _coded() -> dict[str, np.ndarray]:
+    """Character to byte of every page as an array over the code points below 0x3000; -1 where a page has none."""
+    out = {}
+    for page, table in pages().items():
+        codes = np.full(0x3000, -1, np.int64)
+        codes[:128] = np.arange(128)
+        for b, c in table.items():
+            if ord(c) < 0x3000:
+                codes[ord(c)] = b
+        out[page] = codes
+    return out
+
 
-    ``rows``: a, b, n, bigrams of its odd tokens. Each cipher is a component of a mixture, beside clean text. The
-    entries of its code page hold; what the page leaves open, control characters above all, is learnt: in each round
-    the bytes such a character may stand for are weighed by the bigrams it occurs in, and the weights of the ciphers by
-    how well they explain theirs. Ciphers that explain nothing vanish.
+class Bigrams:
+    """Pairs of characters of one source's odd tokens, numbered over its unusual characters."""
+
+    def __init__(self, rows: pd.DataFrame, points: np.ndarray | None = None) -> None:
+        a = np.fromiter(map(ord, rows["a"]), np.int64, len(rows))
+        b = np.fromiter(map(ord, rows["b"]), np.int64, len(rows))
+        self.n = rows["n"].to_numpy(dtype=float)
+        self.a, self.b = a, b
+        if points is None:
+            points = np.unique(np.concatenate([a, b]))
+            points = points[points >= 128]
+        self.points = points
+        self.at_a, self.at_b = np.searchsorted(self.points, a), np.searchsorted(self.points, b)
+        self.high_a, self.high_b = a >= 128, b >= 128
+
+    def seen(self) -> np.ndarray:
+        """How often each unusual character stands in a pair."""
+        return np.bincount(self.at_a[self.high_a], weights=self.n[self.high_a], minlength=len(self.points)) + np.bincount(self.at_b[self.high_b], weights=self.n[self.high_b], minlength=len(self.points))
+
+    def matrix(self, rows: np.ndarray) -> np.ndarray:
+        """Counts of pairs of two unusual characters, only those of ``rows``."""
+        out = np.zeros((len(self.points), len(self.points)))
+        rows = rows & self.high_a & self.high_b
+        out[self.at_a[rows], self.at_b[rows]] = self.n[rows]
+        return out
+
+
+def _ranked(joint: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Where a cipher without a page starts: characters stand for bytes of about their own frequency."""
+    byte = joint[128:].sum(axis=1) + joint[:, 128:].sum(axis=0)
+    f, g = np.log(byte / byte.sum() + 1e-6), np.log(seen / seen.sum() + 1e-6)
+    t = np.exp(-((f[:, None] - g[None, :]) ** 2))
+    return t / t.sum(axis=1, keepdims=True)
+
+
+def learn(rows: pd.DataFrame, joint: dict[str, np.ndarray], clean: dict[str, float], far: pd.DataFrame | None = None, rounds: int = 3, free_rounds: int = 4) -> list[tuple[str, str, str, int, float]]:
+    """Mappings of one source: (page a cipher starts at or "", form, character, byte, weight), entries of the page left out.
+
+    ``rows``: a, b, n, bigrams of its odd tokens; ``far``: pairs of characters three apart. Every cipher is a component of a mixture, beside clean text. First
+    the weights of the pages are estimated as they are; a cipher with less than 0.02 expected bigrams has explained
+    none. Then weights and the bytes of all characters that a page lacks are estimated together: how often such a
+    character stands for a byte is expected from the bigrams it occurs in. What is left without explanation, if there
+    are dozens of such bigrams, starts one more cipher, all of whose characters are free, from character ranks alone.
     """
-    firsts, seconds = rows["a"].tolist(), rows["b"].tolist()
-    n = rows["n"].to_numpy(dtype=float)
-    if not len(n):
+    if not len(rows):
         return []
+    big = Bigrams(rows)
+    n, points = big.n, big.points
     total = max(sum(clean.values()), 1.0)
-    ground = (np.array([clean.get(kind(a) + kind(b), 0.0) for a, b in zip(firsts, seconds)]) + 0.01) / total
-    ciphers = {}
-    for page in PAGES:
-        back = {c: b for b, c in pages()[page].items()}
-        code = lambda c: ord(c) if c.isascii() else back.get(c, -1 if ord(c) < 0xA0 else -2)  # noqa: B023, E731
-        a, b = np.array([code(c) for c in firsts]), np.array([code(c) for c in seconds])
+    met = np.array([clean.get(kind(a) + kind(b), 0.0) for a, b in zip(rows["a"], rows["b"])])
+    ground = (met + 0.01) / total
+    free = _paged(points)
+    codes, like = {}, {}
+    for page, table in _coded().items():
+        code = lambda x: np.where(x < 0x3000, table[np.minimum(x, 0x2FFF)], -1)  # noqa: B023, E731
+        a, b = code(big.a), code(big.b)
         sure = (a >= 0) & (b >= 0)
-        if ((a >= 0xC2) & (b >= 0x80) & (b < 0xC0)).any():
-            ciphers[page, "utf8"] = (a, b, sure)
-        if page not in ("cp1252", "latin_1", "cp1254") and sure.any():
-            ciphers[page, "legacy"] = (a, b, sure)
-    weight = {k: 0.3 / max(len(ciphers), 1) for k in ciphers}
-    open_letters = sorted({c for c in firsts + seconds if 0x80 <= ord(c) < 0xA0})
-    slot = {c: i for i, c in enumerate(open_letters)}
-    theta = {k: np.full((len(open_letters), 128), 1 / 128) for k in ciphers}
-    at_a = np.array([slot.get(c, -1) for c in firsts])
-    at_b = np.array([slot.get(c, -1) for c in seconds])
-    for _ in range(rounds):
-        like = {}
-        for k, (a, b, sure) in ciphers.items():
-            if k not in weight:
+        for form in FORMS:
+            if form == "utf8" and not ((a >= 0xC2) & ((b >= 0x80) & (b < 0xC0) | (b < 0))).any() or form == "legacy" and (page in ("cp1252", "latin_1", "cp1254") or not sure.any()):
                 continue
             x = np.full(len(n), 1e-12)
-            j = joint[k[1]]
-            x[sure] = j[a[sure], b[sure]]
-            right = (a >= 0) & (b == -1)
-            x[right] = (j[a[right], 128:] * theta[k][at_b[right]]).sum(axis=1)
-            left = (a == -1) & (b >= 0)
-            x[left] = (j[128:, b[left]].T * theta[k][at_a[left]]).sum(axis=1)
-            like[k] = x * weight[k]
-        whole = ground * max(1 - sum(weight.values()), 0.02) + sum(like.values(), np.zeros(len(n)))
-        for k, x in like.items():
-            a, b, _ = ciphers[k]
-            r = x / whole * n
-            weight[k] = r.sum() / n.sum()
-            if r.sum() < 0.02:
+            x[sure] = joint[form][a[sure], b[sure]]
+            codes[page, form], like[page, form] = (a, b), x
+    weight = {k: 0.3 / max(len(like), 1) for k in like}
+
+    def mix() -> np.ndarray:
+        return ground * max(1 - sum(weight.values()), 0.02) + sum((like[k] * w for k, w in weight.items()), np.zeros(len(n)))
+
+    def weigh() -> None:
+        whole = mix()
+        for k in list(weight):
+            weight[k] = float((like[k] * weight[k] / whole * n).sum() / n.sum())
+            if weight[k] * n.sum() < 0.02:
                 del weight[k]
-                continue
-            j = joint[k[1]]
-            counts = np.full((len(open_letters), 128), 1e-3)
-            for i in np.flatnonzero((a >= 0) & (b == -1)):
-                part = j[a[i], 128:] * theta[k][at_b[i]]
-                counts[at_b[i]] += r[i] * part / part.sum()
-            for i in np.flatnonzero((a == -1) & (b >= 0)):
-                part = j[128:, b[i]] * theta[k][at_a[i]]
-                counts[at_a[i]] += r[i] * part / part.sum()
-            theta[k] = counts / counts.sum(axis=1, keepdims=True)
-        if sum(weight.values()) > 0.98:
-            weight = {k: w * 0.98 / sum(weight.values()) for k, w in weight.items()}
-    out = []
-    letters = sorted({c for c in firsts + seconds if not c.isascii()})
-    for k, w in weight.items():
-        back = {c: b for b, c in pages()[k[0]].items()}
-        out.append((k[0], k[1], "", 0, float(w)))  # the page itself, which every task knows
-        for c in letters:
-            if c not in back and c in slot and theta[k][slot[c]].max() > 0.3:
-                out.append((k[0], k[1], c, int(theta[k][slot[c]].argmax()) + 128, float(w)))
-    return out
+        top = sum(weight.values())
+        if top > 0.98:
+            weight.update({k: w * 0.98 / top for k, w in weight.items()})
+
+    for _ in range(rounds):
+        weigh()
+    learnt = {k: {} for k in weight}
+    for k in [k for k, w in weight.items() if w * n.sum() >= 1]:
+        a, b = codes[k]
+        right = np.flatnonzero((a >= 0) & (b < 0) & big.high_b & free[np.minimum(big.at_b, len(points) - 1)])
+        left = np.flatnonzero((a < 0) & (b >= 0) & big.high_a & free[np.minimum(big.at_a, len(points) - 1)])
+        at = np.concatenate([right, left])
+        if not len(at):
+            continue
+        open_at = np.concatenate([big.at_b[right], big.at_a[left]])
+        own = np.concatenate([joint[k[1]][a[right], 128:], joint[k[1]][128:, b[left]].T])
+        letters, place = np.unique(open_at, return_inverse=True)
+        theta = np.full((len(letters), 128), 1 / 128)
+        for _ in range(free_rounds):
+            part = own * theta[place]
+            like[k][at] = part.sum(axis=1) + 1e-12
+            share = like[k][at] * weight[k] / mix()[at] * n[at]
+            part *= (share / like[k][at])[:, None]
+            counts = np.zeros((len(letters), 128))
+            np.add.at(counts, place, part)
+            theta = (counts + 1e-3) / (counts + 1e-3).sum(axis=1, keepdims=True)
+        seen = np.bincount(place, weights=n[at], minlength=len(letters))
+        control = points[letters] < 0xA0
+        for i in np.flatnonzero((theta.max(axis=1) > 0.3) & (control | (counts.sum(axis=1) > np.maximum(3.0, 0.5 * seen)))):
+            learnt[k][chr(points[letters[i]])] = int(theta[i].argmax()) + 128
+    for _ in range(2):
+        weigh()
+    out = [(page, form, "", 0, float(w)) for (page, form), w in weight.items()]  # the page itself, which every task knows
+    if far is not None:
+        far_big = Bigrams(far, points)
+        known = lambda some: some[big.at_a.clip(max=len(points) - 1)] & some[big.at_b.clip(max=len(points) - 1)]
+        known_far = lambda some: some[far_big.at_a] & some[far_big.at_b]
+        whole = mix()
+        held = {k: np.where(points < 0x3000, _coded()[k[0]][np.minimum(points, 0x2FFF)], -1) for k in weight if k[1] == "utf8"}
+        if held:
+            # letters that no page at work has: the heaviest cipher starts at its page, and all its characters are free
+            by_page = n * sum(like[k] * weight[k] for k in held) / whole
+            explained = np.bincount(np.concatenate([big.at_a[big.high_a], big.at_b[big.high_b]]), weights=np.concatenate([by_page[big.high_a], by_page[big.high_b]]), minlength=len(points))
+            k = max(held, key=weight.get)
+            met_by = np.any([codes_of >= 0 for x, codes_of in held.items() if weight[x] >= 0.02] + [held[k] >= 0], axis=0)
+            lacking = free & (points >= 0xA0) & ~met_by & (explained > 0.9 * big.seen())
+            if big.seen()[lacking].sum() >= 40:
+                mine = lacking | free & (held[k] >= 128)
+                start = _ranked(joint["utf8"], big.seen() + 1e-3)
+                for i in np.flatnonzero(mine & ~lacking):
+                    start[:, i] = 1e-4
+                    start[held[k][i] - 128] = 1e-4
+                    start[held[k][i] - 128, i] = 1.0
+                made = _solve(big.matrix(known(mine)), far_big.matrix(known_far(mine)), joint, start / start.sum(axis=1, keepdims=True))
+                for letters in learnt.values():
+                    for c in points[lacking]:
+                        letters.pop(chr(c), None)
+                learnt[k].update({c: byte for c, byte in _sure(made, points).items() if lacking[np.searchsorted(points, ord(c))]})
+        # what nothing explains: one more cipher, from ranks alone
+        elsewhere = np.maximum(met - n, 0.0)  # a pair that only this source has is no language
+        dark = (elsewhere < 1) & big.high_a & big.high_b & (whole - ground * max(1 - sum(weight.values()), 0.02) < 2 * (elsewhere + 0.01) / total)
+        share = np.bincount(np.concatenate([big.at_a[dark], big.at_b[dark]]), weights=np.concatenate([n[dark], n[dark]]), minlength=len(points))
+        mine = free & (share > 0.5 * big.seen())
+        if n[dark & known(mine)].sum() >= 40:
+            near, apart = big.matrix(known(mine)), far_big.matrix(known_far(mine))
+            made = _solve(near, apart, joint, _ranked(joint["utf8"], share + 1e-3))
+            if _fit(near, made, joint["utf8"]) > -1.0:
+                w = float(n[dark].sum() / n.sum())
+                out += [("", "utf8", "", 0, w), *(("", "utf8", c, byte, w) for c, byte in _sure(made, points).items())]
+    return out + [(*k, c, byte, float(weight[k])) for k, letters in learnt.items() if k in weight for c, byte in letters.items()]
+
+
+def _fit(near: np.ndarray, counts: np.ndarray, joint: np.ndarray) -> float:
+    """Mean log ratio of the probability a cipher gives to pairs of characters to their share: near 0 if it explains them."""
+    t = counts / np.maximum(counts.sum(axis=1, keepdims=True), 1e-300)
+    like = t.T @ joint[128:, 128:] @ t
+    at = near > 0
+    return float((near[at] * np.log((like[at] + 1e-9) / like.sum() / (near[at] / near.sum()))).sum() / near.sum())
+
+
+def _sure(counts: np.ndarray, points: np.ndarray) -> dict[str, int]:
+    """Characters with the byte that most of their expected occurrences stand for."""
+    total = counts.sum(axis=0)
+    return {chr(points[i]): int(counts[:, i].argmax()) + 128 for i in np.flatnonzero((total > 1) & (counts.max(axis=0) > 0.5 * total))}
+
+
+def _solve(near: np.ndarray, apart: np.ndarray, joint: dict[str, np.ndarray], start: np.ndarray, rounds: int = 40) -> np.ndarray:
+    """Expected numbers of bytes by characters of a cipher all of whose characters are free.
+
+    ``near`` and ``apart``: counts of pairs of characters one and three apart. Emissions of characters by bytes are
+    re-estimated, first from neighbours, which tell the classes of bytes, then from both, which tell the letters.
+    """
+    t = start
+    j1, j3 = joint["utf8"][128:, 128:], joint["utf8-3"][128:, 128:]
+    counts = t
+    for turn in range(3 * rounds):
+        counts = np.zeros_like(t)
+        for j, seen in ((j1, near), (j3, apart)) if turn >= rounds else ((j1, near),):
+            r = seen / (t.T @ j @ t + 1e-300)
+            counts += t * (j @ t @ r.T + j.T @ t @ r)
+        t = counts + 1e-6
+        if turn == rounds - 1:
+            t = 0.9 * t / t.sum(axis=1, keepdims=True) + 0.1 * start
+        t /= t.sum(axis=1, keepdims=True)
+    return counts
+
+
+def _paged(points: np.ndarray) -> np.ndarray:
+    """Which characters a single-byte page may hold: none of scripts of thousands of letters, nor of Indic ones."""
+    return (points < 0x0900) | (points >= 0x0E00) & (points < 0x2E80) | (points >= 0xE000) & (points < 0xFF00)
 
 
 def _bytes_of(word: str, table: dict[int, int]) -> bytes | None:
+    """The bytes a table turns a word into, or None if some character has none."""
     swapped = word.translate(table)
     return swapped.encode("latin-1") if all(ord(c) < 256 for c in swapped) else None
 
@@ -271,7 +436,9 @@ def decrypt(word: str, tables: dict[tuple[str, str], dict[int, int]], language:
     mixed = len(_scripts(word)) > 1 or all(language.first.get(c, 0) < rare for c in word if c.isalpha())
     if runs < 2 and not mixed:
         return False, word
-    own = language.score(word)
+    alone = tables.get(("", "utf8"))
+    # the letters of a cipher without a page are in no other source, so that they tell nothing of the language
+    own = -99.0 if alone and sum(ord(c) in alone for c in word) > 0.5 * sum(ord(c) >= 128 for c in word) else language.score(word)
     best, text, wrong = own, word, False
     for (page, form), table in tables.items():
         if form == "utf8":
@@ -298,6 +465,18 @@ def decrypt(word: str, tables: dict[tuple[str, str], dict[int, int]], language:
             made = _HIGH.sub(fix, word)
             if not changed:
                 continue
+        elif form == "double":
+            made = word
+            for part in (word, *_HIGH.findall(word)):
+                raw = _bytes_of(part, table)
+                got = language.reads_double(raw) if raw is not None and len(raw) > 3 else None
+                if got is not None:
+                    made = made.replace(part, got, 1)
+                    if part == word:
+                        break
+            if made != word:
+                return True, made
+            continue
         else:
             if not mixed or _bytes_of("".join(c for c in word if not c.isascii()), table) is None:
                 continue
@@ -351,15 +530,16 @@ def wrong_tokens(rows: DataFrame, held: DataFrame) -> DataFrame:
     ``rows``: source, value; ``held``: source, token of the tokens in question.
     """
     counted = statistics(rows).persist()
-    shared = counted.where("what <> 'odd'").toPandas()  # 2 x 65536 byte pairs and the characters' pairs, bounded by the alphabets
+    shared = counted.where("what not in ('odd', 'odd-3')").toPandas()  # 2 x 65536 byte pairs and the characters' pairs, bounded by the alphabets
     language = Language(shared)
     joint, clean = language.joint, language.char
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = learn(pdf, joint, clean)
+        far = pdf[pdf["what"] == "odd-3"]
+        found = learn(pdf[pdf["what"] == "odd"], joint, clean, far if len(far) else None)
         return pd.DataFrame([(pdf["source"].iloc[0], *x) for x in found], columns=["source", "page", "form", "letter", "byte", "weight"])
 
-    mapping = counted.where("what = 'odd'").groupBy("source").applyInPandas(fit, "source string, page string, form string, letter string, byte int, weight double")
+    mapping = counted.where("what in ('odd', 'odd-3')").groupBy("source").applyInPandas(fit, "source string, page string, form string, letter string, byte int, weight double")
     tables = mapping.groupBy("source").agg(F.collect_list(F.struct("page", "form", "letter", "byte", "weight")).alias("table"))
 
     strange = held.select("source", "token").distinct()
@@ -373,7 +553,7 @@ def wrong_tokens(rows: DataFrame, held: DataFrame) -> DataFrame:
                 if own is None:
                     own = {}
                     for x in sorted(table if table is not None else [], key=lambda x: -x["weight"]):
-                        mine = own.setdefault((x["page"], x["form"]), {ord(c): b for b, c in pages()[x["page"]].items()})
+                        mine = own.setdefault((x["page"], x["form"]), {ord(c): b for b, c in pages().get(x["page"], {}).items()})
                         if x["letter"]:
                             mine[ord(x["letter"])] = x["byte"]
                     if len(kept) > 1000:

@@ -313,3 +313,34 @@ def test_look_alikes_of_every_kind_share_one_form(spark):
     classes = {r.row_key: r for r in lookalikes.look_alike_classes(df).collect()}
     assert len(classes) == len(rows) and classes["k0"].class_id == classes["k0x"].class_id and classes["k0"].links == 1 and classes["k3"].links == 0
     assert lookalikes.look_alike_classes(spark.createDataFrame([], ROWS)).count() == 0
+
+
+NAMES = ["আদালত", "নিবন্ধন", "ক্ষমতা", "কমিশন", "পরিদর্শক", "হাটের", "দোকান", "লবণ", "মাঠ", "বিষয়ে", "নোটিশ", "ইজারাদার", "কর্তৃপক্ষ", "জরিপ", "মানচিত্র", "তহশিলদার", "এর", "ও", "খালের", "কপাট"]
+
+
+def test_a_page_that_is_not_listed_is_learnt(spark):
+    r = random.Random(9)
+    text = lambda: " ".join(r.choice(NAMES) for _ in range(5))
+    table = {b: chr(0x10A0 + (b - 128) * 37 % 88) if b % 3 else chr(0x1200 + b * 53 % 300) for b in range(128, 256)}
+    damage = lambda t: "".join("".join(table[b] for b in c.encode()) if ord(c) > 127 else c for c in t)
+    rows = [("t", i, f"s{i % 4}", text()) for i in range(400)]
+    wrong = {1000 + i: text() for i in range(80)}
+    rows += [("t", i, "s9", damage(t)) for i, t in wrong.items()] + [("t", 2000 + i, "s9", text()) for i in range(20)]
+    rows += [("t", 3000 + i, "s8", f"ประเทศ {x} กฎหมาย") for i, x in enumerate(["ไทย", "นี้", "ใหม่"] * 20)]  # a script of its own
+    df = spark.createDataFrame(rows, "field_name string, record_id long, source string, value string")
+    found = mojibake.records(df)
+    ids = {x.record_id for x in found.collect()}
+    assert ids <= set(wrong) and len(ids) >= 0.95 * len(wrong)
+    fixed = {x.record_id: x.value for x in mojibake.restored(df, found).collect()}
+    right = sum(a == b for i in ids for a, b in zip(fixed[i], wrong[i]))
+    assert right > 0.5 * sum(map(len, wrong.values()))
+
+
+def test_double_byte_text_read_as_single_bytes(spark):
+    good = ["委员会的权力", "受托人的职责", "水表的登记"]
+    rows = [("t", i, "s", good[i % 3]) for i in range(30)] + [("t", 100 + i, "s", g.encode("gbk").decode(page, "replace")) for i, (g, page) in enumerate(zip(good, ("latin-1", "mac-roman", "cp1252")))] + [("t", 200, "s", "Œuvre « Pêche, péage et étals ñ’"), ("t", 201, "s", None)]
+    df = spark.createDataFrame(rows, "field_name string, record_id long, source string, value string")
+    found = mojibake.records(df)
+    assert {r.record_id for r in found.collect()} == {100, 101, 102}
+    fixed = {r.record_id: r.value for r in mojibake.restored(df, found).collect()}
+    assert fixed[100] == good[0] and fixed[101] == good[1]
