@@ -23,6 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.session import cut
+
 # Single-byte code pages that start the mappings.
 PAGES = "cp1252 latin_1 cp437 cp850 cp1251 koi8_r mac_roman cp866 iso8859_5 cp1250 iso8859_2 cp1253 iso8859_7 cp852 mac_cyrillic cp1254".split()
 #: Plaintexts: bytes of UTF-8, letters of the Western single-byte page, or bytes of the Chinese double-byte page.
@@ -107,62 +109,90 @@ def _pairs(words: dict[str, int], kinds: bool, apart: int = 1) -> Iterator[tuple
         yield chr(k >> 21), chr(k & 0x1FFFFF), int(n)
 
 
-def statistics(df: DataFrame) -> DataFrame:
-    """what, source, a, b, n: bigrams of bytes, of letters as bytes, of characters, and of odd tokens per source.
+class _Odd(dict):
+    """Which tokens may have been decoded wrongly, each looked at once."""
+
+    def __missing__(self, token: str) -> bool:
+        if len(self) > 300_000:
+            self.clear()
+        self[token] = got = odd(token) or "??" in token and _LOST.search(token) is not None
+        return got
+
+
+_SCAN = "what string, source string, a string, b string, n long, field_name string, record_id long, token string"
+
+
+def scanned(rows: DataFrame) -> DataFrame:
+    """All that is learnt from texts, in one pass over (field_name, record_id, source, value), written once.
 
-    Pairs three apart are counted as well, of bytes (utf8-3) and of odd tokens (odd-3): most scripts here take three bytes
-    a letter, so these pairs tell which letters follow each other. ``df``: source, value. Words are counted before their
+    what = token: field_name, record_id, source and token of every token that may have been decoded wrongly. Else a, b,
+    n: bigrams of bytes, of letters as bytes and of characters (utf8, legacy, double, char), and of odd tokens per
+    source (odd). Pairs three apart are counted as well, of bytes (utf8-3) and of odd tokens (odd-3): most scripts here
+    take three bytes a letter, so these pairs tell which letters follow each other. Words are counted before their
     bigrams are, in every batch.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
+        is_odd = _Odd()
         for pdf in batches:
+            by_source: dict[str, Counter] = {}
+            held: set[tuple[str, int, str, str]] = set()
+            for f, i, s, v in zip(pdf["field_name"], pdf["record_id"], pdf["source"], pdf["value"]):
+                parts = tokens(v)
+                by_source.setdefault(s, Counter()).update(parts)
+                if not v.isascii() and _ODD.search(v) or "???" in v:
+                    held.update((f, i, s, w) for w in parts if not w.isascii() and is_odd[w] or "??" in w and is_odd[w])
             every: Counter = Counter()
-            for source, part in pdf.groupby("source", dropna=False):
-                words: Counter = Counter()
-                for t in part["value"]:
-                    words.update(tokens(t))
+            for source, words in by_source.items():
                 words.pop("", None)
-                strange = {w: n for w, n in words.items() if odd(w)}
-                for a, b, n in _pairs(strange, False):
-                    if not (a.isascii() and b.isascii()):
-                        total["odd", source, a, b] += n
-                for a, b, n in _pairs(strange, False, 3):
-                    if not (a.isascii() or b.isascii()):
-                        total["odd-3", source, a, b] += n
+                strange = {w: n for w, n in words.items() if not w.isascii() and is_odd[w] and _ODD.search(w)}
+                for what, apart in (("odd", 1), ("odd-3", 3)):
+                    for a, b, n in _pairs(strange, False, apart):
+                        if not (a.isascii() or b.isascii()) or apart == 1 and not (a.isascii() and b.isascii()):
+                            total[what, source, a, b] += n
                 every.update(words)
-            for w in [w for w in every if odd(w) and (_LOST.search(w) or foreign(w) or len(_scripts(w, "L")) > 1)]:
+            for w in [w for w in every if not w.isascii() and is_odd[w] and (_LOST.search(w) or foreign(w) or len(_scripts(w, "L")) > 1)]:
                 del every[w]
-            for what, page in (("utf8", "utf-8"), ("legacy", "cp1252"), ("double", "gbk")):
-                parts, weights = [], []
-                for w, n in every.items():
-                    if what == "double" and not _HAN.search(w):
-                        continue
-                    raw = w.encode(page, "ignore")
-                    if what != "legacy" or len(raw) == len(w):
-                        parts.append(raw)
-                        weights.append(n)
-                flat = np.frombuffer(b" " + b" ".join(parts) + b" ", dtype=np.uint8).astype(np.int64)
-                if parts:
-                    each = np.repeat(np.array(weights, dtype=float), [len(x) + 1 for x in parts])
-                    got = np.bincount(flat[:-1] * 256 + flat[1:], weights=each, minlength=65536)
-                    for i in np.flatnonzero(got):
-                        total[what, None, chr(i >> 8), chr(i & 255)] += int(got[i])
-                    if what == "utf8":
-                        high = np.flatnonzero((flat[:-3] >= 128) & (flat[3:] >= 128) & (flat[1:-2] != 32) & (flat[2:-1] != 32))
-                        got = np.bincount(flat[high] * 256 + flat[high + 3], weights=each[high], minlength=65536)
-                        for i in np.flatnonzero(got):
-                            total["utf8-3", None, chr(i >> 8), chr(i & 255)] += int(got[i])
+            _count_bytes(every, total)
             for a, b, n in _pairs(every, True):
                 total["char", None, a, b] += n
+            yield pd.DataFrame([("token", s, None, None, 1, f, i, w) for f, i, s, w in sorted(held)], columns=[x.split()[0] for x in _SCAN.split(", ")])
             if len(total) > 500_000:
-                yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["what", "source", "a", "b", "n"])
+                yield _counts(total)
                 total = Counter()
-        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["what", "source", "a", "b", "n"])
+        yield _counts(total)
+
+    return cut(rows.select("field_name", "record_id", "source", "value").mapInPandas(read, _SCAN))
+
+
+def _counts(total: Counter) -> pd.DataFrame:
+    return pd.DataFrame([(*k, n, None, None, None) for k, n in total.items()], columns=[x.split()[0] for x in _SCAN.split(", ")])
+
 
-    rows = df.where("value is not null").select("source", "value")
-    return rows.mapInPandas(count, "what string, source string, a string, b string, n long").groupBy("what", "source", "a", "b").agg(F.sum("n").alias("n"))
+def _count_bytes(every: Counter, total: Counter) -> None:
+    """Add the bigrams of the bytes of words in all forms."""
+    for what, page in (("utf8", "utf-8"), ("legacy", "cp1252"), ("double", "gbk")):
+        parts, weights = [], []
+        for w, n in every.items():
+            if what == "double" and (w.isascii() or not _HAN.search(w)):
+                continue
+            raw = w.encode(page, "ignore")
+            if what != "legacy" or len(raw) == len(w):
+                parts.append(raw)
+                weights.append(n)
+        if not parts:
+            continue
+        flat = np.frombuffer(b" " + b" ".join(parts) + b" ", dtype=np.uint8).astype(np.int64)
+        each = np.repeat(np.array(weights, dtype=float), [len(x) + 1 for x in parts])
+        got = np.bincount(flat[:-1] * 256 + flat[1:], weights=each, minlength=65536)
+        for i in np.flatnonzero(got):
+            total[what, None, chr(i >> 8), chr(i & 255)] += int(got[i])
+        if what == "utf8":
+            high = np.flatnonzero((flat[:-3] >= 128) & (flat[3:] >= 128) & (flat[1:-2] != 32) & (flat[2:-1] != 32))
+            got = np.bincount(flat[high] * 256 + flat[high + 3], weights=each[high], minlength=65536)
+            for i in np.flatnonzero(got):
+                total["utf8-3", None, chr(i >> 8), chr(i & 255)] += int(got[i])
 
 
 def _matrix(rows: pd.DataFrame) -> np.ndarray:
@@ -511,26 +541,10 @@ def decrypt_once(word: str, tables: dict[tuple[str, str], dict[int, int]]) -> li
 _WEST = {b: c for b, c in ((b, bytes([b]).decode("cp1252", "ignore")) for b in range(128, 256)) if c}
 
 
-def _held(rows: DataFrame) -> DataFrame:
-    """field_name, record_id, source, token of every token that may have been decoded wrongly."""
-
-    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = set()
-            for f, i, s, v in zip(pdf["field_name"], pdf["record_id"], pdf["source"], pdf["value"]):
-                out.update((f, i, s, w) for w in tokens(v) if not w.isascii() and odd(w) or "??" in w and _LOST.search(w))
-            yield pd.DataFrame(sorted(out), columns=["field_name", "record_id", "source", "token"])
-
-    return rows.mapInPandas(pick, "field_name string, record_id long, source string, token string")
-
-
-def wrong_tokens(rows: DataFrame, held: DataFrame) -> DataFrame:
-    """source, token, restored of every token that was decoded wrongly.
-
-    ``rows``: source, value; ``held``: source, token of the tokens in question.
-    """
-    counted = statistics(rows).persist()
-    shared = counted.where("what not in ('odd', 'odd-3')").toPandas()  # 2 x 65536 byte pairs and the characters' pairs, bounded by the alphabets
+def wrong_tokens(scan: DataFrame) -> DataFrame:
+    """source, token, restored of every token that was decoded wrongly, from what ``scanned`` gives."""
+    counted = scan.where("what <> 'token'").groupBy("what", "source", "a", "b").agg(F.sum("n").alias("n"))
+    shared = counted.where("what not in ('odd', 'odd-3')").toPandas()  # 4 x 65536 byte pairs and the characters' pairs, bounded by the alphabets
     language = Language(shared)
     joint, clean = language.joint, language.char
 
@@ -541,8 +555,7 @@ def wrong_tokens(rows: DataFrame, held: DataFrame) -> DataFrame:
 
     mapping = counted.where("what in ('odd', 'odd-3')").groupBy("source").applyInPandas(fit, "source string, page string, form string, letter string, byte int, weight double")
     tables = mapping.groupBy("source").agg(F.collect_list(F.struct("page", "form", "letter", "byte", "weight")).alias("table"))
-
-    strange = held.select("source", "token").distinct()
+    strange = scan.where("what = 'token'").groupBy("source", "token").agg(F.lit(1)).select("source", "token")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[str, dict] = {}
@@ -572,10 +585,9 @@ def records(df: DataFrame) -> DataFrame:
 
     ``df``: field_name, record_id, source, value. Repeated rows count once; null values are none.
     """
-    rows = df.select("field_name", "record_id", F.coalesce("source", F.lit("")).alias("source"), "value").where("value is not null")
-    held = _held(rows).distinct().persist()
-    wrong = wrong_tokens(rows.select("source", "value"), held)
-    return held.join(wrong, ["source", "token"]).groupBy("field_name", "record_id").agg(F.collect_set(F.struct("token", "restored")).alias("tokens"))
+    scan = scanned(df.select("field_name", "record_id", F.coalesce("source", F.lit("")).alias("source"), "value").where("value is not null"))
+    held = scan.where("what = 'token'").select("field_name", "record_id", "source", "token")
+    return held.join(wrong_tokens(scan), ["source", "token"]).groupBy("field_name", "record_id").agg(F.collect_set(F.struct("token", "restored")).alias("tokens"))
 
 
 def restored(df: DataFrame, damaged: DataFrame) -> DataFrame:

@@ -108,9 +108,14 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
-    laws = table(spark, d, "law_metadata").groupBy("law_id").agg(F.flatten(F.collect_set(F.array("act_name", "bangla_name"))).alias("names"))
-    files = table(spark, d, "loaded_documents").where(F.size("pages") > 0).groupBy("file_id", "law_id").agg(F.first("pages").alias("pages"))
-    wrong = mojibake.records(_decoded(spark, d)).where("field_name = 'raw_text'").select(F.col("record_id").alias("file_id"))
+    """Files with pages and their acts' names, without those decoded wrongly; of several versions the first in order."""
+    every = table(spark, d, "law_metadata")
+    laws = every.groupBy("law_id").agg(F.flatten(F.collect_set(F.array("act_name", "bangla_name"))).alias("names"))
+    loaded = table(spark, d, "loaded_documents")
+    files = loaded.where(F.size("pages") > 0).groupBy("file_id").agg(F.min(F.struct("law_id", "pages")).alias("f")).select("file_id", "f.*")
+    sources = every.select("law_id", F.col("source_pdf").alias("source")).distinct()
+    texts = loaded.select(F.lit("raw_text").alias("field_name"), F.col("file_id").alias("record_id"), "law_id", F.col("raw_text").alias("value")).join(sources, "law_id", "left")
+    wrong = mojibake.records(texts).select(F.col("record_id").alias("file_id"))
     return files.join(laws, "law_id", "left").join(wrong, "file_id", "left_anti").select("file_id", "pages", "names")
 
 

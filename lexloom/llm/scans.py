@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.lookalikes import TO_LATIN, fold
+from lexloom.session import cut
 
 # Readings that scans confuse, right and wrong, from which learning starts.
 CONFUSIONS = [
@@ -49,6 +50,9 @@ def words(text: str) -> list[str]:
     return _TOKEN.findall(text)
 
 
+_BROKEN = re.compile("[-\xad¬‐‑][ \t]*\n[ \t]*")
+
+
 def stray(line: str) -> bool:
     """A line of nothing but dependent signs."""
     signs = "".join(line.split())
@@ -113,6 +117,22 @@ def names_act(line: str, titles: list[list[str]]) -> bool:
     return False
 
 
+class _Plain(dict):
+    """Which words stand for themselves, kept up to a bound."""
+
+    def __init__(self, reader: Reader) -> None:
+        self.reader = reader
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 300_000:
+            self.clear()
+        self[word] = got = self.reader.stands(word)
+        return got
+
+    def __reduce__(self):
+        return _Plain, (self.reader,)
+
+
 class Reader:
     """Common words of the corpus and what scans make of them."""
 
@@ -129,6 +149,8 @@ class Reader:
         self.longest = max(map(len, self.swaps), default=1)
         self.known: dict[str, str | None] = {}
         self.paid: dict[str, float] = {}
+        self.plain = _Plain(self)
+        self._misread: dict[str, list[tuple[str, float]]] | None = None
 
     def cost(self, word: str) -> float:
         n = self.counts.get(word, 0)
@@ -147,6 +169,30 @@ class Reader:
             for i in range(1, len(word) + 1):
                 yield word[:i] + right + word[i:], cost
 
+    @property
+    def misread(self) -> dict[str, list[tuple[str, float]]]:
+        """What one confusion makes of every common word, with the words it may have been; made once a task."""
+        if self._misread is None:
+            out: dict[str, list[tuple[str, float]]] = {}
+            wrongs: dict[str, list[tuple[str, float]]] = {}
+            for wrong, rights in self.swaps.items():
+                for right, cost in rights:
+                    wrongs.setdefault(right, []).append((wrong, cost))
+            gaps = dict(self.gaps)
+            for word, n in self.counts.items():
+                if n < self.common or len(word) < 3:
+                    continue
+                for i in range(len(word)):
+                    for right in (word[i], word[i : i + 2]):
+                        for wrong, cost in wrongs.get(right, ()):
+                            out.setdefault(word[:i] + wrong + word[i + len(right) :], []).append((word, cost))
+                        if len(word) - i == 1:
+                            break
+                    if i and word[i] in gaps:
+                        out.setdefault(word[:i] + word[i + 1 :], []).append((word, gaps[word[i]]))
+            self._misread = out
+        return self._misread
+
     def meant(self, word: str) -> str | None:
         """The common word that a word misreads by one or two confusions, or None if it stands for itself."""
         got = self.known.get(word, "")
@@ -156,22 +202,15 @@ class Reader:
                 self.paid.clear()
             own, best, low = self.counts.get(word, 0), None, self.cost(word) + 4.0
             if len(word) >= 3 and not word.isdecimal():
-                once: dict[str, float] = {}
-                for made, cost in self.repairs(word):
-                    once[made] = min(cost, once.get(made, 9e9))
-                tried = once
-                for turn in range(2):
-                    for made, cost in tried.items():
-                        n = self.counts.get(made, 0)
-                        if n >= self.common and n >= 20 * own and len(made) >= 3 and self.cost(made) + cost < low:
-                            low, best = self.cost(made) + cost, made
-                    if turn or best is not None or own or len(word) < 6:
-                        break
-                    tried = {}
-                    for part, cost in once.items():
-                        for made, more in self.repairs(part):
-                            if self.counts.get(made, 0) >= self.common:
-                                tried[made] = min(cost + more, tried.get(made, 9e9))
+                index = self.misread
+                for made, cost in index.get(word, ()):
+                    if self.counts[made] >= 20 * own and self.cost(made) + cost < low:
+                        low, best = self.cost(made) + cost, made
+                if best is None and not own and len(word) >= 6:
+                    for part, cost in self.repairs(word):
+                        for made, more in index.get(part, ()):
+                            if made != word and self.cost(made) + cost + more < low:
+                                low, best = self.cost(made) + cost + more, made
             if best is not None:
                 self.paid[word] = low
             got = self.known[word] = best
@@ -182,7 +221,7 @@ class Reader:
         right = self.meant(word)
         return (self.cost(word), word) if right is None else (self.paid[word], right)
 
-    def plain(self, word: str) -> bool:
+    def stands(self, word: str) -> bool:
         """Whether a piece has no reading but itself, and none with its neighbours either."""
         return word.isdecimal() or _CJK.search(word) is not None or self.counts.get(word, 0) >= self.common and self.meant(word) is None
 
@@ -214,7 +253,7 @@ class Reader:
                 name = "broken_word" + (" misread" if right != whole else "")
                 known, both = self.counts.get(whole, 0), min(self.counts.get(x, 0), self.counts.get(w, 0)) >= self.common
                 if gap == "blank":
-                    if not (self.plain(x) and self.plain(w)) and not x.isdecimal() and not w.isdecimal() and not _CJK.search(whole) and (known >= self.common or right != whole and not self.plain(x) and not self.plain(w)):
+                    if not (self.plain[x] and self.plain[w]) and not x.isdecimal() and not w.isdecimal() and not _CJK.search(whole) and (known >= self.common or right != whole and not self.plain[x] and not self.plain[w]):
                         options.append((start + price + JOIN, j - 2, right, name))
                 else:
                     options[0] = (options[0][0] + APART, *options[0][1:])
@@ -271,20 +310,32 @@ def decode(lines: list[str], kinds: list[str], reader: Reader, rewrite: bool = T
     """
     found: Counter = Counter()
     text = [lines[i].rstrip() for i, k in enumerate(kinds) if k == "text"]
-    at: list[tuple[int, int, int]] = []  # line, start and end of every piece
     pieces: list[str] = []
+    begins, line_of = [0], []  # the first piece of every line, the line of every piece
     for k, line in enumerate(text):
-        for m in _TOKEN.finditer(line):
-            cut = m.end() == len(line) and k + 1 < len(text) and len(m.group()) > 1 and line[-1] in HYPHENS
-            at.append((k, m.start(), m.end() - cut))
-            pieces.append(m.group()[:-1] if cut else m.group())
+        own = _TOKEN.findall(line)
+        if own and k + 1 < len(text) and line[-1] in HYPHENS and len(own[-1]) > 1 and own[-1][-1] == line[-1]:
+            own[-1] = own[-1][:-1]
+        pieces += own
+        line_of += [k] * len(own)
+        begins.append(len(pieces))
+    spans: dict[int, list[tuple[int, int]]] = {}
+
+    def at(k: int) -> tuple[int, int, int]:
+        """Line, start and end of a piece."""
+        line = line_of[k]
+        if line not in spans:
+            spans[line] = [(m.start(), m.end()) for m in _TOKEN.finditer(text[line])]
+        start = spans[line][k - begins[line]][0]
+        return line, start, start + len(pieces[k])
+
     low = [w.lower() for w in pieces]
-    plain = {w: reader.plain(w) for w in set(low)}
-    turns = [k for k in range(1, len(at)) if at[k - 1][0] == at[k][0] - 1 and text[at[k - 1][0]][-1] in HYPHENS and len(text[at[k - 1][0]]) > 1]
+    plain = reader.plain
+    turns = [begins[k + 1] for k in range(len(text) - 1) if len(text[k]) > 1 and text[k][-1] in HYPHENS and begins[k] < begins[k + 1] < begins[k + 2]]
     open_at = {k for k, w in enumerate(low) if not plain[w]}
     gaps = [""] * max(len(low) - 1, 0)
     for k in turns:
-        a, b, end = at[k - 1][0], at[k], at[k - 1][2]
+        (a, _, end), b = at(k - 1), at(k)
         line, after = text[a], text[b[0]]
         if end == len(line) - 1 and _letter(line[-2]) and not after[: b[1]].strip() and _letter(after[b[1]]):
             whole = low[k - 1] + low[k]
@@ -294,7 +345,7 @@ def decode(lines: list[str], kinds: list[str], reader: Reader, rewrite: bool = T
     near_by = sorted({n for k in open_at for n in (k - 1, k, k + 1) if 0 <= n < len(low)})
     for k in near_by:
         if k + 1 < len(low) and not gaps[k] and not pieces[k + 1][0].isupper():
-            (a, _, end), (b, start, _) = at[k], at[k + 1]
+            (a, _, end), (b, start, _) = at(k), at(k + 1)
             between = text[a][end:start] if a == b else text[a][end:] + text[b][:start] if b == a + 1 else "-"
             gaps[k] = "" if between.strip() else "blank"
     edits: list[tuple[int, int, int, str]] = []
@@ -312,7 +363,7 @@ def decode(lines: list[str], kinds: list[str], reader: Reader, rewrite: bool = T
             found.update(x for x in name.split() if x in ("broken_word", "misread"))
             if not rewrite:
                 continue
-            (a, start, end), (b, s2, e2) = at[i], at[j - 1]
+            (a, start, end), (b, _, e2) = at(i), at(j - 1)
             if name == "split":
                 if not pieces[i][0].isupper():
                     edits.append((a, start, end, right))
@@ -331,7 +382,7 @@ def decode(lines: list[str], kinds: list[str], reader: Reader, rewrite: bool = T
     for line, start, end, made in sorted(edits, reverse=True):
         text[line] = text[line][:start] + made + text[line][end:]
     for k in reversed(moved):
-        a, b = at[k][0], at[k + 1][0]
+        a, b = line_of[k], line_of[k + 1]
         cut_at = next((m.end() for m in _TOKEN.finditer(text[b])), 0)
         if text[a][-1:] in HYPHENS:
             text[a], text[b] = text[a] + text[b][:cut_at].lstrip(), text[b][cut_at:].lstrip()
@@ -364,11 +415,12 @@ def paragraphs(lines: list[str]) -> list[str]:
     return out[::-1]
 
 
-def vocabulary(files: DataFrame, pages: str, most_words: int = 200_000) -> tuple[dict[str, int], int, DataFrame, int]:
-    """Numbers of files that hold each frequent word, the number of files, the rare words, and the least count kept.
+def vocabulary(files: DataFrame, pages: str) -> tuple[dict[str, int], int, DataFrame, int]:
+    """Numbers of files that hold each frequent word, the number of files, all words with theirs, and the least count kept.
 
-    Words in fewer than one file of a thousand stay distributed. Beyond ``most_words`` frequent words the least count
-    rises, which bounds what every task is given.
+    A word is common in a hundredth of the files, and stands for itself where it has a twentieth of a common word's
+    files, so counts from one file of two thousand decide everything. Such words are at most two thousand times as many as
+    the different words of a mean file, whatever the number of files; the rest stays distributed.
     """
     rows = files.select(F.col(pages).alias("pages")).where(F.size("pages") > 0)
     n_files = rows.count()
@@ -380,16 +432,17 @@ def vocabulary(files: DataFrame, pages: str, most_words: int = 200_000) -> tuple
                 seen: set[str] = set()
                 for p in ps:
                     if p:
-                        seen.update(words(re.sub("[-\xad¬‐‑][ \t]*\n[ \t]*", "", p).lower()))
-                total.update(w for w in seen if len(w) <= 40 and not _CJK.search(w))
-        yield pd.DataFrame(list(total.items()), columns=["word", "n"])
+                        seen.update(words(_BROKEN.sub("", p).lower()))
+                total.update(seen)
+            if len(total) > 500_000:
+                yield pd.DataFrame([x for x in total.items() if not _CJK.search(x[0])], columns=["word", "n"])
+                total = Counter()
+        yield pd.DataFrame([x for x in total.items() if not _CJK.search(x[0])], columns=["word", "n"])
 
-    counted = rows.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).persist()
-    least = max(2, n_files // 1000)
-    kept = counted.where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most_words).toPandas()
-    if len(kept) == most_words:
-        least = int(kept["n"].iloc[-1])
-    return dict(zip(kept["word"], kept["n"])), n_files, counted.where(F.col("n") < least), least
+    counted = cut(rows.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+    least = max(2, n_files // 2000)
+    kept = counted.where(F.col("n") >= least).toPandas()
+    return dict(zip(kept["word"], kept["n"])), n_files, counted, least
 
 
 def learn_confusions(counts: dict[str, int], rare: DataFrame, common: int, support: int = 5) -> dict[tuple[str, str], float]:
@@ -448,9 +501,9 @@ def confusion_costs(learnt: Iterable[tuple[str, str, float]], targets: set[str])
 
 
 def fit(files: DataFrame, pages: str) -> Reader:
-    counts, n_files, rare, least = vocabulary(files, pages)
-    common = max(8, least, n_files // 100)
-    return Reader(counts, learn_confusions(counts, rare, common), common)
+    counts, n_files, every, _ = vocabulary(files, pages)
+    common = max(8, n_files // 100)
+    return Reader(counts, learn_confusions(counts, every.where(F.col("n") < max(2, n_files // 1000)), common), common)
 
 
 def _titles(names: Iterable[str | None]) -> list[list[str]]:

@@ -1,3 +1,4 @@
+import difflib
 import itertools
 import random
 import unicodedata
@@ -332,8 +333,8 @@ def test_a_page_that_is_not_listed_is_learnt(spark):
     ids = {x.record_id for x in found.collect()}
     assert ids <= set(wrong) and len(ids) >= 0.95 * len(wrong)
     fixed = {x.record_id: x.value for x in mojibake.restored(df, found).collect()}
-    right = sum(a == b for i in ids for a, b in zip(fixed[i], wrong[i]))
-    assert right > 0.5 * sum(map(len, wrong.values()))
+    alike = [difflib.SequenceMatcher(None, fixed[i], wrong[i], autojunk=False).ratio() for i in ids]
+    assert sum(alike) > 0.6 * len(alike)  # twenty words are little to learn from; the more frequent letters come first
 
 
 def test_double_byte_text_read_as_single_bytes(spark):
