@@ -300,7 +300,7 @@ def learn(rows: pd.DataFrame, joint: dict[str, np.ndarray], clean: dict[str, flo
     """Mappings of one source: (page a cipher starts at or "", form, character, byte, weight), entries of the page left out.
 
     ``rows``: a, b, n, bigrams of its odd tokens; ``far``: pairs of characters three apart. Every cipher is a component of a mixture, beside clean text. First
-    the weights of the pages are estimated as they are; a cipher with less than 0.02 expected bigrams has explained
+    the weights of the pages are estimated as they are; a cipher with less than a thousandth of an expected bigram has explained
     none. Then weights and the bytes of all characters that a page lacks are estimated together: how often such a
     character stands for a byte is expected from the bigrams it occurs in. What is left without explanation, if there
     are dozens of such bigrams, starts one more cipher, all of whose characters are free, from character ranks alone.
@@ -333,7 +333,7 @@ def learn(rows: pd.DataFrame, joint: dict[str, np.ndarray], clean: dict[str, flo
         whole = mix()
         for k in list(weight):
             weight[k] = float((like[k] * weight[k] / whole * n).sum() / n.sum())
-            if weight[k] * n.sum() < 0.02:
+            if weight[k] * n.sum() < 0.001:
                 del weight[k]
         top = sum(weight.values())
         if top > 0.98:
@@ -449,8 +449,10 @@ def _paged(points: np.ndarray) -> np.ndarray:
 
 def _bytes_of(word: str, table: dict[int, int]) -> bytes | None:
     """The bytes a table turns a word into, or None if some character has none."""
-    swapped = word.translate(table)
-    return swapped.encode("latin-1") if all(ord(c) < 256 for c in swapped) else None
+    try:
+        return word.translate(table).encode("latin-1")
+    except UnicodeEncodeError:
+        return None
 
 
 def _scripts(word: str, categories: str = "LS") -> set[str]:
@@ -466,13 +468,14 @@ def decrypt(word: str, tables: dict[tuple[str, str], dict[int, int]], language:
     mixed = len(_scripts(word)) > 1 or all(language.first.get(c, 0) < rare for c in word if c.isalpha())
     if runs < 2 and not mixed:
         return False, word
+    high = {ord(c) for c in word if not c.isascii()}
     alone = tables.get(("", "utf8"))
     # the letters of a cipher without a page are in no other source, so that they tell nothing of the language
     own = -99.0 if alone and sum(ord(c) in alone for c in word) > 0.5 * sum(ord(c) >= 128 for c in word) else language.score(word)
     best, text, wrong = own, word, False
     for (page, form), table in tables.items():
         if form == "utf8":
-            if runs < 2:
+            if runs < 2 or len(high & table.keys()) < 1:
                 continue
             changed = False
 
@@ -496,6 +499,8 @@ def decrypt(word: str, tables: dict[tuple[str, str], dict[int, int]], language:
             if not changed:
                 continue
         elif form == "double":
+            if runs < 4 and len(high) < 2:
+                continue
             made = word
             for part in (word, *_HIGH.findall(word)):
                 raw = _bytes_of(part, table)
@@ -508,7 +513,7 @@ def decrypt(word: str, tables: dict[tuple[str, str], dict[int, int]], language:
                 return True, made
             continue
         else:
-            if not mixed or _bytes_of("".join(c for c in word if not c.isascii()), table) is None:
+            if not mixed or not high <= table.keys():
                 continue
             made = word.translate({c: _WEST.get(b, chr(b)) for c, b in table.items()})
             if made == word or not language.reads(made):
