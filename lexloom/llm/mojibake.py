@@ -11,6 +11,7 @@ counts as wrongly decoded if its decryption reads better than itself, or if a de
 
 from __future__ import annotations
 
+import json
 import math
 import re
 import unicodedata
@@ -65,7 +66,7 @@ def foreign(word: str) -> bool:
     """Whether some page turns a run of a word's unusual characters into UTF-8 as a whole: no word of a language then."""
     for run in _HIGH.findall(word):
         if len(run) > 1:
-            for table in _backward():
+            for table in _backward().values():
                 raw = run.translate(table)
                 if all(ord(c) < 256 for c in raw):
                     try:
@@ -77,8 +78,8 @@ def foreign(word: str) -> bool:
 
 
 @lru_cache(maxsize=1)
-def _backward() -> list[dict[int, int]]:
-    return [{ord(c): b for b, c in t.items()} for t in pages().values()]
+def _backward() -> dict[str, dict[int, int]]:
+    return {name: {ord(c): b for b, c in t.items()} for name, t in pages().items()}
 
 
 def kind(c: str) -> str:
@@ -225,12 +226,19 @@ class Language:
         for k, n in self.char.items():
             self.first[k[0]] += n
         self.total = sum(self.first.values())
+        self.scored: dict[str, float] = {}
 
     def score(self, word: str) -> float:
-        """Mean log probability of a word's bigrams."""
+        """Mean log probability of a word's bigrams; kept, as words come again from other sources."""
+        got = self.scored.get(word)
+        if got is not None:
+            return got
+        if len(self.scored) > 200_000:
+            self.scored.clear()
         w = f" {''.join(map(kind, word))} "
         total = sum(math.log((self.char.get(a + b, 0.0) + 0.05) / (self.first.get(a, 0.0) + 20.0)) for a, b in zip(w, w[1:]))
-        return total / (len(w) - 1)
+        self.scored[word] = got = total / (len(w) - 1)
+        return got
 
     def reads_double(self, raw: bytes) -> str | None:
         """The Chinese text of bytes, or None unless they hold two letters and all of theirs occur in the language."""
@@ -313,61 +321,61 @@ def learn(rows: pd.DataFrame, joint: dict[str, np.ndarray], clean: dict[str, flo
     met = np.array([clean.get(kind(a) + kind(b), 0.0) for a, b in zip(rows["a"], rows["b"])])
     ground = (met + 0.01) / total
     free = _paged(points)
-    codes, like = {}, {}
+    names, codes, listed = [], {}, []
     for page, table in _coded().items():
         code = lambda x: np.where(x < 0x3000, table[np.minimum(x, 0x2FFF)], -1)  # noqa: B023, E731
         a, b = code(big.a), code(big.b)
         sure = (a >= 0) & (b >= 0)
+        codes[page] = a, b
         for form in FORMS:
             if form == "utf8" and not ((a >= 0xC2) & ((b >= 0x80) & (b < 0xC0) | (b < 0))).any() or form == "legacy" and (page in ("cp1252", "latin_1", "cp1254") or not sure.any()):
                 continue
             x = np.full(len(n), 1e-12)
             x[sure] = joint[form][a[sure], b[sure]]
-            codes[page, form], like[page, form] = (a, b), x
-    weight = {k: 0.3 / max(len(like), 1) for k in like}
+            names.append((page, form))
+            listed.append(x)
+    like = np.array(listed).reshape(len(names), len(n))
+    weights = np.full(len(names), 0.3 / max(len(names), 1))
 
     def mix() -> np.ndarray:
-        return ground * max(1 - sum(weight.values()), 0.02) + sum((like[k] * w for k, w in weight.items()), np.zeros(len(n)))
+        return ground * max(1 - weights.sum(), 0.02) + weights @ like
 
     def weigh() -> None:
-        whole = mix()
-        for k in list(weight):
-            weight[k] = float((like[k] * weight[k] / whole * n).sum() / n.sum())
-            if weight[k] * n.sum() < 0.001:
-                del weight[k]
-        top = sum(weight.values())
-        if top > 0.98:
-            weight.update({k: w * 0.98 / top for k, w in weight.items()})
+        nonlocal weights
+        weights = (like @ (n / mix())) * weights / n.sum()
+        weights[weights * n.sum() < 0.001] = 0.0
+        weights *= min(1.0, 0.98 / max(weights.sum(), 1e-300))
 
     for _ in range(rounds):
         weigh()
-    learnt = {k: {} for k in weight}
-    for k in [k for k, w in weight.items() if w * n.sum() >= 1]:
-        a, b = codes[k]
+    learnt: dict[tuple[str, str], dict[str, int]] = {k: {} for k in names}
+    for r in np.flatnonzero(weights * n.sum() >= 1):
+        a, b = codes[names[r][0]]
         right = np.flatnonzero((a >= 0) & (b < 0) & big.high_b & free[np.minimum(big.at_b, len(points) - 1)])
         left = np.flatnonzero((a < 0) & (b >= 0) & big.high_a & free[np.minimum(big.at_a, len(points) - 1)])
         at = np.concatenate([right, left])
         if not len(at):
             continue
-        open_at = np.concatenate([big.at_b[right], big.at_a[left]])
-        own = np.concatenate([joint[k[1]][a[right], 128:], joint[k[1]][128:, b[left]].T])
-        letters, place = np.unique(open_at, return_inverse=True)
+        own = np.concatenate([joint[names[r][1]][a[right], 128:], joint[names[r][1]][128:, b[left]].T])
+        letters, place = np.unique(np.concatenate([big.at_b[right], big.at_a[left]]), return_inverse=True)
+        member = np.zeros((len(letters), len(at)))
+        member[place, np.arange(len(at))] = 1
         theta = np.full((len(letters), 128), 1 / 128)
+        rest = mix()[at] - weights[r] * like[r, at]
         for _ in range(free_rounds):
             part = own * theta[place]
-            like[k][at] = part.sum(axis=1) + 1e-12
-            share = like[k][at] * weight[k] / mix()[at] * n[at]
-            part *= (share / like[k][at])[:, None]
-            counts = np.zeros((len(letters), 128))
-            np.add.at(counts, place, part)
+            got = part.sum(axis=1) + 1e-12
+            counts = member @ (part * (weights[r] * n[at] / (rest + weights[r] * got))[:, None])
             theta = (counts + 1e-3) / (counts + 1e-3).sum(axis=1, keepdims=True)
-        seen = np.bincount(place, weights=n[at], minlength=len(letters))
+        like[r, at] = got
+        seen = member @ n[at]
         control = points[letters] < 0xA0
         for i in np.flatnonzero((theta.max(axis=1) > 0.3) & (control | (counts.sum(axis=1) > np.maximum(3.0, 0.5 * seen)))):
-            learnt[k][chr(points[letters[i]])] = int(theta[i].argmax()) + 128
+            learnt[names[r]][chr(points[letters[i]])] = int(theta[i].argmax()) + 128
     for _ in range(2):
         weigh()
-    out = [(page, form, "", 0, float(w)) for (page, form), w in weight.items()]  # the page itself, which every task knows
+    weight = {k: float(w) for k, w in zip(names, weights) if w > 0}
+    out = [(*k, "", 0, w) for k, w in weight.items()]  # the page itself, which every task knows
     if far is not None:
         far_big = Bigrams(far, points)
         known = lambda some: some[big.at_a.clip(max=len(points) - 1)] & some[big.at_b.clip(max=len(points) - 1)]
@@ -376,7 +384,8 @@ def learn(rows: pd.DataFrame, joint: dict[str, np.ndarray], clean: dict[str, flo
         held = {k: np.where(points < 0x3000, _coded()[k[0]][np.minimum(points, 0x2FFF)], -1) for k in weight if k[1] == "utf8"}
         if held:
             # letters that no page at work has: the heaviest cipher starts at its page, and all its characters are free
-            by_page = n * sum(like[k] * weight[k] for k in held) / whole
+            rows_of = [i for i, k in enumerate(names) if k in held]
+            by_page = n * (weights[rows_of] @ like[rows_of]) / whole
             explained = np.bincount(np.concatenate([big.at_a[big.high_a], big.at_b[big.high_b]]), weights=np.concatenate([by_page[big.high_a], by_page[big.high_b]]), minlength=len(points))
             k = max(held, key=weight.get)
             met_by = np.any([codes_of >= 0 for x, codes_of in held.items() if weight[x] >= 0.02] + [held[k] >= 0], axis=0)
@@ -395,7 +404,7 @@ def learn(rows: pd.DataFrame, joint: dict[str, np.ndarray], clean: dict[str, flo
                 learnt[k].update({c: byte for c, byte in _sure(made, points).items() if lacking[np.searchsorted(points, ord(c))]})
         # what nothing explains: one more cipher, from ranks alone
         elsewhere = np.maximum(met - n, 0.0)  # a pair that only this source has is no language
-        dark = (elsewhere < 1) & big.high_a & big.high_b & (whole - ground * max(1 - sum(weight.values()), 0.02) < 2 * (elsewhere + 0.01) / total)
+        dark = (elsewhere < 1) & big.high_a & big.high_b & (weights @ like < 2 * (elsewhere + 0.01) / total)
         share = np.bincount(np.concatenate([big.at_a[dark], big.at_b[dark]]), weights=np.concatenate([n[dark], n[dark]]), minlength=len(points))
         mine = free & (share > 0.5 * big.seen())
         if n[dark & known(mine)].sum() >= 40:
@@ -455,8 +464,14 @@ def _bytes_of(word: str, table: dict[int, int]) -> bytes | None:
         return None
 
 
+@lru_cache(maxsize=1 << 16)
+def _script(c: str) -> tuple[str, str]:
+    """First letter of a character's category and first word of its name; no category for ASCII that is no letter."""
+    return "" if c.isascii() and not c.isalpha() else unicodedata.category(c)[0], unicodedata.name(c, "?").split(" ")[0]
+
+
 def _scripts(word: str, categories: str = "LS") -> set[str]:
-    return {unicodedata.name(c, "?").split(" ")[0] for c in word if not (c.isascii() and not c.isalpha()) and unicodedata.category(c)[0] in categories}
+    return {name for kind_of, name in map(_script, word) if kind_of and kind_of in categories}
 
 
 def decrypt(word: str, tables: dict[tuple[str, str], dict[int, int]], language: Language) -> tuple[bool, str]:
@@ -556,24 +571,25 @@ def wrong_tokens(scan: DataFrame) -> DataFrame:
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         far = pdf[pdf["what"] == "odd-3"]
         found = learn(pdf[pdf["what"] == "odd"], joint, clean, far if len(far) else None)
-        return pd.DataFrame([(pdf["source"].iloc[0], *x) for x in found], columns=["source", "page", "form", "letter", "byte", "weight"])
+        return pd.DataFrame([(pdf["source"].iloc[0], json.dumps(sorted(found, key=lambda x: -x[4])))], columns=["source", "mapping"])
 
-    mapping = counted.where("what in ('odd', 'odd-3')").groupBy("source").applyInPandas(fit, "source string, page string, form string, letter string, byte int, weight double")
-    tables = mapping.groupBy("source").agg(F.collect_list(F.struct("page", "form", "letter", "byte", "weight")).alias("table"))
+    # the mapping goes with every token of its source as one string, which is read once a source
+    tables = counted.where("what in ('odd', 'odd-3')").groupBy("source").applyInPandas(fit, "source string, mapping string")
     strange = scan.where("what = 'token'").groupBy("source", "token").agg(F.lit(1)).select("source", "token")
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept: dict[str, dict] = {}
         for pdf in batches:
             out = []
-            for source, token, table in zip(pdf["source"], pdf["token"], pdf["table"]):
+            for source, token, mapping in zip(pdf["source"], pdf["token"], pdf["mapping"]):
                 own = kept.get(source)
                 if own is None:
                     own = {}
-                    for x in sorted(table if table is not None else [], key=lambda x: -x["weight"]):
-                        mine = own.setdefault((x["page"], x["form"]), {ord(c): b for b, c in pages().get(x["page"], {}).items()})
-                        if x["letter"]:
-                            mine[ord(x["letter"])] = x["byte"]
+                    for page, form, letter, byte, _ in json.loads(mapping) if mapping else ():
+                        if (page, form) not in own:
+                            own[page, form] = dict(_backward().get(page, ()))
+                        if letter:
+                            own[page, form][ord(letter)] = byte
                     if len(kept) > 1000:
                         kept.clear()
                     kept[source] = own

@@ -108,15 +108,19 @@ def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:
-    """Files with pages and their acts' names, without those decoded wrongly; of several versions the first in order."""
+    """Files with pages and their acts' names, without those decoded wrongly.
+
+    Who is in and under which names is settled on keys alone, so that the pages move once.
+    """
     every = table(spark, d, "law_metadata")
     laws = every.groupBy("law_id").agg(F.flatten(F.collect_set(F.array("act_name", "bangla_name"))).alias("names"))
     loaded = table(spark, d, "loaded_documents")
-    files = loaded.where(F.size("pages") > 0).groupBy("file_id").agg(F.min(F.struct("law_id", "pages")).alias("f")).select("file_id", "f.*")
     sources = every.select("law_id", F.col("source_pdf").alias("source")).distinct()
     texts = loaded.select(F.lit("raw_text").alias("field_name"), F.col("file_id").alias("record_id"), "law_id", F.col("raw_text").alias("value")).join(sources, "law_id", "left")
     wrong = mojibake.records(texts).select(F.col("record_id").alias("file_id"))
-    return files.join(laws, "law_id", "left").join(wrong, "file_id", "left_anti").select("file_id", "pages", "names")
+    named = loaded.select("file_id", "law_id").distinct().join(laws, "law_id", "left").join(wrong, "file_id", "left_anti")
+    names = named.groupBy("file_id").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
+    return loaded.where(F.size("pages") > 0).select("file_id", "pages").join(names, "file_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -61,7 +61,7 @@ def stray(line: str) -> bool:
 
 def numbers_page(line: str, edge: bool) -> bool:
     """A line that only numbers the page; a bare or Roman number does so only at the edge of the page."""
-    if len(line) > 24 or not line.strip():
+    if not line.strip():
         return False
     if _ROMAN.match(line):
         return edge
@@ -97,7 +97,7 @@ def near(a: str, b: str) -> bool:
 
 def names_act(line: str, titles: list[list[str]]) -> bool:
     """Whether a line is the act's name, in full or short, with or without a page number after it."""
-    if len(line) > 160:
+    if len(line) > 2 * max((sum(map(len, t)) + len(t) for t in titles), default=0) + 24:  # no form of a name
         return False
     got = _title(line)
     if got and got[-1].isdecimal() and len(got) > 2 and (len(got[-1]) < 4 or got[-2].isdecimal()):
@@ -146,6 +146,7 @@ class Reader:
                 self.swaps.setdefault(wrong, []).append((right, cost))
             else:
                 self.gaps.append((right, cost))
+        self.opening = {wrong[0] for wrong in self.swaps}
         self.longest = max(map(len, self.swaps), default=1)
         self.known: dict[str, str | None] = {}
         self.paid: dict[str, float] = {}
@@ -158,11 +159,13 @@ class Reader:
 
     def repairs(self, word: str) -> Iterable[tuple[str, float]]:
         """Words that one confusion turns into this one."""
-        for i in range(len(word)):
-            for k in range(1, self.longest + 1):
-                for right, cost in self.swaps.get(word[i : i + k], ()):
-                    if i + k <= len(word):
-                        yield word[:i] + right + word[i + k :], cost
+        swaps, opening = self.swaps, self.opening
+        for i, c in enumerate(word):
+            if c in opening:
+                for k in range(1, self.longest + 1):
+                    for right, cost in swaps.get(word[i : i + k], ()):
+                        if i + k <= len(word):
+                            yield word[:i] + right + word[i + k :], cost
         for right, cost in self.gaps:
             if ord(right) >> 7 != ord(word[0]) >> 7:  # another script
                 continue
@@ -552,4 +555,4 @@ def repaired(files: DataFrame, reader: Reader) -> DataFrame:
                 out += [(file, no, p) for no, p in enumerate(paragraphs(text), 1)]
             yield pd.DataFrame(out, columns=["file_id", "paragraph_no", "text"])
 
-    return files.where(F.size("pages") > 0).mapInPandas(mend, "file_id long, paragraph_no int, text string")
+    return files.where(F.size("pages") > 0).mapInPandas(mend, "file_id long, paragraph_no int, text string").distinct()
