@@ -75,12 +75,15 @@ def plain(text: str) -> str:
 
 
 _DRAWN = str.maketrans(TO_LATIN)
+_ACCENTS = re.compile("[\u0300-\u036f]+")
 _TITLE = re.compile(r"[^\s,.·•|()\[\]–—-]+")
 
 
 def _title(text: str) -> list[str]:
-    out = unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFKD", fold(text).translate(_DRAWN)).casefold() if not 0x300 <= ord(c) <= 0x36F))
-    return _TITLE.findall(out)
+    if text.isascii():
+        return _TITLE.findall(text.casefold())
+    out = unicodedata.normalize("NFKD", fold(text).translate(_DRAWN)).casefold()
+    return _TITLE.findall(unicodedata.normalize("NFC", _ACCENTS.sub("", out)))
 
 
 def near(a: str, b: str) -> bool:
@@ -280,7 +283,7 @@ class Reader:
 
 def furniture(lines: list[str], titles: list[list[str]]) -> list[str]:
     """What every line of a page is: text, blank, page_number, running_header or stray_marks."""
-    kinds = ["blank" if not x.strip() else "stray_marks" if stray(x) else "text" for x in lines]
+    kinds = ["blank" if not x or x.isspace() else "text" if x.isascii() or not stray(x) else "stray_marks" for x in lines]
     solid = [i for i, k in enumerate(kinds) if k == "text"]
     for i in solid[:2] + solid[-3:]:
         before = max((j for j in solid if j < i), default=None)
@@ -332,8 +335,8 @@ def decode(lines: list[str], kinds: list[str], reader: Reader, rewrite: bool = T
         start = spans[line][k - begins[line]][0]
         return line, start, start + len(pieces[k])
 
-    low = [w.lower() for w in pieces]
-    plain = reader.plain
+    low = " ".join(pieces).lower().split(" ") if pieces else []  # no piece holds a blank
+    plain, counts = reader.plain, reader.counts
     turns = [begins[k + 1] for k in range(len(text) - 1) if len(text[k]) > 1 and text[k][-1] in HYPHENS and begins[k] < begins[k + 1] < begins[k + 2]]
     open_at = {k for k, w in enumerate(low) if not plain[w]}
     gaps = [""] * max(len(low) - 1, 0)
@@ -348,6 +351,8 @@ def decode(lines: list[str], kinds: list[str], reader: Reader, rewrite: bool = T
     near_by = sorted({n for k in open_at for n in (k - 1, k, k + 1) if 0 <= n < len(low)})
     for k in near_by:
         if k + 1 < len(low) and not gaps[k] and not pieces[k + 1][0].isupper():
+            if counts.get(low[k] + low[k + 1], 0) < reader.common and (plain[low[k]] or plain[low[k + 1]]):
+                continue  # no word could be made of the two
             (a, _, end), (b, start, _) = at(k), at(k + 1)
             between = text[a][end:start] if a == b else text[a][end:] + text[b][:start] if b == a + 1 else "-"
             gaps[k] = "" if between.strip() else "blank"
