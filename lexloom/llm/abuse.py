@@ -43,13 +43,10 @@ _CJK = re.compile("([㐀-鿿])")
 def words(text: str) -> list[str]:
     """Words of a text in small letters; letters spread one by one are put together."""
     t = text.lower()
-    if not t.isascii():
-        if _VEIL.search(t):
-            t = t.translate(_DRAWN)
-        if _CJK.search(t):
-            t = _CJK.sub(r" \1 ", t)
+    if not t.isascii() and _VEIL.search(t):
+        t = t.translate(_DRAWN)
     out = _WORD.findall(t)
-    if list(map(len, out)).count(1) > 3:
+    if b"\1\1\1\1" in bytes(map((1).__eq__, map(len, out))):
         made: list[str] = []
         row: list[str] = []
         for w in [*out, ""]:
@@ -60,6 +57,8 @@ def words(text: str) -> list[str]:
             row = []
             made.append(w)
         out = made[:-1]
+    if not t.isascii() and _CJK.search(t):
+        out = _CJK.sub(r" \1 ", " ".join(out)).split()
     return out
 
 
@@ -80,12 +79,29 @@ def normal(word: str) -> str:
 def slots(word: str) -> list[int]:
     w = f"<{word}>"
     raw = w.encode()
-    out = [zlib.crc32(raw) % BUCKETS] * 2
-    for n in (2, 3, 4):
-        out += [zlib.crc32(w[i : i + n].encode()) % BUCKETS for i in range(len(w) - n + 1)]
+    crc, out = zlib.crc32, [zlib.crc32(raw) % BUCKETS] * 2
+    if len(raw) == len(w):
+        out += [crc(raw[i : i + n]) % BUCKETS for n in (2, 3, 4) for i in range(len(w) - n + 1)]
+    else:
+        out += [crc(w[i : i + n].encode()) % BUCKETS for n in (2, 3, 4) for i in range(len(w) - n + 1)]
     return out
 
 
+class Bags:
+    """Slots of numbered words, one after the other."""
+
+    def __init__(self, listed: list[list[int]]) -> None:
+        self.size = np.fromiter(map(len, listed), np.int64, len(listed))
+        self.flat = np.fromiter((x for l in listed for x in l), np.int64, int(self.size.sum()))
+        self.first = np.cumsum(self.size) - self.size
+
+    def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The slots of some words and how many each has."""
+        size = self.size[words]
+        ends = np.cumsum(size)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[words] - (ends - size), size)], size
+
+
 def windows(n: int) -> list[int]:
     """Starts of the overlapping windows of n words; the last one ends with the text."""
     if n <= WINDOW:
@@ -94,6 +110,9 @@ def windows(n: int) -> list[int]:
     return [*starts, n - WINDOW]
 
 
+_STEPS = np.arange(WINDOW)
+
+
 class Network:
     """Parameters and passes of the network."""
 
@@ -103,6 +122,15 @@ class Network:
         self.p = {"E": (r.standard_normal((BUCKETS, WIDTH)) * 0.1).astype(np.float32), "wo": g(2 * HIDDEN), "bo": np.zeros(1, np.float32), "wa": g(2 * HIDDEN)}
         for d in "fb":
             self.p |= {f"W{d}": g(WIDTH, 3 * HIDDEN), f"U{d}": g(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
+        self.rooms: dict[tuple[str, str], np.ndarray] = {}
+
+    def room(self, name: str, *shape: int) -> np.ndarray:
+        """An array to write into, kept from call to call: fresh memory costs more than what is computed in it."""
+        kind_of, size = self.p["E"].dtype, int(np.prod(shape))
+        held = self.rooms.get((name, kind_of.char))
+        if held is None or held.size < size:
+            held = self.rooms[name, kind_of.char] = np.empty(size, kind_of)
+        return held[:size].reshape(shape)
 
     def project(self, listed: list[list[int]]) -> np.ndarray:
         """Inputs to the gates of both directions for words given by their slots."""
@@ -118,35 +146,24 @@ class Network:
     def _sigmoid(x: np.ndarray) -> np.ndarray:
         return 0.5 * (np.tanh(0.5 * x) + 1)
 
-    def run(self, px: np.ndarray, mask: np.ndarray, keep: bool = False):
-        """Probabilities of windows; px: windows x words x gates, mask: windows x words."""
+    def run(self, px: np.ndarray, mask: np.ndarray) -> np.ndarray:
+        """Probabilities of windows, step by step; px: windows x words x gates, mask: windows x words."""
         n, t, _ = px.shape
-        h_all = np.zeros((n, t, 2 * HIDDEN), np.float32)
-        trail = {}
+        h_all = np.zeros((n, t, 2 * HIDDEN), px.dtype)
         for d, off in (("f", 0), ("b", 3 * HIDDEN)):
             u = self.p[f"U{d}"]
-            h = np.zeros((n, HIDDEN), np.float32)
-            steps = range(t) if d == "f" else range(t - 1, -1, -1)
-            for k in steps:
+            h = np.zeros((n, HIDDEN), px.dtype)
+            for k in range(t) if d == "f" else range(t - 1, -1, -1):
                 x = px[:, k, off : off + 3 * HIDDEN]
-                hu = h @ u[:, : 2 * HIDDEN]
-                zr = self._sigmoid(x[:, : 2 * HIDDEN] + hu)
+                zr = self._sigmoid(x[:, : 2 * HIDDEN] + h @ u[:, : 2 * HIDDEN])
                 z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-                rh = r * h
-                c = np.tanh(x[:, 2 * HIDDEN :] + rh @ u[:, 2 * HIDDEN :])
-                m = mask[:, k : k + 1]
-                new = h + m * z * (c - h)
-                if keep:
-                    trail[d, k] = (h, z, r, c, rh)
-                h = new
+                c = np.tanh(x[:, 2 * HIDDEN :] + (r * h) @ u[:, 2 * HIDDEN :])
+                h = h + mask[:, k : k + 1] * z * (c - h)
                 h_all[:, k, HIDDEN * (d == "b") : HIDDEN * (1 + (d == "b"))] = h
         score = h_all @ self.p["wa"] + (mask - 1) * 1e4
         a = np.exp(score - score.max(axis=1, keepdims=True))
         a /= a.sum(axis=1, keepdims=True)
-        pooled = np.einsum("nt,nth->nh", a, h_all)
-        logit = pooled @ self.p["wo"] + self.p["bo"]
-        prob = self._sigmoid(logit)
-        return (prob, (h_all, a, pooled, trail)) if keep else prob
+        return self._sigmoid(np.einsum("nt,nth->nh", a, h_all) @ self.p["wo"] + self.p["bo"])
 
     @staticmethod
     def halves(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -166,10 +183,12 @@ class Network:
             recur[own, both + d * HIDDEN : both + (d + 1) * HIDDEN] = 0.5 * u[:, HIDDEN : 2 * HIDDEN]
             cand[own, own] = u[:, 2 * HIDDEN :]
         h = np.zeros((n, both), np.float32)
-        states = np.empty((t, n, both), np.float32)
-        gates = np.empty((n, 2 * both), np.float32)
+        states, gates = self.room("states", t, n, both), self.room("gates", n, 2 * both)
+        x, w = self.room("ahead", n, 3 * HIDDEN), self.room("behind", n, 3 * HIDDEN)
+        c, moved = self.room("cand", n, both), self.room("reset", n, both)
         for k in range(t):
-            x, w = forward[index[k]], backward[index[t - 1 - k]]
+            forward.take(index[k], axis=0, out=x, mode="clip")
+            backward.take(index[t - 1 - k], axis=0, out=w, mode="clip")
             np.matmul(h, recur, out=gates)
             gates[:, :HIDDEN] += x[:, :HIDDEN]
             gates[:, HIDDEN:both] += w[:, :HIDDEN]
@@ -178,7 +197,7 @@ class Network:
             np.tanh(gates, out=gates)
             gates += 1
             gates *= 0.5
-            c = (gates[:, both:] * h) @ cand
+            np.matmul(np.multiply(gates[:, both:], h, out=moved), cand, out=c)
             c[:, :HIDDEN] += x[:, 2 * HIDDEN :]
             c[:, HIDDEN:] += w[:, 2 * HIDDEN :]
             np.tanh(c, out=c)
@@ -196,60 +215,132 @@ class Network:
         logit = ((states @ self.p["wo"]) * a).sum(axis=0) + self.p["bo"]
         return self._sigmoid(logit)
 
-    def gradients(self, index: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, bags: list[list[int]]) -> dict[str, np.ndarray]:
-        """Gradients of the weighted cross-entropy; index: windows x words into bags."""
+    def _blocks(self) -> tuple[np.ndarray, np.ndarray]:
+        """Recurrent weights of both directions side by side: of the gates (update, reset) and of the candidate."""
+        both = 2 * HIDDEN
+        recur, cand = np.zeros((both, 2 * both), self.p["Uf"].dtype), np.zeros((both, both), self.p["Uf"].dtype)
+        for d, u in enumerate((self.p["Uf"], self.p["Ub"])):
+            own = slice(d * HIDDEN, (d + 1) * HIDDEN)
+            recur[own, own] = u[:, :HIDDEN]
+            recur[own, both + d * HIDDEN : both + (d + 1) * HIDDEN] = u[:, HIDDEN : 2 * HIDDEN]
+            cand[own, own] = u[:, 2 * HIDDEN :]
+        return recur, cand
+
+    def gradients(self, index: np.ndarray, mask: np.ndarray, y: np.ndarray, weight: np.ndarray, bags: Bags | list[list[int]]) -> dict[str, np.ndarray]:
+        """Gradients of the weighted cross-entropy; index: windows x words into bags.
+
+        Both directions run side by side, the second one backwards.
+        """
+        bags = bags if isinstance(bags, Bags) else Bags(bags)
         used, inverse = np.unique(index, return_inverse=True)
         inverse = inverse.reshape(index.shape)
-        listed = [bags[i] for i in used]
-        roots = np.sqrt(np.array([len(s) for s in listed], np.float32))
-        e = self._sums(listed) / roots[:, None]
-        table = np.concatenate([e @ self.p["Wf"] + self.p["cf"], e @ self.p["Wb"] + self.p["cb"]], axis=1)
-        px = table[inverse]
-        prob, (h_all, a, pooled, trail) = self.run(px, mask, keep=True)
+        by_size = np.argsort(bags.size[used], kind="stable")  # words of as many slots stand together and are summed at once
+        used = used[by_size]
+        rank = np.empty(len(used), np.int64)
+        rank[by_size] = np.arange(len(used))
+        inverse = rank[inverse]
+        flat, sizes = bags.of(used)
+        roots = np.sqrt(sizes.astype(np.float32))
+        held = self.p["E"].take(flat, axis=0, out=self.room("slots", len(flat), WIDTH), mode="clip")
+        e = np.empty((len(used), WIDTH), held.dtype)
+        at = word = 0
+        for size, many in zip(*np.unique(sizes, return_counts=True)):
+            np.einsum("nsd->nd", held[at : at + size * many].reshape(many, size, WIDTH), out=e[word : word + many])
+            at, word = at + size * many, word + many
+        e /= roots[:, None]
         n, t = index.shape
-        dl = ((prob - y) * weight / n).astype(np.float32)
-        g = {"wo": pooled.T @ dl, "bo": np.array([dl.sum()], np.float32)}
-        dpool = dl[:, None] * self.p["wo"]
-        da = np.einsum("nh,nth->nt", dpool, h_all)
-        ds = a * (da - (a * da).sum(axis=1, keepdims=True))
-        g["wa"] = np.einsum("nt,nth->h", ds, h_all)
-        dh_all = a[:, :, None] * dpool[:, None, :] + ds[:, :, None] * self.p["wa"]
-        dpx = np.zeros_like(px)
-        for d, off in (("f", 0), ("b", 3 * HIDDEN)):
-            u = self.p[f"U{d}"]
-            du = np.zeros_like(u)
-            dh = np.zeros((n, HIDDEN), np.float32)
-            part = slice(HIDDEN * (d == "b"), HIDDEN * (1 + (d == "b")))
-            for k in range(t - 1, -1, -1) if d == "f" else range(t):
-                h, z, r, c, rh = trail[d, k]
-                m = mask[:, k : k + 1]
-                dn = dh + dh_all[:, k, part]
-                dz = dn * m * (c - h) * z * (1 - z)
-                dc = dn * m * z * (1 - c * c)
-                drh = dc @ u[:, 2 * HIDDEN :].T
-                dr = drh * h * r * (1 - r)
-                dzr = np.concatenate([dz, dr], axis=1)
-                du[:, : 2 * HIDDEN] += h.T @ dzr
-                du[:, 2 * HIDDEN :] += rh.T @ dc
-                dpx[:, k, off : off + 2 * HIDDEN] = dzr
-                dpx[:, k, off + 2 * HIDDEN : off + 3 * HIDDEN] = dc
-                dh = dn * (1 - m * z) + drh * r + dzr @ u[:, : 2 * HIDDEN].T
-            g[f"U{d}"] = du
-        place = inverse.ravel()
-        order = np.argsort(place, kind="stable")
-        dtable = np.add.reduceat(dpx.reshape(-1, dpx.shape[2])[order], np.searchsorted(place[order], np.arange(len(used))), axis=0)
-        de = np.zeros_like(e)
-        for d, off in (("f", 0), ("b", 3 * HIDDEN)):
-            part = dtable[:, off : off + 3 * HIDDEN]
-            g[f"W{d}"] = e.T @ part
-            g[f"c{d}"] = part.sum(axis=0)
-            de += part @ self.p[f"W{d}"].T
-        de /= roots[:, None]
+        one, both = HIDDEN, 2 * HIDDEN
+        forward, backward = e @ self.p["Wf"] + self.p["cf"], e @ self.p["Wb"] + self.p["cb"]
+        kind_of = forward.dtype
+        x = self.room("x", t, n, 3, 2, one)  # update, reset and candidate, each of both directions
+        x[:, :, :, 0] = forward[inverse.T].reshape(t, n, 3, one)
+        x[:, :, :, 1] = backward[inverse.T[::-1]].reshape(t, n, 3, one)
+        x = x.reshape(t, n, 6 * one)
+        m = self.room("m", t, n, 2, one)
+        m[:, :, 0], m[:, :, 1] = mask.T[:, :, None], mask.T[::-1, :, None]
+        m = m.reshape(t, n, both)
+        recur, cand = self._blocks()
+        h = np.zeros((n, both), kind_of)
+        olds, updates, resets, cands, moved, after = (self.room(k, t, n, both) for k in ("olds", "updates", "resets", "cands", "moved", "after"))
+        x[:, :, : 2 * both] *= 0.5
+        half = 0.5 * recur
+        for k in range(t):
+            zr = h @ half
+            zr += x[k, :, : 2 * both]
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= 0.5
+            olds[k], updates[k], resets[k] = h, zr[:, :both], zr[:, both:]
+            np.multiply(zr[:, both:], h, out=moved[k])
+            c = moved[k] @ cand
+            c += x[k, :, 2 * both :]
+            np.tanh(c, out=cands[k])
+            np.subtract(cands[k], h, out=c)
+            c *= zr[:, :both]
+            c *= m[k]
+            np.add(h, c, out=after[k])
+            h = after[k]
+        h_all = self.room("h_all", t, n, both)  # by the place of the word
+        h_all[:, :, :one], h_all[:, :, one:] = after[:, :, :one], after[::-1, :, one:]
+        score = h_all @ self.p["wa"] + (mask.T - 1) * 1e4
+        a = np.exp(score - score.max(axis=0))
+        a /= a.sum(axis=0)
+        pooled = np.einsum("tn,tnh->nh", a, h_all)
+        prob = self._sigmoid(pooled @ self.p["wo"] + self.p["bo"])
+        dl = ((prob - y) * weight / n).astype(kind_of)
+        g = {"wo": pooled.T @ dl, "bo": np.array([dl.sum()], kind_of)}
+        da = dl * (h_all @ self.p["wo"])
+        ds = a * (da - (a * da).sum(axis=0))
+        g["wa"] = ds.ravel() @ h_all.reshape(-1, both)
+        dh_all = np.multiply((a * dl)[:, :, None], self.p["wo"], out=self.room("dh_all", t, n, both))
+        dh_all += np.multiply(ds[:, :, None], self.p["wa"], out=self.room("part", t, n, both))
+        dh_all[:, :, one:] = dh_all[::-1, :, one:].copy()
+        # what does not depend on later steps, for all steps at once
+        zm = np.multiply(m, updates, out=self.room("zm", t, n, both))
+        to_update = np.subtract(cands, olds, out=self.room("to_update", t, n, both))
+        to_update *= zm
+        to_update *= np.subtract(1, updates, out=self.room("part", t, n, both))
+        to_cand = np.multiply(cands, cands, out=self.room("to_cand", t, n, both))
+        np.subtract(1, to_cand, out=to_cand)
+        to_cand *= zm
+        to_reset = np.multiply(olds, resets, out=self.room("to_reset", t, n, both))
+        to_reset *= np.subtract(1, resets, out=self.room("part", t, n, both))
+        keep = np.subtract(1, zm, out=zm)
+        dx = self.room("dx", t, n, 6 * one)
+        dh = np.zeros((n, both), kind_of)
+        for k in range(t - 1, -1, -1):
+            dh += dh_all[k]
+            dz, dr, dc = dx[k, :, :both], dx[k, :, both : 2 * both], dx[k, :, 2 * both :]
+            np.multiply(dh, to_update[k], out=dz)
+            np.multiply(dh, to_cand[k], out=dc)
+            drh = dc @ cand.T
+            np.multiply(drh, to_reset[k], out=dr)
+            dh *= keep[k]
+            drh *= resets[k]
+            dh += drh
+            dh += dx[k, :, : 2 * both] @ recur.T
+        rows = dx.reshape(-1, 6 * one)
+        d_recur, d_cand = olds.reshape(-1, both).T @ rows[:, : 2 * both], moved.reshape(-1, both).T @ rows[:, 2 * both :]
+        for d, name in enumerate(("Uf", "Ub")):
+            own = slice(d * one, (d + 1) * one)
+            g[name] = np.concatenate([d_recur[own, own], d_recur[own, both + d * one : both + (d + 1) * one], d_cand[own, own]], axis=1)
+        parts = self.room("parts", t, n, 2, 3, one)
+        parts[:, :, 0] = dx.reshape(t, n, 3, 2, one)[:, :, :, 0]
+        parts[:, :, 1] = dx.reshape(t, n, 3, 2, one)[::-1, :, :, 1]
+        place = inverse.T.ravel()
+        order = np.argsort(place.astype(np.uint16) if len(used) < 1 << 16 else place, kind="stable")  # sorted by radix
+        count = np.bincount(place)
+        dtable = np.add.reduceat(parts.reshape(-1, 6 * one).take(order, axis=0, out=self.room("x", t * n, 6 * one), mode="clip"), np.cumsum(count) - count, axis=0)
+        dw, dc = e.T @ dtable, dtable.sum(axis=0)
+        for d, (w, c) in enumerate((("Wf", "cf"), ("Wb", "cb"))):
+            own = slice(3 * d * one, 3 * (d + 1) * one)
+            g[w], g[c] = dw[:, own], dc[own]
+        de = (dtable @ np.concatenate([self.p["Wf"], self.p["Wb"]], axis=1).T) / roots[:, None]
+        order = np.argsort(flat.astype(np.uint16) if BUCKETS <= 1 << 16 else flat, kind="stable")
+        count = np.bincount(flat, minlength=BUCKETS)
+        slot = np.flatnonzero(count)
         ge = np.zeros_like(self.p["E"])
-        flat = np.concatenate(listed)
-        order = np.argsort(flat, kind="stable")
-        slot, first = np.unique(flat[order], return_index=True)
-        ge[slot] = np.add.reduceat(np.repeat(de, list(map(len, listed)), axis=0)[order], first, axis=0)
+        ge[slot] = np.add.reduceat(de.take(np.repeat(np.arange(len(used)), sizes)[order], axis=0, out=self.room("slots", len(flat), WIDTH), mode="clip"), (np.cumsum(count) - count)[slot], axis=0)
         g["E"] = ge
         return g
 
@@ -278,12 +369,12 @@ class Data:
         get, word = self.raw.get, self.word
         ids = [at if (at := get(w)) is not None else word(w) for w in words(text)]
         starts = windows(len(ids))
+        if len(ids) >= WINDOW:
+            out = np.array(ids, np.int64)[np.array(starts)[:, None] + _STEPS]
+            return out, np.ones(out.shape, np.float32)
         out = np.zeros((len(starts), WINDOW), np.int64)
         mask = np.zeros((len(starts), WINDOW), np.float32)
-        for i, s in enumerate(starts):
-            part = ids[s : s + WINDOW]
-            out[i, : len(part)] = part
-            mask[i, : len(part)] = 1
+        out[:, : len(ids)], mask[:, : len(ids)] = ids, 1
         return out, mask
 
 
@@ -307,7 +398,7 @@ def verdicts(labels: pd.DataFrame) -> dict[int, float]:
     return truth.to_dict()
 
 
-def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 3, epochs: int = 6) -> tuple[Network, float]:
+def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 3, epochs: int = 6, batch: int = 128, speed: float = 0.006) -> tuple[Network, float]:
     """Network and threshold fitted to documents with probabilities ``y`` of being abusive.
 
     In the first round the windows of a positive document are told from the others by words that positive documents
@@ -334,6 +425,8 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 3, epoch
     value = np.where(mask > 0, rate[index], -9)
     belief = np.sort(value, axis=1)[:, -5:].clip(-1, 4).mean(axis=1)
     positive = y[doc] > 0.5
+    blank = data.word("#")
+    bags = Bags(data.bags)
     for turn in range(rounds):
         top = pd.Series(belief).groupby(doc).transform("max").to_numpy()
         if turn == 0:
@@ -348,6 +441,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 3, epoch
         net = Network(seed)
         m = {k: np.zeros_like(v) for k, v in net.p.items()}
         s = {k: np.zeros_like(v) for k, v in net.p.items()}
+        room = {k: np.zeros_like(v) for k, v in net.p.items()}
         step = 0
         for epoch in range(epochs):
             quota = min(len(neg), MOST_WINDOWS // 2, max(3000, 6 * len(pos)))
@@ -360,18 +454,30 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 3, epoch
             some = pos if len(pos) <= MOST_WINDOWS // 2 else rng.choice(pos, MOST_WINDOWS // 2, replace=False)
             times = max(1, int(round(len(negs) / max(len(some), 1) / 4)))
             order = rng.permutation(np.concatenate([*[some] * times, negs]))
-            for at in range(0, len(order), 128):
-                b = order[at : at + 128]
+            for at in range(0, len(order), batch):
+                b = order[at : at + batch]
                 idx = index[b].copy()
                 drop = (rng.random(idx.shape) < 0.08) & (mask[b] > 0)
-                idx[drop] = data.word("#")
-                g = net.gradients(idx, mask[b], target[b] * 0.98 + 0.01, np.ones(len(b), np.float32), data.bags)
+                idx[drop] = blank
+                g = net.gradients(idx, mask[b], target[b] * 0.98 + 0.01, np.ones(len(b), np.float32), bags)
                 step += 1
-                rate_now = 0.006 * min(1, step / 50) * (1 - 0.8 * epoch / epochs)
+                rate_now = speed * min(1, step / 50) * (1 - 0.8 * epoch / epochs)
                 for k, v in g.items():
-                    m[k] += 0.1 * (v - m[k])
-                    s[k] += 0.01 * (v * v - s[k])
-                    net.p[k] -= rate_now * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.99**step)) + 1e-7) + rate_now * 1e-4 * net.p[k]
+                    part = room[k]
+                    np.subtract(v, m[k], out=part)
+                    part *= 0.1
+                    m[k] += part
+                    np.multiply(v, v, out=part)
+                    part -= s[k]
+                    part *= 0.01
+                    s[k] += part
+                    np.multiply(s[k], 1 / (1 - 0.99**step), out=part)
+                    np.sqrt(part, out=part)
+                    part += 1e-7
+                    np.divide(m[k], part, out=part)
+                    part *= rate_now / (1 - 0.9**step)
+                    net.p[k] *= 1 - rate_now * 1e-4
+                    net.p[k] -= part
         belief = probabilities(net, data, index, mask)
     # the threshold that agrees best with the reviews
     best = pd.Series(belief).groupby(doc).max().reindex(range(len(cuts)), fill_value=0.0).to_numpy()
