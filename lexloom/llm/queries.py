@@ -90,9 +90,9 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    """Lines that stand in many files of one volume."""
+    """Lines that stand in many files of one volume, as parts of its frequent sequences."""
     every = _lines(spark, d)
-    return repeated_lines.occurrences(every, repeated_lines.frequent_lines(every))
+    return repeated_lines.occurrences(every, repeated_lines.prefix_span(every, repeated_lines.frequent_lines(every), gaps=False))
 
 
 def p5_sequences(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +104,7 @@ def p5_sequences(spark: SparkSession, d: str) -> DataFrame:
 def p5_cleaned(spark: SparkSession, d: str) -> DataFrame:
     """Every file without the lines repeated in its volume."""
     every = _lines(spark, d)
-    return repeated_lines.without_repeated(every, repeated_lines.frequent_lines(every))
+    return repeated_lines.without_repeated(every, repeated_lines.prefix_span(every, repeated_lines.frequent_lines(every), gaps=False))
 
 
 def _scanned(spark: SparkSession, d: str) -> DataFrame:

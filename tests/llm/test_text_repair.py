@@ -175,12 +175,13 @@ def test_repeated_lines_match_brute_force(spark):
     l = spark.createDataFrame(laws + laws[:2] + [(None, "v0"), (1000, None)], "law_id long, source_pdf string")
     every = repeated_lines.lines(r, l)
     frequent = repeated_lines.frequent_lines(every)
-    got = {tuple(x) for x in repeated_lines.occurrences(every, frequent).collect()}
+    runs = repeated_lines.prefix_span(every, frequent, gaps=False)
+    got = {tuple(x) for x in repeated_lines.occurrences(every, runs).collect()}
     assert got == brute_lines(results, laws) and got
     patterns = repeated_lines.prefix_span(every, frequent).collect()
     singles = {p.pattern[0]: p.support for p in patterns if len(p.pattern) == 1}
     assert all(p.support <= min(singles.get(x, 99) for x in p.pattern) for p in patterns if len(p.pattern) > 1)
-    cleaned = {x.file_id: x for x in repeated_lines.without_repeated(every, frequent).collect()}
+    cleaned = {x.file_id: x for x in repeated_lines.without_repeated(every, runs).collect()}
     assert all("from the shelf" not in (x.cleaned_text or "").lower() for x in cleaned.values() if ("v0", 1) and (x.file_id, "body", 1) in got)
     assert repeated_lines.lines(r.limit(0), l).count() == 0
 
@@ -345,3 +346,14 @@ def test_double_byte_text_read_as_single_bytes(spark):
     assert {r.record_id for r in found.collect()} == {100, 101, 102}
     fixed = {r.record_id: r.value for r in mojibake.restored(df, found).collect()}
     assert fixed[100] == good[0] and fixed[101] == good[1]
+
+
+def test_sequences_without_gaps(spark):
+    body = ["first line of the masthead", "second line of the masthead", "third line of the masthead"]
+    results = [(i, i, "\n".join([*body[:2], f"text {chr(97 + i) * 9} of this file", body[2]]), [], []) for i in range(4)] + [(4, 4, "\n".join(reversed(body)), None, None)]
+    r = spark.createDataFrame(results, "file_id long, law_id long, cleaned_text string, removed_headers array<string>, removed_footers array<string>")
+    l = spark.createDataFrame([(i, "v") for i in range(5)], "law_id long, source_pdf string")
+    every = repeated_lines.lines(r, l)
+    found = repeated_lines.prefix_span(every, repeated_lines.frequent_lines(every), gaps=False).collect()
+    assert sorted((len(p.pattern), p.support) for p in found) == [(1, 5)] * 3 + [(2, 4)] * 2 + [(3, 4)]
+    assert repeated_lines.prefix_span(every.limit(0), repeated_lines.frequent_lines(every.limit(0)), gaps=False).count() == 0
