@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexloom.llm import abuse, languages, leaks, lookalikes, mojibake, packing, repeated_lines, scans
-from lexloom.llm.sentences import sentences
+from lexloom.llm.sentences import learn_gaps, sentences
 from lexloom.session import cut, table
 
 
@@ -60,8 +60,10 @@ def p2_restored(spark: SparkSession, d: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of every chunk and clause."""
-    chunks = sentences(table(spark, d, "chunks"), "chunk_id", "text", "chunk")
-    clauses = sentences(table(spark, d, "legal_clauses"), "clause_id", "text", "clause")
+    of_chunks, of_clauses = table(spark, d, "chunks"), table(spark, d, "legal_clauses")
+    gaps = learn_gaps([of_chunks.select(F.col("text").alias("unit")), of_clauses.select(F.col("text").alias("unit"))])
+    chunks = sentences(of_chunks, "chunk_id", "text", "chunk", gaps)
+    clauses = sentences(of_clauses, "clause_id", "text", "clause", gaps)
     return chunks.unionByName(clauses).select("record_kind", "record_key", "sentence_no", "end_char")
 
 

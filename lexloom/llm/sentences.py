@@ -2,22 +2,29 @@
 
 Spaced scripts: every run of terminators is a node of a lattice, an edge is a possible sentence, and dynamic
 programming takes the cheapest path. The cost of an edge counts quotations and brackets it leaves open, and the gap
-at its end is priced from the word before it, the word after it and the state of quotations. Spaceless scripts: an
-end mark ends a sentence; after a closing quotation the text is cut over a lattice of a fixed list of words, and verbs
-that report or words that carry on decide. Without marks, such a paragraph is one sentence.
+at its end is priced from the word before it, the word after it and the state of quotations. Spaceless scripts: the
+dictionary, the words that close sentences and those that open them are learnt from the corpus, where end marks show
+them. Runs are cut over a lattice of the dictionary's words. An end mark ends a sentence; after a closing quotation, verbs
+that report or words that carry on decide. In a paragraph without end marks every gap between two words is a candidate,
+classified by the word that closes and the word that opens there.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
+from dataclasses import dataclass, field
+from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexloom.session import cut
+
 # Abbreviations that never end a sentence before a capital, digit or name.
 ABBREVIATIONS = frozenset(
     """dr mr mrs ms prof gen col maj capt lt sgt st ft mt messrs hon rev jr sr vs v cf viz ibid approx art arts cl para paras
@@ -32,14 +39,10 @@ CARRY_ON = frozenset(
     bole ebong and or but et a ont mais ou""".split()
 )
 ZH_CARRY_ON = ("并且", "并", "而", "但", "然后", "后", "等", "的", "和", "及")
-# Last words of a clause that report a quotation, and opening words of a new sentence.
+# Last words of a clause that report a quotation.
 ZH_REPORTS = ("这样主张", "主张", "表示", "说", "道", "称", "答复", "宣布", "写道", "认为")
-ZH_OPENERS = ("依照", "违反", "未经", "且慢", "根据", "如果", "第")
-# Words of the spaceless script's dictionary that are not learnt from a corpus.
-ZH_WORDS = frozenset(
-    [*ZH_CARRY_ON, *ZH_REPORTS, *ZH_OPENERS]
-    + "承租人 登记员 检查员 测量员 雇主 船主 进口商 受托人 委员会 理事会 管理局 仲裁庭 法院 政府 应当 可以 是否 不得 任何 问道 除外 另有 规定 负责 提交 收取 保管".split()
-)
+#: Words that every dictionary holds.
+ZH_WORDS = frozenset([*ZH_CARRY_ON, *ZH_REPORTS])
 
 INVISIBLE = dict.fromkeys(map(ord, "­͏؜᠎​‌‍‎‏⁠﻿"))
 _VEIL = re.compile("[­͏؜᠎​‌‍‎‏⁠﻿]")
@@ -57,14 +60,9 @@ _INDIC = re.compile("[ऀ-෿]")
 _RUN = re.compile("[㐀-鿿]+")
 
 
-@lru_cache(maxsize=1)
-def _longest_word() -> int:
-    return max(map(len, ZH_WORDS))
-
-
 def words_of_run(run: str, dictionary: frozenset[str] = ZH_WORDS) -> list[str]:
     """Cheapest path through the word lattice of a spaceless run: a dictionary word costs 1, another character 1.5."""
-    top = _longest_word() if dictionary is ZH_WORDS else max(map(len, dictionary), default=1)
+    top = _longest_word(dictionary)
     best: list[tuple[float, int]] = [(0.0, 0)]
     for j in range(1, len(run) + 1):
         best.append(min((best[i][0] + (1.0 if (w := run[i:j]) in dictionary else 1.5 if len(w) == 1 else 9e9), i) for i in range(max(0, j - top), j)))
@@ -76,6 +74,84 @@ def words_of_run(run: str, dictionary: frozenset[str] = ZH_WORDS) -> list[str]:
     return out[::-1]
 
 
+@lru_cache(maxsize=8)
+def _longest_word(dictionary: frozenset[str]) -> int:
+    return max(map(len, dictionary), default=1)
+
+
+@dataclass(frozen=True)
+class Gaps:
+    """What a corpus shows of a spaceless script: its words, and how much a word speaks for a sentence's end or start."""
+
+    words: frozenset[str] = ZH_WORDS
+    closing: dict[str, float] = field(default_factory=dict)
+    opening: dict[str, float] = field(default_factory=dict)
+    prior: float = -3.0
+    mean: float = 30.0
+
+    def ends(self, run: str) -> list[tuple[int, float]]:
+        """Places in an unmarked run where a sentence may end, with the price of ending it there (below 0 for an end)."""
+        words = words_of_run(run, self.words)
+        out, at = [], 0
+        for a, b in zip(words, words[1:]):
+            at += len(a)
+            odds = self.prior + _of_word(self.closing, a, False) + _of_word(self.opening, b, True)
+            if odds > 0:
+                out.append((at, -odds))
+        return out
+
+
+def _of_word(known: dict[str, float], word: str, first: bool) -> float:
+    """The log ratio of a word, or of its longest known beginning or end."""
+    for n in range(len(word), 0, -1):
+        part = word[:n] if first else word[-n:]
+        if part in known:
+            return known[part]
+    return -3.0
+
+
+NO_GAPS = Gaps()
+
+
+def learn_gaps(units: list[DataFrame], column: str = "unit", least: int = 5, share: float = 2e-6) -> Gaps:
+    """The dictionary and the closing and opening words of the spaceless text of all rows.
+
+    Strings of one to four letters are counted, and those before end marks and after them. A string is a word if it
+    is met ``least`` times and its parts would come together by chance far less often. Only strings with at least
+    ``share`` of all places reach the driver, which bounds them whatever the size of the corpus.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter = Counter()
+        for pdf in batches:
+            for t in pdf[column]:
+                for m in _RUN.finditer(t):
+                    run, (b, e) = m.group(), m.span()
+                    for n in (1, 2, 3, 4):
+                        total.update(("word", run[i : i + n]) for i in range(len(run) - n + 1))
+                    if t[e : e + 1] and t[e] in "。！？":
+                        total.update(("closing", run[-n:]) for n in (1, 2, 3) if n <= len(run))
+                        total["ends", ""] += 1
+                    if not t[:b].rstrip("“「『（( \n") or t[:b].rstrip("“「『（( \n”」』）)")[-1:] in "。！？":
+                        total.update(("opening", run[:n]) for n in (1, 2, 3) if n <= len(run))
+            if len(total) > 500_000:
+                yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["what", "gram", "n"])
+                total = Counter()
+        yield pd.DataFrame([(*k, n) for k, n in total.items()], columns=["what", "gram", "n"])
+
+    rows = reduce(DataFrame.unionByName, [u.select(column) for u in units]).where(F.col(column).rlike("[㐀-鿿]"))
+    counted = cut(rows.mapInPandas(count, "what string, gram string, n long").groupBy("what", "gram").agg(F.sum("n").alias("n")))
+    places = counted.where("what = 'word' and length(gram) = 1").agg(F.sum("n")).first()[0] or 0
+    got = counted.where(F.col("n") >= max(least, int(share * places))).toPandas()
+    by = {what: dict(zip(part["gram"], part["n"])) for what, part in got.groupby("what")}
+    grams, ends = by.get("word", {}), by.get("ends", {}).get("", 0)
+    if not ends:
+        return NO_GAPS
+    words = {g for g, n in grams.items() if len(g) > 1 and all(n * places > 10 * grams[g[:i]] * grams[g[i:]] for i in range(1, len(g)))}
+    ratio = lambda part: {g: math.log((n + 0.5) * places / ((grams.get(g, n) + 0.5) * ends)) for g, n in part.items()}
+    return Gaps(frozenset(words | ZH_WORDS), ratio(by.get("closing", {})), ratio(by.get("opening", {})), math.log(ends / places), places / ends)
+
+
 def _opens(word: str) -> bool:
     """Whether a word can open a sentence: no small letter."""
     for c in word:
@@ -85,7 +161,7 @@ def _opens(word: str) -> bool:
     return False
 
 
-def _gap(text: str, start: int, end: int, quoted: bool, sentence: int) -> float:
+def _gap(text: str, start: int, end: int, quoted: bool, sentence: int, dictionary: frozenset[str] = ZH_WORDS) -> float:
     """Price of ending a sentence at ``end``; below 0 speaks for an end. ``start``: of the terminators."""
     after = _AFTER.match(text, end).group(1)
     if not after:
@@ -98,13 +174,13 @@ def _gap(text: str, start: int, end: int, quoted: bool, sentence: int) -> float:
         if quoted:
             run = _RUN.match(text, end)
             if run:
-                first = words_of_run(run.group()[:12])[0]
+                first = words_of_run(run.group(), dictionary)[0]
                 if first in ZH_CARRY_ON or run.group().startswith("并"):
                     return 5.0
                 if not text[sentence:start].lstrip().startswith(("“", "「", "『", "«")):
                     return -5.0
                 stop = re.compile(r"[。！？.!?…“”\n]").search(text, end)
-                last = words_of_run(re.sub("[^㐀-鿿]", "", text[end : stop.start() if stop else len(text)])[-12:])
+                last = words_of_run(re.sub("[^㐀-鿿]", "", text[end : stop.start() if stop else len(text)]), dictionary)
                 return 5.0 if last and any(last[-1].endswith(x) for x in ZH_REPORTS) else -5.0
         return -5.0
     if mark.startswith("।") or mark.startswith("॥"):
@@ -137,7 +213,7 @@ def _gap(text: str, start: int, end: int, quoted: bool, sentence: int) -> float:
     return -4.0
 
 
-def _paragraph(text: str, offset: int) -> Iterator[tuple[int, int]]:
+def _paragraph(text: str, offset: int, gaps: Gaps = NO_GAPS) -> Iterator[tuple[int, int]]:
     """Sentence spans of one paragraph, by the lattice of its terminators."""
     lo = len(text) - len(text.lstrip())
     hi = len(text.rstrip())
@@ -168,9 +244,12 @@ def _paragraph(text: str, offset: int) -> Iterator[tuple[int, int]]:
             pending = (s, m.end())
             if c[0] == "।" and _NUMBER.search(text, max(lo, s - 8), s):  # a number that marks the next sentence
                 continue
-            if c == "." and text[s - 1 : s].isdigit() and nodes and nodes[-1][1] < s and _NUMBER.search(text, max(lo, s - 8), s) and _gap(text, nodes[-1][0], nodes[-1][1], False, lo) < 0:
+            if c == "." and text[s - 1 : s].isdigit() and nodes and nodes[-1][1] < s and _NUMBER.search(text, max(lo, s - 8), s) and _gap(text, nodes[-1][0], nodes[-1][1], False, lo, gaps.words) < 0:
                 continue
             nodes.append((s, m.end(), tuple(x for x, _ in stack), False))
+    if gaps.opening and not nodes and hi - lo > 2 * gaps.mean:  # a spaceless paragraph without end marks
+        for m in _RUN.finditer(text, lo, hi):
+            nodes += [(m.start() + at, m.start() + at, (), price) for at, price in gaps.ends(m.group())]
     # nodes overtaken by a closer at the same place stay as alternatives; the open brackets price them
     n = len(nodes)
     if not n:
@@ -193,14 +272,18 @@ def _paragraph(text: str, offset: int) -> Iterator[tuple[int, int]]:
             if e - begin < 14 and _LABEL.match(text[begin:e]):
                 continue
             cost = price + 20.0 * (seen[i] != opened)
+            if isinstance(quoted, float):  # a gap between two words
+                if cost + quoted < cheapest[0]:
+                    cheapest = (cost + quoted, i)
+                continue
             if quoted not in (True, False):  # a bracket closed here
                 own = quoted != "(" and not text[begin:quoted].strip(" \n\t") or (quoted != "(" and _LABEL.match(text[begin:quoted]) is not None)
-                cost += -4.0 if own and _gap(text, s, e, False, begin) < 3 else 5.0
+                cost += -4.0 if own and _gap(text, s, e, False, begin, gaps.words) < 3 else 5.0
             elif cost < 15 + price:
                 if quoted is True or begin > s - 24:
-                    cost += _gap(text, s, e, quoted is True, begin)
+                    cost += _gap(text, s, e, quoted is True, begin, gaps.words)
                 else:
-                    far = _gap(text, s, e, False, begin) if far is None else far
+                    far = _gap(text, s, e, False, begin, gaps.words) if far is None else far
                     cost += far
             else:
                 cost += 5.0
@@ -235,7 +318,7 @@ def _paragraph(text: str, offset: int) -> Iterator[tuple[int, int]]:
         at = e
 
 
-def split(text: str | None) -> list[tuple[int, int]]:
+def split(text: str | None, gaps: Gaps = NO_GAPS) -> list[tuple[int, int]]:
     """(begin, end) of every sentence of a text, in code points from 0, end exclusive; none for null or blank texts."""
     if not text or text.isspace():
         return []
@@ -247,32 +330,32 @@ def split(text: str | None) -> list[tuple[int, int]]:
     out: list[tuple[int, int]] = []
     at = 0
     for m in _PARAGRAPH.finditer(plain):
-        out.extend(_paragraph(plain[at : m.start()], at))
+        out.extend(_paragraph(plain[at : m.start()], at, gaps))
         at = m.end()
-    out.extend(_paragraph(plain[at:], at))
+    out.extend(_paragraph(plain[at:], at, gaps))
     if places is not None:
         out = [(places[b], places[e - 1] + 1) for b, e in out]
     return out
 
 
-def sentences(df: DataFrame, key: str, text: str, kind: str) -> DataFrame:
+def sentences(df: DataFrame, key: str, text: str, kind: str, gaps: Gaps = NO_GAPS) -> DataFrame:
     """Sentence units of every text: record_kind, record_key, sentence_no from 1, begin_char and end_char from 1.
 
     Exactly repeated rows count once. A null, empty or blank text has no sentence. Columns other than ``key`` and
-    ``text`` are ignored, so names may clash freely. A text of any length is cut as a whole.
+    ``text`` are ignored, so names may clash freely. A text of any length is cut as a whole. ``gaps``: of ``learn_gaps``.
     """
     rows = df.select(F.col(key).cast("string").alias("record_key"), F.col(text).alias("unit")).where(F.col("unit").isNotNull()).distinct()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             keys, nos, begins, ends = [], [], [], []
             for k, t in zip(pdf["record_key"], pdf["unit"]):
-                found = split(t)
+                found = split(t, gaps)
                 keys += [k] * len(found)
                 nos += range(1, len(found) + 1)
                 begins += [b + 1 for b, _ in found]
                 ends += [e for _, e in found]
             yield pd.DataFrame({"record_key": pd.Series(keys, dtype=object), "sentence_no": nos, "begin_char": begins, "end_char": ends})
 
-    out = rows.mapInPandas(cut, "record_key string, sentence_no int, begin_char int, end_char int")
+    out = rows.mapInPandas(units, "record_key string, sentence_no int, begin_char int, end_char int")
     return out.select(F.lit(kind).alias("record_kind"), "record_key", "sentence_no", "begin_char", "end_char")

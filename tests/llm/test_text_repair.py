@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lexloom.llm import languages, lookalikes, mojibake, repeated_lines, scans
-from lexloom.llm.sentences import sentences, split, words_of_run
+from lexloom.llm.sentences import learn_gaps, sentences, split, words_of_run
 
 ROWS = "field_name string, row_key string, value string"
 
@@ -56,7 +56,7 @@ def test_sentence_rows(spark):
 
 
 def test_word_lattice():
-    assert words_of_run("承租人这样主张") == ["承租人", "这样主张"]
+    assert words_of_run("承租人这样主张", frozenset(["承租人", "这样主张", "这样"])) == ["承租人", "这样主张"]
 
 
 def brute_pairs(rows):
@@ -357,3 +357,25 @@ def test_sequences_without_gaps(spark):
     found = repeated_lines.prefix_span(every, repeated_lines.frequent_lines(every), gaps=False).collect()
     assert sorted((len(p.pattern), p.support) for p in found) == [(1, 5)] * 3 + [(2, 4)] * 2 + [(3, 4)]
     assert repeated_lines.prefix_span(every.limit(0), repeated_lines.frequent_lines(every.limit(0)), gaps=False).count() == 0
+
+
+def test_unmarked_spaceless_text_is_cut_at_learnt_gaps(spark):
+    r = random.Random(3)
+    who, what, how = ["承租人", "登记员", "委员会", "理事会", "检查员"], ["界石", "水表", "登记册", "渔网", "盐田"], ["应当保存", "不得出口", "可以检查", "必须登记"]
+    one = lambda: f"{r.choice(['依照规定', '违反本条'])}{r.choice(who)}{r.choice(how)}{r.choice(what)}{r.choice(['了', '的', '吗'])}"
+    df = spark.createDataFrame([("".join(one() + "。" for _ in range(4)),) for _ in range(300)], "unit string")
+    gaps = learn_gaps([df])
+    assert {"承租人", "委员会", "界石"} <= gaps.words
+    right = total = 0
+    for _ in range(40):
+        parts = [one() for _ in range(5)]
+        ends, at = set(), 0
+        for p in parts:
+            at += len(p)
+            ends.add(at)
+        got = {e for _, e in split("".join(parts), gaps)}
+        right += len(ends & got)
+        total += len(ends | got)
+    assert right > 0.9 * total
+    assert split("关于界石的说明", gaps) == [(0, 7)]
+    assert learn_gaps([df.limit(0)]).words
