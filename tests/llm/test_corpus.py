@@ -193,3 +193,38 @@ def test_read_gives_what_run_gives():
     mask = np.ones(index.shape, np.float32)
     mask[5, 3:] = mask[45, 9:] = 0
     assert np.allclose(net.read(*net.halves(table), index, mask), net.run(table[index], mask), atol=1e-5)
+
+
+@pytest.mark.parametrize("edits", [1, 2, 3])
+def test_recall_at_edits_against_brute_force(spark, edits):
+    r = random.Random(edits)
+    items = [(i, " ".join(words_of(12, i))) for i in range(120)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        for k in range(edits):
+            place = r.randrange(len(w))
+            if k % 3 == 0:
+                w[place] = f"changed{i}x{k}"
+            elif k % 3 == 1:
+                w.insert(place, f"added{i}x{k}")
+            else:
+                del w[place]
+        docs.append((i, " ".join(words_of(15, 700 + i) + w + words_of(15, 900 + i))))
+
+    def near(doc, item):
+        return min(leaks._distance(np.array(doc[b : b + 12 + edits], dtype=object), np.array(item, dtype=object), edits) for b in range(len(doc) - 11)) <= edits
+
+    truth = {(d, i) for d, t in docs for i, x in items if abs(d - i) < 2 and near(t.split(), x.split())}
+    D, I = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(x) for x in leaks.leaks(D, "doc_id", "text", I, "item_id", "text", edits=edits, recall=0.95).collect()}
+    assert len(truth) >= 110 and len(got & truth) >= 0.9 * len(truth) and got <= truth
+    assert leaks.repetitions(edits, 12, 0.95) < 100
+
+
+def test_items_in_blocks(spark):
+    items = [(i, " ".join(words_of(14, i))) for i in range(30)]
+    D = spark.createDataFrame([(i, f"before it {t} and after") for i, t in items], "doc_id long, text string")
+    I = spark.createDataFrame(items, "item_id long, text string")
+    got = {tuple(x) for x in leaks.leaks(D, "doc_id", "text", I, "item_id", "text", block=7).collect()}
+    assert got == {(i, i) for i, _ in items}
