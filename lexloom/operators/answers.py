@@ -12,6 +12,7 @@ from lexloom.functions.text import nonempty
 
 SEPARATOR = "\n\n---\n\n"
 # Openings of failed answers, by language.
+NOT_FOUND = {"bn": "এই প্রশ্নের জন্য সংগ্রহে কোনো বিধান পাওয়া যায় নাই।", "en": "No provision in the collection was found for this question."}
 FAILED = {"bn": "একটি ত্রুটি ঘটেছে: ", "en": "An error occurred: "}
 
 
@@ -85,7 +86,10 @@ def extractive(prompt: str, question: str) -> tuple[str, int, int]:
 
 
 def answer(df: DataFrame, providers: list[Callable[[str, str], tuple[str, int, int]]] = (extractive,), prompt: str = "prompt", question: str = "question", language: str = "language") -> DataFrame:
-    """Add answer, prompt_tokens, completion_tokens and error. Providers are tried in order; if all fail, the last error is the answer."""
+    """Add answer, prompt_tokens, completion_tokens and error. Providers are tried in order; if all fail, the last error is the answer.
+
+    Where the prompt is null there is nothing to answer from: no provider is asked, and the answer says so.
+    """
     chain = list(providers)
 
     @F.pandas_udf("struct<answer:string,prompt_tokens:int,completion_tokens:int,error:string>")
@@ -94,9 +98,12 @@ def answer(df: DataFrame, providers: list[Callable[[str, str], tuple[str, int, i
             out = []
             for p, q, lang in zip(ps, qs, ls):
                 error = None
+                if p is None:
+                    out.append((NOT_FOUND.get(lang, NOT_FOUND["en"]), 0, 0, None))
+                    continue
                 for provider in chain:
                     try:
-                        text, used, made = provider(p or "", q or "")
+                        text, used, made = provider(p, q or "")
                         out.append((text.strip(), used, made, None))
                         break
                     except Exception as e:

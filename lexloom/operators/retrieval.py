@@ -6,6 +6,7 @@ blocks, so that what is sent never grows with the data. Vectors are multiplied a
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -19,6 +20,8 @@ from lexloom.functions.text import nonempty
 TOP_K, SCORE_THRESHOLD, RELAXED_THRESHOLD = 8, 0.3, 0.15
 #: Most queries broadcast at once: 10,000 vectors of 1,024 doubles are 80 MB.
 MOST_QUERIES = 10_000
+#: Most words of queries sent at once, about 100 MB with their lists.
+MOST_QUERY_WORDS = 1_000_000
 TEXT_FIELDS = ("act_name", "document_type", "language", "source_pdf")
 
 
@@ -36,7 +39,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def condition(key: str, value, chunk_type: str = "chunk_type", metadata: str = "metadata", hierarchy: str = "hierarchy") -> Column | None:
-    """Predicate of one filter, None for a key that is not known: equality on the hierarchy and the year, containment else."""
+    """Predicate of one filter, None for a key that is not known: equality on the hierarchy, the year and flags of validation, containment else."""
     if key.startswith("hierarchy."):
         return F.col(f"{hierarchy}.{key.partition('.')[2]}") == str(value)
     if key == "year":
@@ -45,6 +48,8 @@ def condition(key: str, value, chunk_type: str = "chunk_type", metadata: str = "
         return F.col(chunk_type).contains(str(value))
     if key in TEXT_FIELDS:
         return F.col(f"{metadata}.{key}").contains(str(value))
+    if key.startswith("validation."):
+        return F.coalesce(F.try_element_at("validation", F.lit(key.partition(".")[2])), F.lit(False)) == bool(value)
     return None
 
 
@@ -104,11 +109,30 @@ def top_k_batch(points: DataFrame, queries: DataFrame, query_id: str = "qid", k:
     kinds = dict(queries.dtypes)[query_id], dict(rows.dtypes)["i"]
     few = rows.mapInPandas(best, f"q {kinds[0]}, i {kinds[1]}, score double").groupBy("q", "i").agg(F.max("score").alias("score"))
     ranked = few.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "i")))
-    found = ranked.withColumnsRenamed({"q": query_id, "i": point_id}).join(F.broadcast(queries), query_id).where(F.col("rank") <= limit)
+    found = ranked.withColumnsRenamed({"q": query_id, "i": point_id}).join(queries, query_id).where(F.col("rank") <= limit)
     payload = points.join(found.select(point_id).distinct(), point_id, "left_semi").dropDuplicates([point_id])
     return found.join(payload, point_id)
 
 
+def by_act(points: DataFrame, act: str, vector: list[float], k: int = 0, threshold: float = 0.0, point_id: str = "vec_id") -> DataFrame:
+    """The best points of one act, twice as many as usual unless ``k`` says otherwise."""
+    return top_k(filtered(points, {"act_name": act})[0], vector, k if k > 0 else 2 * TOP_K, threshold, point_id)
+
+
+def by_section(points: DataFrame, section: str, vector: list[float], act: str = "", k: int = 0, threshold: float = 0.0, point_id: str = "vec_id") -> DataFrame:
+    """The best points of a section, of any act or of one."""
+    return top_k(filtered(points, {"hierarchy.section": section} | ({"act_name": act} if act else {}))[0], vector, k, threshold, point_id)
+
+
+def first_or_relaxed(ranked: DataFrame, threshold: float, query_id: str = "qid") -> DataFrame:
+    """Of results ranked down to a relaxed threshold: those that reach the first one, and all of a query that has none.
+
+    The first ones are the best ranks of the same list, so one pass over the points serves both thresholds.
+    """
+    best = F.max("score").over(Window.partitionBy(query_id))
+    return ranked.withColumn("_best", best).where((F.col("score") >= threshold) | (F.col("_best") < threshold)).drop("_best")
+
+
 def with_fallback(primary: DataFrame, fallback: DataFrame, query_id: str = "qid") -> DataFrame:
     """The primary results, and the fallback's for queries that have none."""
     return primary.unionByName(fallback.join(primary.select(query_id).distinct(), query_id, "left_anti"))
@@ -123,23 +147,23 @@ def to_chunks(points: DataFrame) -> DataFrame:
 def keyword_top_k(documents: DataFrame, queries: DataFrame, key: str, text: str, k: int = TOP_K, query_id: str = "qid", query_text: str = "query", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """The k best documents of each query by BM25: query_id, key, keyword_score.
 
-    Statistics are counted over all documents, for the queries' words only. Then documents pass once as matrices and
+    Statistics are counted over all documents, for the queries' words only. Then documents pass once, as sparse lists of (document, word, query), and
     every batch keeps the k best of each query: a common word makes no pairs of all documents with all queries. Parts
     are summed as whole millionths, so that the order of the sum does not show; ties go to the smaller key. A null text
     holds no word. Queries beyond the bound are answered in blocks.
     """
     split = lambda c: F.filter(F.split(F.lower(c), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
     asked = queries.select(F.col(query_id).alias("q"), F.array_distinct(split(query_text)).alias("words")).limit(MOST_QUERIES + 1).toPandas()
-    if len(asked) > MOST_QUERIES:
-        blocks = 2 * -(-queries.count() // MOST_QUERIES)
+    asked_words = sum(len(ws) for ws in asked["words"] if ws is not None)
+    if len(asked) > MOST_QUERIES or asked_words > MOST_QUERY_WORDS and len(asked) > 1:
+        blocks = 2 * -(-max(queries.count(), 1) // MOST_QUERIES) if len(asked) > MOST_QUERIES else 2 * -(-asked_words // MOST_QUERY_WORDS)
         parts = [queries.where(F.pmod(F.xxhash64(query_id), F.lit(blocks)) == i) for i in range(blocks)]
         return reduce(DataFrame.unionByName, [keyword_top_k(documents, p, key, text, k, query_id, query_text, k1, b) for p in parts])
     terms = sorted({w for ws in asked["words"] if ws is not None for w in ws})
     place = {w: i for i, w in enumerate(terms)}
-    holds = np.zeros((len(terms), len(asked)))
-    for j, ws in enumerate(asked["words"]):
-        for w in ws if ws is not None else ():
-            holds[place[w], j] = 1
+    pairs = sorted((place[w], j) for j, ws in enumerate(asked["words"]) if ws is not None for w in ws)
+    askers = np.array([j for _, j in pairs], dtype=np.int64)  # the queries of each word, one word after the other
+    first = np.searchsorted(np.array([t for t, _ in pairs], dtype=np.int64), np.arange(len(terms) + 1))
     docs = documents.select(F.col(key).alias("i"), split(text).alias("words")).where("words is not null")
     total = docs.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean")).first()
     wanted = documents.sparkSession.createDataFrame([(w,) for w in terms], "word string")
@@ -156,20 +180,23 @@ def keyword_top_k(documents: DataFrame, queries: DataFrame, key: str, text: str,
             out: list[tuple] = []
             for at in range(0, len(whole), 1000):
                 pdf = whole.iloc[at : at + 1000]
-                tf = np.zeros((len(pdf), len(terms)))
-                for row, ws in zip(tf, pdf["words"]):
-                    for w in ws:
-                        t = place.get(w)
-                        if t is not None:
-                            row[t] += 1
-                length = pdf["words"].map(len).to_numpy(dtype=float)[:, None]
-                parts = np.round(idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)) * 1e6)
-                scores, ids = parts @ holds, pdf["i"].to_numpy()
-                for j, name in enumerate(names):
-                    some = np.flatnonzero(scores[:, j] > 0)
-                    if len(some) > k:
-                        some = some[np.lexsort((ids[some], -scores[some, j]))[:k]]
-                    out += [(name, ids[i], scores[i, j] / 1e6) for i in some]
+                held = [Counter(t for w in ws if (t := place.get(w)) is not None) for ws in pdf["words"]]
+                doc = np.repeat(np.arange(len(pdf)), [len(h) for h in held])
+                term = np.array([t for h in held for t in h], dtype=np.int64)
+                tf = np.array([n for h in held for n in h.values()], dtype=float)
+                length = pdf["words"].map(len).to_numpy(dtype=float)[doc]
+                part = np.round(idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean)) * 1e6)
+                many = first[term + 1] - first[term]
+                ends = np.cumsum(many)
+                who = askers[np.arange(ends[-1] if len(ends) else 0) + np.repeat(first[term] - (ends - many), many)]
+                keys, at_key = np.unique(np.repeat(doc, many) * len(names) + who, return_inverse=True)
+                scores = np.bincount(at_key, weights=np.repeat(part, many), minlength=len(keys))
+                ids, asker = pdf["i"].to_numpy()[keys // max(len(names), 1)], keys % max(len(names), 1)
+                order = np.lexsort((ids, -scores, asker))
+                order = order[scores[order] > 0]
+                starts = np.searchsorted(asker[order], np.arange(len(names)))
+                order = order[np.arange(len(order)) - starts[asker[order]] < k]
+                out += [(names[asker[i]], ids[i], scores[i] / 1e6) for i in order]
             yield pd.DataFrame(out, columns=["q", "i", "keyword_score"])
 
     kinds = dict(queries.dtypes)[query_id], dict(docs.dtypes)["i"]

@@ -173,9 +173,9 @@ def chapters(parsed: DataFrame, key: str) -> DataFrame:
     return rows.select(key, F.array_distinct(F.transform("c", lambda x: x["chapter"])).alias("chapters"))
 
 
-def spans(df: DataFrame, key: str, start: str, length: str) -> DataFrame:
-    """Add end_pos: each start's next start within its key, the last one's length."""
-    order = Window.partitionBy(key).orderBy(start)
+def spans(df: DataFrame, key: str, start: str, length: str, *ties: str) -> DataFrame:
+    """Add end_pos: each start's next start within its key, the last one's length; ``ties`` order equal starts."""
+    order = Window.partitionBy(key).orderBy(start, *ties)
     return df.withColumn("end_pos", F.coalesce(F.lead(start).over(order), F.col(length)))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from lexloom.functions import extract, text
 from lexloom.operators import answers, chunking, cleaning, intent, retrieval, state, structure
 from lexloom.plans import pipeline
-from lexloom.session import table
+from lexloom.session import cut, ensure_checkpoint_dir, table
 from lexloom.sources import requests
+from lexloom.sources.store import PointStore
 
 _SQL: dict[str, str] = {}
 _RUN: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -117,11 +119,13 @@ def line_explode(spark, d):
 
 
 @query(
-    rf"""WITH l AS (SELECT source, doc_id, {_sql(_STRIP, 'line')} AS line FROM (SELECT source, doc_id, unnest(list_slice(string_split(text, chr(10)), 1, 8)) AS line FROM documents)),
-    x AS (SELECT DISTINCT source, doc_id, line FROM l WHERE length(line) >= 3) SELECT source, line, count(*) AS n FROM x GROUP BY source, line HAVING count(*) >= 2"""
+    rf"""WITH f AS (SELECT DISTINCT source_pdf, file_id, cleaned_text FROM clean_results JOIN law_metadata USING (law_id)),
+    l AS (SELECT source_pdf, file_id, {_sql(_STRIP, 'line')} AS line FROM (SELECT source_pdf, file_id, unnest(list_slice(string_split(cleaned_text, chr(10)), 1, 8)) AS line FROM f)),
+    x AS (SELECT DISTINCT source_pdf, file_id, line FROM l WHERE length(line) >= 3) SELECT source_pdf, line, count(*) AS n FROM x GROUP BY source_pdf, line HAVING count(*) >= 2"""
 )
 def repeating_lines(spark, d):
-    return cleaning.repeating_lines(table(spark, d, "documents"), "source", "doc_id", "text")
+    rows = table(spark, d, "clean_results").select("law_id", "file_id", "cleaned_text").join(table(spark, d, "law_metadata").select("law_id", "source_pdf").distinct(), "law_id")
+    return cleaning.repeating_lines(rows, "source_pdf", "file_id", "cleaned_text")
 
 
 @query(
@@ -154,14 +158,14 @@ def sentence_split(spark, d):
 
 
 @query(
-    """WITH RECURSIVE c AS (SELECT law_id, token_count AS t, row_number() OVER (PARTITION BY law_id ORDER BY chunk_id, text) AS i FROM (SELECT DISTINCT law_id, chunk_id, token_count, text FROM chunks)),
+    """WITH RECURSIVE c AS (SELECT law_id, token_count AS t, row_number() OVER (PARTITION BY law_id ORDER BY chunk_id, md5(text)) AS i FROM (SELECT DISTINCT law_id, chunk_id, token_count, text FROM chunks)),
     w AS (SELECT law_id, i, 0 AS g, cast(t AS bigint) AS filled FROM c WHERE i = 1
       UNION ALL SELECT c.law_id, c.i, CASE WHEN filled + t > 1000 AND filled > 0 THEN g + 1 ELSE g END, CASE WHEN filled + t > 1000 AND filled > 0 THEN t ELSE filled + t END FROM w JOIN c ON c.law_id = w.law_id AND c.i = w.i + 1)
     SELECT law_id, cast(max(g) + 1 AS int) AS n_groups, cast(max(i) AS int) AS n_items FROM w GROUP BY law_id"""
 )
 def greedy_pack(spark, d):
-    rows = table(spark, d, "chunks").select("law_id", "chunk_id", "token_count", "text").distinct()
-    items = rows.groupBy("law_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "text", "token_count"))), lambda x: x["token_count"]).alias("sizes")).where("law_id is not null")
+    rows = table(spark, d, "chunks").select("law_id", "chunk_id", "token_count", F.md5("text").alias("digest")).distinct()
+    items = rows.groupBy("law_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "digest", "token_count"))), lambda x: x["token_count"]).alias("sizes")).where("law_id is not null")
     groups = chunking.greedy_groups(F.col("sizes"))
     return items.select("law_id", (F.array_max(groups) + 1).alias("n_groups"), F.size("sizes").alias("n_items"))
 
@@ -183,8 +187,7 @@ def forward_fill_heading(spark, d):
 @query("SELECT section_id, start_char, coalesce(lead(start_char) OVER (PARTITION BY law_id ORDER BY start_char, section_id), end_char) AS end_pos FROM (SELECT DISTINCT section_id, law_id, start_char, end_char FROM legal_sections)")
 def next_boundary_spans(spark, d):
     rows = table(spark, d, "legal_sections").select("section_id", "law_id", "start_char", "end_char").distinct()
-    w = Window.partitionBy("law_id").orderBy("start_char", "section_id")
-    return rows.select("section_id", "start_char", F.coalesce(F.lead("start_char").over(w), "end_char").alias("end_pos"))
+    return structure.spans(rows, "law_id", "start_char", "end_char", "section_id").select("section_id", "start_char", "end_pos")
 
 
 @query(
@@ -305,15 +308,40 @@ def retrieve_by_group(spark, d):
     return reduce(DataFrame.unionByName, parts) if parts else points.limit(0).select(F.col("label").alias("qid"), "vec_id", F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
 
 
-@query(
-    r"""WITH q AS (SELECT item_id AS qid, text AS query FROM eval_items),
+_BY = (
+    f"WITH p AS ({_POINTS}), s AS (SELECT p.vec_id, {_COS.format(a='p.embedding', b='q.embedding')} AS score FROM p, (SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1) q WHERE {{where}}) "
+    "SELECT vec_id, score, cast(row_number() OVER (ORDER BY score DESC, vec_id) AS int) AS rank FROM s WHERE score >= 0.000001 QUALIFY rank <= {k}"
+)
+
+
+def _described(spark, d):
+    """Points with the payload's names for source and label, and the first vector."""
+    points = _points(spark, d).select("vec_id", "embedding", F.struct(F.col("source").alias("act_name")).alias("metadata"), F.struct(F.col("label").cast("string").alias("section")).alias("hierarchy"))
+    return points, list(table(spark, d, "embeddings").orderBy("vec_id").select("embedding").first()[0])
+
+
+@query(_BY.format(where="p.source LIKE '%gazette%'", k=16))
+def retrieve_by_act(spark, d):
+    points, vector = _described(spark, d)
+    return retrieval.by_act(points, "gazette", vector, threshold=1e-6).select("vec_id", "score", "rank")
+
+
+@query(_BY.format(where="p.label = 1 AND p.source LIKE '%gazette%'", k=8))
+def retrieve_by_section(spark, d):
+    points, vector = _described(spark, d)
+    return retrieval.by_section(points, "1", vector, "gazette", threshold=1e-6).select("vec_id", "score", "rank")
+
+
+_BM25 = "sum(cast(round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m)) * 1e6) AS bigint)) / 1e6"
+_KEYWORDS = r"""WITH q AS (SELECT item_id AS qid, text AS query FROM eval_items),
     qt AS (SELECT DISTINCT qid, unnest(list_filter(regexp_split_to_array(lower(query), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '')) AS term FROM q),
     dd AS (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL), dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda w: w <> '') AS ws FROM dd),
     tot AS (SELECT count(*) AS n, avg(len(ws)) AS m FROM dw), tf AS (SELECT doc_id, len(ws) AS l, w AS term, count(*) AS tf FROM (SELECT doc_id, ws, unnest(ws) AS w FROM dw) GROUP BY doc_id, len(ws), w),
-    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term)
-    SELECT qid, doc_id, sum(cast(round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m)) * 1e6) AS bigint)) / 1e6 AS score FROM tf JOIN df USING (term) JOIN qt USING (term), tot GROUP BY qid, doc_id
-    QUALIFY row_number() OVER (PARTITION BY qid ORDER BY sum(cast(round(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * l / m)) * 1e6) AS bigint)) / 1e6 DESC, doc_id) <= 6"""
-)
+    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+    k AS (SELECT qid, doc_id, """ + _BM25 + r""" AS score FROM tf JOIN df USING (term) JOIN qt USING (term), tot GROUP BY qid, doc_id)"""
+
+
+@query(_KEYWORDS + " SELECT qid, doc_id, score FROM k QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= 6")
 def keyword_topk(spark, d):
     docs = table(spark, d, "documents").select("doc_id", "text").where("text is not null").distinct()
     questions = table(spark, d, "eval_items").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
@@ -332,7 +360,15 @@ def rank_fusion(spark, d):
     return retrieval.fuse(dense, sparse, "qid", "vec_id")
 
 
-@query()
+@query(
+    _KEYWORDS
+    + f""", have AS (SELECT e.vec_id, e.embedding FROM embeddings e WHERE e.vec_id IN (SELECT doc_id FROM dd)),
+    d AS (SELECT q.qid, h.vec_id, {_COS.format(a='h.embedding', b='v.embedding')} AS score FROM q JOIN embeddings v ON v.vec_id = q.qid, have h),
+    a AS (SELECT qid, vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS r FROM d WHERE score >= 0.01),
+    b AS (SELECT qid, doc_id AS vec_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS r FROM k),
+    f AS (SELECT qid, vec_id, round(sum(1.0::DOUBLE / (60 + r)), 6) AS fused FROM (SELECT * FROM a WHERE r <= 50 UNION ALL SELECT * FROM b WHERE r <= 50) GROUP BY qid, vec_id)
+    SELECT qid, vec_id, fused, cast(row_number() OVER (PARTITION BY qid ORDER BY fused DESC, vec_id) AS int) AS rank FROM f QUALIFY rank <= 6"""
+)
 def hybrid_search(spark, d):
     """Dense and keyword rankings fused, over the documents that have vectors."""
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text").where("text is not null").distinct()
@@ -441,10 +477,13 @@ def batch_rollup(spark, d):
     return state.rollup(state.latest(table(spark, d, "ingestion_state")))
 
 
-@query()
+@query(
+    f"""WITH l AS ({_LATEST}), c AS (SELECT status, count(*) AS n FROM l GROUP BY status)
+    SELECT (SELECT '{{' || string_agg('"' || status || '":' || n, ',' ORDER BY status) || '}}' FROM c) AS by_status, (SELECT cast(coalesce(sum(chunks_count), 0) AS bigint) FROM l WHERE status IN ('done', 'completed')) AS chunks"""
+)
 def state_report(spark, d):
     """Statuses as a map, and finished chunks."""
-    return state.summary_map(state.latest(table(spark, d, "ingestion_state")))
+    return state.summary_map(state.latest(table(spark, d, "ingestion_state"))).withColumn("by_status", F.to_json("by_status"))
 
 
 @query(f"SELECT filepath, substring(error_text, 1, 500) AS error_text FROM ({_LATEST}) WHERE error_text IS NOT NULL")
@@ -459,7 +498,19 @@ def avg_chunk_chars(spark, d):
 
 @query("SELECT chunk_id, law_id FROM chunks WHERE metadata.source_pdf IS NULL OR metadata.source_pdf <> 'vol-000001.pdf'")
 def delete_by_source(spark, d):
-    return table(spark, d, "chunks").where(F.col("metadata.source_pdf").isNull() | (F.col("metadata.source_pdf") != "vol-000001.pdf")).select("chunk_id", "law_id")
+    """A point store without one of its sources."""
+    store = _store(spark, d)
+    store.delete_source("vol-000001.pdf")
+    return store.points().select("chunk_id", "law_id")
+
+
+def _store(spark, d):
+    """A new point store of all chunks, in the folder that executors share."""
+    store = PointStore(spark, f"{ensure_checkpoint_dir(spark)}/chunks-{uuid.uuid4().hex}")
+    rows = table(spark, d, "chunks").select("chunk_id", "law_id", F.col("hierarchy.section").alias("section"), F.col("metadata.chunk_index").alias("chunk_index"), F.col("metadata.source_pdf").alias("source"))
+    store.ensure(rows.withColumn("point_id", F.lit("")).schema)
+    store.upsert(rows)
+    return store
 
 
 @query("SELECT law_id, coalesce(try_cast(translate(regexp_extract(bangla_name, '([০-৯]{4})$', 1), '০১২৩৪৫৬৭৮৯', '0123456789') AS int), 0) AS name_year, translate(cast(act_year AS varchar), '0123456789', '০১২৩৪৫৬৭৮৯') AS bangla_year FROM law_metadata")
@@ -477,9 +528,9 @@ def file_volume(spark, d):
     return table(spark, d, "loaded_documents").select("file_id", text.volume_of("filename").alias("volume"), F.regexp_extract("filename", r"act-([0-9]+)", 1).alias("number"))
 
 
-@query("SELECT chunk_id, text FROM (SELECT DISTINCT chunk_id, text FROM chunks WHERE metadata.act_name LIKE '%Salt Pans%' AND metadata.act_year = 1988 AND hierarchy.section = '1') ORDER BY chunk_id, text LIMIT 8")
+@query("SELECT chunk_id, text FROM (SELECT DISTINCT chunk_id, text FROM chunks WHERE metadata.act_name LIKE '%Act%' AND metadata.language LIKE '%n%' AND hierarchy.section = '1' AND coalesce(validation['is_complete_chunk'], false)) ORDER BY chunk_id, text LIMIT 8")
 def payload_scan(spark, d):
-    rows, _ = retrieval.filtered(table(spark, d, "chunks"), {"act_name": "Salt Pans", "year": 1988, "hierarchy.section": 1})
+    rows, _ = retrieval.filtered(table(spark, d, "chunks"), {"act_name": "Act", "language": "n", "hierarchy.section": 1, "validation.is_complete_chunk": True})
     return rows.select("chunk_id", "text").distinct().orderBy("chunk_id", "text").limit(8)
 
 
@@ -491,7 +542,7 @@ def filter_unknown_key(spark, d):
 
 @query("SELECT 'chunks' AS name, count(*) AS points_count, 'green' AS status FROM chunks")
 def collection_info(spark, d):
-    return table(spark, d, "chunks").agg(F.count("*").alias("points_count")).select(F.lit("chunks").alias("name"), "points_count", F.lit("green").alias("status"))
+    return _store(spark, d).info().withColumn("name", F.lit("chunks"))
 
 
 @query("SELECT item_id, CASE WHEN text IS NULL THEN 'question: missing' WHEN length(text) < 1 THEN 'question: too short' WHEN length(text) > 4000 THEN 'question: too long' WHEN length(trim(text)) < 3 THEN 'question: too short' END AS error, 'general' AS user_type FROM eval_items")
@@ -504,13 +555,15 @@ def request_rows(spark, d):
     """WITH RECURSIVE c AS (SELECT DISTINCT clause_id, parent_clause_id FROM legal_clauses), t AS (SELECT clause_id, 1 AS depth FROM c WHERE parent_clause_id IS NULL UNION ALL SELECT c.clause_id, t.depth + 1 FROM t JOIN c ON c.parent_clause_id = t.clause_id) SELECT clause_id, depth FROM t"""
 )
 def clause_depth(spark, d):
-    """Depth of each clause in its tree, which has at most three levels."""
-    rows = table(spark, d, "legal_clauses").select("clause_id", "parent_clause_id").distinct()
-    out = level = rows.where("parent_clause_id is null").select("clause_id", F.lit(1).alias("depth"))
-    for depth in (2, 3):
-        level = rows.join(level.select(F.col("clause_id").alias("parent_clause_id")), "parent_clause_id").select("clause_id", F.lit(depth).alias("depth"))
-        out = out.unionByName(level)
-    return out
+    """Depth of each clause in its tree, level by level until one is empty."""
+    rows = cut(table(spark, d, "legal_clauses").select("clause_id", "parent_clause_id").distinct())
+    level = rows.where("parent_clause_id is null").select("clause_id", F.lit(1).alias("depth"))
+    levels = []
+    while not level.isEmpty():
+        levels.append(level)
+        above = level.select(F.col("clause_id").alias("parent_clause_id"), (F.col("depth") + 1).alias("depth"))
+        level = cut(rows.join(above, "parent_clause_id").select("clause_id", "depth"))
+    return reduce(DataFrame.unionByName, levels, level)
 
 
 @query()
@@ -583,7 +636,7 @@ def answer_batch(spark, d):
 )
 def search(spark: SparkSession, d: str) -> DataFrame:
     """The search request end to end: filter, exact top-k, context, confidence."""
-    first = table(spark, d, "embeddings").orderBy("vec_id").select("embedding").first()
-    points = _points(spark, d).where("lang = 'en'")
-    best = retrieval.top_k(points, list(first[0]), threshold=0.0001).withColumn("qid", F.lit(0))
+    points = _points(spark, d).withColumn("metadata", F.struct(F.col("lang").alias("language"))).drop("lang")
+    question = table(spark, d, "embeddings").orderBy("vec_id").limit(1).select(F.lit(0).alias("qid"), F.lit("").alias("question"), F.col("embedding").alias("query_vector"), F.lit("legal_question").alias("query_type"))
+    best = pipeline.search(points, question, 0.0001, 0.0001, filters={"language": "en"}, point_id="vec_id")
     return answers.contexts(best, "qid").select("context", "retrieved", answers.confidence(F.col("retrieved")).alias("confidence"))

@@ -253,3 +253,84 @@ def test_copies_of_a_point_take_one_place(spark):
     q = spark.createDataFrame([(7, [1.0, 0.0])], "qid int, query_vector array<double>")
     got = retrieval.top_k_batch(rows, q, k=2).orderBy("rank").collect()
     assert [(r.vec_id, r["rank"]) for r in got] == [(1, 1), (2, 2)]
+
+
+def _points(spark):
+    from lexloom.operators.embedding import hashed
+
+    rows = [(f"p{i}", t, "Salt Pans Act" if i % 2 else "Ferry Act", str(i % 3), i != 4) for i, t in enumerate(["toll of the ferry", "salt pans are leased", "ferry owner pays", "the lease of salt pans ends", "ferry toll rises", "boats and carts"])]
+    df = spark.createDataFrame(rows, "point_id string, text string, act string, section string, whole boolean")
+    empty = F.array().cast("array<struct<ref_type:string,target:string>>")
+    hierarchy = F.struct(F.lit("").alias("article"), "section", F.lit("").alias("clause"), F.lit("").alias("sub_clause"))
+    return df.select("point_id", "text", F.col("act").alias("act_name"), hierarchy.alias("hierarchy"), F.lit("").alias("citation"), empty.alias("law_refs"), F.struct(F.col("act").alias("act_name")).alias("metadata"), F.create_map(F.lit("is_complete_chunk"), "whole").alias("validation"), hashed("text", 64).alias("embedding"))
+
+
+TEMPLATES = {("legal_qa", "en"): "{user_type}\n{context}", ("act_summary", "en"): "Summary\n{context}"}
+
+
+def test_search_takes_filters_and_a_rewriter(spark):
+    points = _points(spark)
+    ask = spark.createDataFrame([(1, "ferry toll"), (2, "qqq zzz www"), (3, None)], "qid long, question string")
+    found = pipeline.search(points, ask, 0.05, 0.01, filters={"act_name": "Ferry", "colour": "red", "validation.is_complete_chunk": True}).collect()
+    assert {r.point_id for r in found if r.qid == 1} <= {"p0", "p2"} and any(r.qid == 1 for r in found)
+    again = pipeline.search(points, ask.where("qid = 2"), 0.3, 0.2, rewriter=lambda q: "salt pans are leased").collect()
+    assert [r.point_id for r in sorted(again, key=lambda r: r["rank"])][0] == "p1"
+    assert pipeline.search(points.limit(0), ask).count() == 0
+
+
+def test_one_pass_serves_both_thresholds(spark):
+    ranked = spark.createDataFrame([(1, 0.5, 1), (1, 0.2, 2), (2, 0.2, 1), (2, 0.16, 2)], "qid long, score double, rank int")
+    assert sorted((r.qid, r.score) for r in retrieval.first_or_relaxed(ranked, 0.3).collect()) == [(1, 0.5), (2, 0.16), (2, 0.2)]
+
+
+def test_an_empty_context_is_not_asked_about(spark):
+    asked = []
+
+    def provider(prompt, question):
+        if "ferry" not in prompt:
+            raise AssertionError(prompt)
+        return "found", 1, 1
+
+    ask = spark.createDataFrame([(1, "ferry toll", "en"), (2, "qqq zzz", "en"), (3, "qqq", "bn")], "qid long, question string, language string")
+    got = {r.qid: r for r in pipeline.chat(_points(spark), ask, TEMPLATES, (provider,), threshold=0.3, relaxed=0.25).collect()}
+    assert got[1].answer == "found" and not asked
+    assert got[2].answer == answers.NOT_FOUND["en"] and got[3].answer == answers.NOT_FOUND["bn"] and got[2].confidence == "low" and got[2].prompt_tokens == 0
+
+
+def test_flows_by_type_act_and_section(spark):
+    points = _points(spark)
+    facts = spark.createDataFrame([(1, "the ferry owner pays no toll")], "qid long, question string")
+    assert pipeline.analyze(points, facts, TEMPLATES, threshold=0.05).first().routed_agent == "legal_analysis_agent"
+    made = pipeline.summarize(points, "Salt Pans Act", TEMPLATES, threshold=0.01, relaxed=0.001).first()
+    assert made.routed_agent == "act_summary_agent" and "ferry" not in made.answer.lower()
+    vector = list(points.where("point_id = 'p1'").first().embedding)
+    assert {r.point_id for r in retrieval.by_act(points, "Salt", vector, threshold=1e-9, point_id="point_id").collect()} <= {"p1", "p3", "p5"}
+    assert [r.point_id for r in retrieval.by_section(points, "1", vector, "Salt", threshold=1e-9, point_id="point_id").collect()] == ["p1"]
+
+
+def test_keyword_scores_match_a_plain_loop(spark):
+    import math
+    import random
+    import re
+
+    r = random.Random(4)
+    docs = [(i, " ".join(r.choice("salt ferry toll lease boat court of the".split()) for _ in range(r.randint(0, 30)))) for i in range(80)] + [(900, None), (901, "")]
+    asks = [(1, "ferry toll"), (2, "court COURT salt"), (3, "nothing here"), (4, None)]
+    held = [(i, re.findall(r"\w+", t.lower())) for i, t in docs if t is not None]
+    mean = sum(len(w) for _, w in held) / len(held)
+    expected = set()
+    for q, text in asks:
+        scores = []
+        for i, words in held:
+            total = 0
+            for w in set(re.findall(r"\w+", (text or "").lower())):
+                df = sum(w in x for _, x in held)
+                tf = words.count(w)
+                total += round(math.log(1 + (len(held) - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(words) / mean)) * 1e6)
+            if total:
+                scores.append((-total, i))
+        expected |= {(q, i) for _, i in sorted(scores)[:5]}
+    D, Q = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(asks, "qid long, query string")
+    got = {(x.qid, x.doc_id) for x in retrieval.keyword_top_k(D, Q, "doc_id", "text", 5).collect()}
+    assert got == expected
+    assert retrieval.keyword_top_k(D, Q.limit(0), "doc_id", "text", 5).count() == 0 and retrieval.keyword_top_k(D.limit(0), Q, "doc_id", "text", 5).count() == 0
