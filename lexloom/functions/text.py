@@ -176,7 +176,7 @@ def split_sentences(c: Column | str) -> Column:
     runs = F.regexp_extract_all(text, F.lit(r"([^।\n]+।)"), F.lit(1))
     rest = strip(F.regexp_replace(text, r"[^।\n]+।", ""))
     marked = F.concat(runs, F.array(rest))
-    plain = F.split(text, r"(?<=[.!?])\s+")
+    plain = F.split(text, r"(?<=[.!?])[\s\p{Z}\x{1C}-\x{1F}\x{85}]+")
     # without a danda the search for one would start again at every character
     out = F.when(text.contains("।"), F.when(F.size(runs) > 0, marked).otherwise(plain)).otherwise(plain)
     return F.filter(F.transform(out, strip), lambda s: s != "")

@@ -1,8 +1,7 @@
 """Cleaning of paged documents: repeated headers and footers, noise, furniture lines.
 
 A document's pages are one array in its row, so everything is decided inside the row: no shuffle, whatever the size of
-the table. As a column expression, repeats are found on a sorted array: a line stands at least t times where the t-1
-next places hold it too.
+the table.
 """
 
 from __future__ import annotations
@@ -12,10 +11,10 @@ import unicodedata
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import COPYRIGHT_PHRASES, FOOTER_DOMAINS, footer_page, is_footer_url, is_noise_line, strip
+from lexloom.functions.text import COPYRIGHT_PHRASES, FOOTER_DOMAINS, strip
 
 HEADER_WINDOW, FOOTER_WINDOW, REPEAT_SHARE = 8, 5, 0.6
 _ZERO = re.compile("[\u200b\u200c\u200d\ufeff]")
@@ -32,34 +31,6 @@ def page_lines(df: DataFrame, key: str, pages: str) -> DataFrame:
     return by_page.select(key, "page_no", F.posexplode(F.split("page", "\n")).alias("line_no", "line"))
 
 
-def threshold(pages: Column) -> Column:
-    return F.greatest(F.lit(2), F.floor(pages * REPEAT_SHARE).cast("int"))
-
-
-def _repeated(candidates: Column, times: Column) -> Column:
-    ordered = F.array_sort(candidates)
-    return F.array_distinct(F.filter(ordered, lambda x, i: F.coalesce(F.get(ordered, i + times - 1) == x, F.lit(False))))
-
-
-def header_patterns(pages: Column) -> Column:
-    """Lines that stand near the top of enough pages."""
-    tops = F.flatten(F.transform(pages, lambda p: F.array_distinct(F.filter(F.transform(F.slice(F.split(p, "\n"), 1, HEADER_WINDOW), strip), lambda x: (F.length(x) >= 3) & ~is_noise_line(x)))))
-    return _repeated(tops, threshold(F.size(pages)))
-
-
-def footer_patterns(pages: Column) -> Column:
-    """Lines that stand near the bottom of enough pages; address and page number lines count each time."""
-
-    def bottom(page: Column) -> Column:
-        every = F.split(page, "\n")
-        last = F.slice(every, F.greatest(F.lit(1), F.size(every) - FOOTER_WINDOW + 1), FOOTER_WINDOW)
-        long = F.filter(F.transform(last, strip), lambda x: F.length(x) >= 3)
-        special = lambda x: is_footer_url(x) | footer_page(x).isNotNull()
-        return F.concat(F.filter(long, special), F.array_distinct(F.filter(long, lambda x: ~special(x))))
-
-    return _repeated(F.flatten(F.transform(pages, bottom)), threshold(F.size(pages)))
-
-
 _SIGNS = frozenset(map(chr, [*range(0x09BE, 0x09C5), 0x09C7, 0x09C8, 0x09CB, 0x09CC]))
 _DATE, _DATED = re.compile(r"\d{2}/\d{2}/\d{4}\s+"), re.compile(r"\d{2}/\d{2}/\d{4}\Z")
 _PAGE_LINE = re.compile(r"(\d+)\s*/\s*\d+\Z")

@@ -129,7 +129,7 @@ def repeating_lines(spark, d):
 
 
 @query(
-    rf"""WITH l AS (SELECT file_id, page_no, unnest(list_slice(string_split(page, chr(10)), 1, 8)) AS line FROM (SELECT file_id, unnest(pages) AS page, generate_subscripts(pages, 1) AS page_no FROM (SELECT DISTINCT file_id, pages FROM loaded_documents))),
+    rf"""WITH l AS (SELECT file_id, page_no, unnest(list_slice(string_split(regexp_replace(nfc_normalize(page), '[\x{{200B}}\x{{200C}}\x{{200D}}\x{{FEFF}}]', '', 'g'), chr(10)), 1, 8)) AS line FROM (SELECT file_id, unnest(pages) AS page, generate_subscripts(pages, 1) AS page_no FROM (SELECT DISTINCT file_id, pages FROM loaded_documents))),
     s AS (SELECT file_id, page_no, {_sql(_STRIP, 'line')} AS line FROM l),
     n AS (SELECT file_id, page_no, line, length(regexp_replace(line, '[\s\p{{Z}}\x{{85}}]', '', 'g')) AS c, length(regexp_replace(line, '[^\x{{09BE}}-\x{{09C4}}\x{{09C7}}\x{{09C8}}\x{{09CB}}\x{{09CC}}]', '', 'g')) AS v,
       {_sql(_BN, 'line')} AS b, length(regexp_replace(regexp_replace(line, '[\x{{0980}}-\x{{09FF}}]', '', 'g'), '\P{{L}}', '', 'g')) AS o FROM s WHERE length(line) >= 3),
@@ -138,7 +138,7 @@ def repeating_lines(spark, d):
 )
 def repeating_headers(spark, d):
     rows = table(spark, d, "loaded_documents").select("file_id", "pages").distinct()
-    return rows.select("file_id", F.explode(cleaning.header_patterns(F.col("pages"))).alias("line"))
+    return cleaning.clean(rows, "pages").select("file_id", F.explode("removed_headers").alias("line"))
 
 
 @query()
@@ -150,7 +150,7 @@ def clean_documents(spark, d):
 
 @query(
     rf"""WITH s AS (SELECT chunk_id, text, regexp_extract_all(text, '([^।\n]+।)', 1) AS runs, {_sql(_STRIP, "regexp_replace(text, '[^।\n]+।', '', 'g')")} AS rest FROM chunks),
-    p AS (SELECT chunk_id, CASE WHEN len(runs) > 0 THEN list_append(runs, rest) ELSE string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) END AS parts FROM s)
+    p AS (SELECT chunk_id, CASE WHEN len(runs) > 0 THEN list_append(runs, rest) ELSE string_split(regexp_replace(text, '([.!?])[\s\p{{Z}}\x{{1C}}-\x{{1F}}\x{{85}}]+', '\1' || chr(1), 'g'), chr(1)) END AS parts FROM s)
     SELECT chunk_id, cast(len(list_filter(parts, lambda x: {_sql(_STRIP, 'x')} <> '')) AS int) AS n_sentences FROM p"""
 )
 def sentence_split(spark, d):

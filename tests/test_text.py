@@ -69,3 +69,21 @@ def test_rewrites(spark):
     rows = df.select(text.rewrite_needed("q").alias("n"), text.accept_rewrite("q", "r").alias("a")).collect()
     assert [r.n for r in rows] == [True, False, False]
     assert rows[0].a.startswith("What is the") and rows[2].a == "a b c d e f g h i j"
+
+
+def test_what_the_arrow_steps_do_is_what_the_columns_do(spark):
+    """Rules that the pipeline applies inside an Arrow step, against their column forms, line by line and text by text."""
+    import os
+
+    from lexloom.operators import chunking, cleaning
+
+    folder = "/root/testdata/sf0.001"
+    lines = ["", " ", "া", "া ি", "ক া", "াা ি ী", "a া ি", "12 / 40", "১২/৪০", "0/3", "3 / ", "x 1/2", "ক্ত", "ৈৌ", " া "]
+    texts = ["", "এক। দুই।\nতিন", "One. Two! Three?", "no end", "ক" * 50, "a. b.\nc। d", " । "]
+    if os.path.isdir(folder):
+        texts += [r.text for r in spark.read.parquet(f"{folder}/chunks.parquet").select("text").distinct().collect() if r.text]
+        lines += [x for r in spark.read.parquet(f"{folder}/clean_results.parquet").select("cleaned_text").collect() for x in (r.cleaned_text or "").split("\n")]
+    by_line = spark.createDataFrame([(x.strip(),) for x in lines], "line string").select("line", text.is_noise_line("line").alias("noise"), text.footer_page("line").isNotNull().alias("page")).collect()
+    assert all(cleaning._noise(r.line) == r.noise and cleaning._numbered(r.line) == r.page for r in by_line)
+    by_text = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.estimate_tokens("t").alias("n"), text.split_sentences("t").alias("s")).collect()
+    assert all(chunking._tokens(r.t) == r.n and chunking._sentences(r.t) == list(r.s) for r in by_text)
