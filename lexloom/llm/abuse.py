@@ -175,45 +175,38 @@ class Network:
         """The probabilities of ``run`` for windows given by rows of the halves of a table of projected words."""
         index, mask = index.T, mask.T
         t, n = index.shape
-        both = 2 * HIDDEN  # both directions run side by side, the second one backwards
-        recur, cand = np.zeros((both, 2 * both), np.float32), np.zeros((both, both), np.float32)
-        for d, u in enumerate((self.p["Uf"], self.p["Ub"])):
-            own = slice(d * HIDDEN, (d + 1) * HIDDEN)
-            recur[own, own] = 0.5 * u[:, :HIDDEN]
-            recur[own, both + d * HIDDEN : both + (d + 1) * HIDDEN] = 0.5 * u[:, HIDDEN : 2 * HIDDEN]
-            cand[own, own] = u[:, 2 * HIDDEN :]
-        h = np.zeros((n, both), np.float32)
-        states, gates = self.room("states", t, n, both), self.room("gates", n, 2 * both)
-        x, w = self.room("ahead", n, 3 * HIDDEN), self.room("behind", n, 3 * HIDDEN)
-        c, moved = self.room("cand", n, both), self.room("reset", n, both)
+        one = HIDDEN  # both directions run side by side, the second one backwards
+        recur = np.stack([0.5 * self.p[f"U{d}"][:, : 2 * one] for d in "fb"])
+        cand = np.stack([self.p[f"U{d}"][:, 2 * one :] for d in "fb"])
+        x, gates = self.room("words", 2, n, 3 * one), self.room("gates", 2, n, 2 * one)
+        c, moved = self.room("cand", 2, n, one), self.room("reset", 2, n, one)
+        states = self.room("states", 2, t, n, one)
+        h = np.zeros((2, n, one), np.float32)
+        full = bool(mask.all())
         for k in range(t):
-            forward.take(index[k], axis=0, out=x, mode="clip")
-            backward.take(index[t - 1 - k], axis=0, out=w, mode="clip")
+            forward.take(index[k], axis=0, out=x[0], mode="clip")
+            backward.take(index[t - 1 - k], axis=0, out=x[1], mode="clip")
             np.matmul(h, recur, out=gates)
-            gates[:, :HIDDEN] += x[:, :HIDDEN]
-            gates[:, HIDDEN:both] += w[:, :HIDDEN]
-            gates[:, both : both + HIDDEN] += x[:, HIDDEN : 2 * HIDDEN]
-            gates[:, both + HIDDEN :] += w[:, HIDDEN : 2 * HIDDEN]
+            gates += x[:, :, : 2 * one]
             np.tanh(gates, out=gates)
             gates += 1
             gates *= 0.5
-            np.matmul(np.multiply(gates[:, both:], h, out=moved), cand, out=c)
-            c[:, :HIDDEN] += x[:, 2 * HIDDEN :]
-            c[:, HIDDEN:] += w[:, 2 * HIDDEN :]
+            np.multiply(gates[:, :, one:], h, out=moved)
+            np.matmul(moved, cand, out=c)
+            c += x[:, :, 2 * one :]
             np.tanh(c, out=c)
             c -= h
-            c *= gates[:, :both]
-            for part, m in ((c[:, :HIDDEN], mask[k]), (c[:, HIDDEN:], mask[t - 1 - k])):
-                if not m.all():
-                    part *= m[:, None]
+            c *= gates[:, :, :one]
+            if not full:
+                c[0] *= mask[k][:, None]
+                c[1] *= mask[t - 1 - k][:, None]
             h += c
-            states[k, :, :HIDDEN] = h[:, :HIDDEN]
-            states[t - 1 - k, :, HIDDEN:] = h[:, HIDDEN:]
-        score = states @ self.p["wa"] + (mask - 1) * 1e4
+            states[0, k], states[1, t - 1 - k] = h
+        both = lambda name: states[0] @ self.p[name][:one] + states[1] @ self.p[name][one:]
+        score = both("wa") + (mask - 1) * 1e4
         a = np.exp(score - score.max(axis=0))
         a /= a.sum(axis=0)
-        logit = ((states @ self.p["wo"]) * a).sum(axis=0) + self.p["bo"]
-        return self._sigmoid(logit)
+        return self._sigmoid((both("wo") * a).sum(axis=0) + self.p["bo"])
 
     def _blocks(self) -> tuple[np.ndarray, np.ndarray]:
         """Recurrent weights of both directions side by side: of the gates (update, reset) and of the candidate."""
@@ -336,11 +329,10 @@ class Network:
             own = slice(3 * d * one, 3 * (d + 1) * one)
             g[w], g[c] = dw[:, own], dc[own]
         de = (dtable @ np.concatenate([self.p["Wf"], self.p["Wb"]], axis=1).T) / roots[:, None]
-        order = np.argsort(flat.astype(np.uint16) if BUCKETS <= 1 << 16 else flat, kind="stable")
-        count = np.bincount(flat, minlength=BUCKETS)
-        slot = np.flatnonzero(count)
-        ge = np.zeros_like(self.p["E"])
-        ge[slot] = np.add.reduceat(de.take(np.repeat(np.arange(len(used)), sizes)[order], axis=0, out=self.room("slots", len(flat), WIDTH), mode="clip"), (np.cumsum(count) - count)[slot], axis=0)
+        ge = np.empty_like(self.p["E"])
+        word_of = np.repeat(np.arange(len(used)), sizes)
+        for j, column in enumerate(np.ascontiguousarray(de.T)):
+            ge[:, j] = np.bincount(flat, weights=column.take(word_of), minlength=BUCKETS)
         g["E"] = ge
         return g
 
