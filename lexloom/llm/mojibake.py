@@ -318,7 +318,8 @@ def learn(rows: pd.DataFrame, joint: dict[str, np.ndarray], clean: dict[str, flo
     big = Bigrams(rows)
     n, points = big.n, big.points
     total = max(sum(clean.values()), 1.0)
-    met = np.array([clean.get(kind(a) + kind(b), 0.0) for a, b in zip(rows["a"], rows["b"])])
+    kinds = {c: kind(c) for c in {*rows["a"], *rows["b"]}}
+    met = np.array([clean.get(kinds[a] + kinds[b], 0.0) for a, b in zip(rows["a"], rows["b"])])
     ground = (met + 0.01) / total
     free = _paged(points)
     names, codes, listed = [], {}, []

@@ -118,7 +118,7 @@ def _scanned(spark: SparkSession, d: str) -> DataFrame:
     laws = every.groupBy("law_id").agg(F.flatten(F.collect_set(F.array("act_name", "bangla_name"))).alias("names"))
     loaded = table(spark, d, "loaded_documents")
     sources = every.select("law_id", F.col("source_pdf").alias("source")).distinct()
-    texts = loaded.select(F.lit("raw_text").alias("field_name"), F.col("file_id").alias("record_id"), "law_id", F.col("raw_text").alias("value")).join(sources, "law_id", "left")
+    texts = loaded.where(F.size("pages") > 0).select(F.lit("raw_text").alias("field_name"), F.col("file_id").alias("record_id"), "law_id", F.array_join("pages", "\n").alias("value")).join(sources, "law_id", "left")
     wrong = mojibake.records(texts).select(F.col("record_id").alias("file_id"))
     named = loaded.select("file_id", "law_id").distinct().join(laws, "law_id", "left").join(wrong, "file_id", "left_anti")
     names = named.groupBy("file_id").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
