@@ -122,7 +122,8 @@ def _scanned(spark: SparkSession, d: str) -> DataFrame:
     wrong = mojibake.records(texts).select(F.col("record_id").alias("file_id"))
     named = loaded.select("file_id", "law_id").distinct().join(laws, "law_id", "left").join(wrong, "file_id", "left_anti")
     names = named.groupBy("file_id").agg(F.array_distinct(F.flatten(F.collect_list("names"))).alias("names"))
-    return loaded.where(F.size("pages") > 0).select("file_id", "pages").join(names, "file_id")
+    # hashed, not sorted: the names of a partition are few, its pages are long
+    return loaded.where(F.size("pages") > 0).select("file_id", "pages").join(names.hint("shuffle_hash"), "file_id")
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:

@@ -366,6 +366,10 @@ def decode(lines: list[str], kinds: list[str], reader: Reader, rewrite: bool = T
         while m + 1 < len(near_by) and near_by[m + 1] == near_by[m] + 1:
             m += 1
         first, last = near_by[n], near_by[m] + 1
+        if not rewrite and not any(gaps[first : last - 1]):  # nothing to join: every piece is read by itself
+            found["misread"] += sum(not plain[w] and reader.meant(w) is not None for w in low[first:last])
+            n = m + 1
+            continue
         for i, j, right, name in reader.path(low[first:last], gaps[first : last - 1]):
             i, j = i + first, j + first
             found.update(x for x in name.split() if x in ("broken_word", "misread"))
