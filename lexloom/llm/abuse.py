@@ -9,9 +9,9 @@ documents. Reviews concern whole documents and err, so the windows that a positi
 from __future__ import annotations
 
 import re
-import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -76,25 +76,69 @@ def normal(word: str) -> str:
     return _RUN.sub(r"\1", w)
 
 
+def _crcs(raw: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """CRC-32 of many slices of one string of bytes at once."""
+    table = _crc_step()
+    crc = np.full(len(first), 0xFFFFFFFF, np.uint32)
+    for k in range(int((last - first).max()) if len(first) else 0):
+        at = first + k
+        alive = at < last
+        step = table[(crc ^ raw[np.minimum(at, len(raw) - 1)]) & 0xFF] ^ (crc >> np.uint32(8))
+        crc = step if alive.all() else np.where(alive, step, crc)
+    return ~crc
+
+
+@lru_cache(maxsize=1)
+def _crc_step() -> np.ndarray:
+    """What one byte makes of the register, by the polynomial of CRC-32."""
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table.astype(np.uint32)
+
+
 def slots(word: str) -> list[int]:
-    w = f"<{word}>"
-    raw = w.encode()
-    crc, out = zlib.crc32, [zlib.crc32(raw) % BUCKETS] * 2
-    if len(raw) == len(w):
-        out += [crc(raw[i : i + n]) % BUCKETS for n in (2, 3, 4) for i in range(len(w) - n + 1)]
-    else:
-        out += [crc(w[i : i + n].encode()) % BUCKETS for n in (2, 3, 4) for i in range(len(w) - n + 1)]
-    return out
+    """Slots of a word (twice) and of its pieces of two to four letters, with marks at both ends."""
+    return slots_of([word])[0].tolist()
+
+
+def slots_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of many words, one after the other, and how many each has."""
+    marked = [f"<{w}>" for w in words]
+    raw = np.frombuffer("".join(marked).encode("utf-8", "surrogatepass") + b"\0", np.uint8)
+    opens = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # where letters begin
+    size = np.fromiter(map(len, marked), np.int64, len(marked))
+    start = np.cumsum(size) - size
+    owner, first, last = [np.arange(len(words))] * 2, [opens[start]] * 2, [opens[start + size]] * 2
+    for n in (2, 3, 4):
+        many = np.maximum(size - n + 1, 0)
+        who = np.repeat(np.arange(len(words)), many)
+        at = np.arange(len(who)) - np.repeat(np.cumsum(many) - many, many) + start[who]
+        owner.append(who)
+        first.append(opens[at])
+        last.append(opens[at + n])
+    owner = np.concatenate(owner)
+    order = np.argsort(owner, kind="stable")
+    found = np.concatenate([_crcs(raw, f, l) for f, l in zip(first, last)]) % BUCKETS
+    return found[order].astype(np.int64), np.bincount(owner, minlength=len(words))
 
 
 class Bags:
     """Slots of numbered words, one after the other."""
 
-    def __init__(self, listed: list[list[int]]) -> None:
+    def __init__(self, listed: list[list[int]] = ()) -> None:
         self.size = np.fromiter(map(len, listed), np.int64, len(listed))
         self.flat = np.fromiter((x for l in listed for x in l), np.int64, int(self.size.sum()))
         self.first = np.cumsum(self.size) - self.size
 
+    def __len__(self) -> int:
+        return len(self.size)
+
+    def add(self, words: list[str]) -> None:
+        flat, size = slots_of(words)
+        self.flat, self.size = np.concatenate([self.flat, flat]), np.concatenate([self.size, size])
+        self.first = np.cumsum(self.size) - self.size
+
     def of(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The slots of some words and how many each has."""
         size = self.size[words]
@@ -132,16 +176,16 @@ class Network:
             held = self.rooms[name, kind_of.char] = np.empty(size, kind_of)
         return held[:size].reshape(shape)
 
-    def project(self, listed: list[list[int]]) -> np.ndarray:
-        """Inputs to the gates of both directions for words given by their slots."""
-        e = self._sums(listed) / np.sqrt(np.array(list(map(len, listed)), np.float32))[:, None]
+    def project(self, bags: Bags | list[list[int]], since: int = 0) -> np.ndarray:
+        """Inputs to the gates of both directions for words given by their slots, from a number on."""
+        bags = bags if isinstance(bags, Bags) else Bags(bags)
+        parts = []
+        for at in range(since, len(bags), 4096):
+            flat, size = bags.of(np.arange(at, min(at + 4096, len(bags))))
+            parts.append(np.add.reduceat(self.p["E"][flat], np.cumsum(size) - size, axis=0) / np.sqrt(size.astype(np.float32))[:, None])
+        e = np.concatenate(parts) if parts else np.zeros((0, WIDTH), self.p["E"].dtype)
         return np.concatenate([e @ self.p["Wf"] + self.p["cf"], e @ self.p["Wb"] + self.p["cb"]], axis=1)
 
-    def _sums(self, listed: list[list[int]]) -> np.ndarray:
-        """Sums of the vectors of every word's slots; no word is without slots."""
-        sizes = np.fromiter(map(len, listed), np.int64, len(listed))
-        return np.add.reduceat(self.p["E"][np.concatenate(listed)], np.cumsum(sizes) - sizes, axis=0)
-
     @staticmethod
     def _sigmoid(x: np.ndarray) -> np.ndarray:
         return 0.5 * (np.tanh(0.5 * x) + 1)
@@ -342,7 +386,8 @@ class Data:
 
     def __init__(self, keep: int = 400_000) -> None:
         self.index: dict[str, int] = {}
-        self.bags: list[list[int]] = []
+        self._bags = Bags()
+        self.new: list[str] = []
         self.raw: dict[str, int] = {}
         self.keep = keep
 
@@ -352,11 +397,19 @@ class Data:
             form = normal(w)
             at = self.index.get(form)
             if at is None:
-                at = self.index[form] = len(self.bags)
-                self.bags.append(slots(form))
+                at = self.index[form] = len(self.index)
+                self.new.append(form)
             self.raw[w] = at
         return at
 
+    @property
+    def bags(self) -> Bags:
+        """The slots of all words so far; those of new words are made together."""
+        if self.new:
+            self._bags.add(self.new)
+            self.new = []
+        return self._bags
+
     def cut(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         get, word = self.raw.get, self.word
         ids = [at if (at := get(w)) is not None else word(w) for w in words(text)]
@@ -418,7 +471,7 @@ def train(texts: list[str], y: np.ndarray, seed: int = 7, rounds: int = 3, epoch
     belief = np.sort(value, axis=1)[:, -5:].clip(-1, 4).mean(axis=1)
     positive = y[doc] > 0.5
     blank = data.word("#")
-    bags = Bags(data.bags)
+    bags = data.bags
     for turn in range(rounds):
         top = pd.Series(belief).groupby(doc).transform("max").to_numpy()
         if turn == 0:
@@ -511,10 +564,8 @@ def scores(documents: DataFrame, net: Network, carry: list[str] = ()) -> DataFra
                 forward = backward = np.zeros((0, 3 * HIDDEN), np.float32)
             cuts = [data.cut(t) if t else (np.zeros((0, WINDOW), np.int64), np.zeros((0, WINDOW), np.float32)) for t in pdf["text"]]
             if len(data.bags) > len(forward):
-                new = data.bags[len(forward) :]
-                parts = [own.halves(own.project(new[i : i + 4096])) for i in range(0, len(new), 4096)]
-                forward = np.concatenate([forward, *[f for f, _ in parts]])
-                backward = np.concatenate([backward, *[b for _, b in parts]])
+                ahead, behind = own.halves(own.project(data.bags, len(forward)))
+                forward, backward = np.concatenate([forward, ahead]), np.concatenate([backward, behind])
             out = np.zeros(len(pdf))
             index = np.concatenate([c[0] for c in cuts])
             mask = np.concatenate([c[1] for c in cuts])

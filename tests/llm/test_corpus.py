@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -181,7 +182,7 @@ def test_every_span_stands_whole_in_a_window():
 
 def test_pieces_of_two_three_and_four_letters():
     whole = set(abuse.slots("abcde"))
-    assert {abuse.zlib.crc32(p.encode()) % abuse.BUCKETS for p in ("<a", "ab", "abc", "abcd", "cde>", "<abcde>")} <= whole
+    assert {zlib.crc32(p.encode()) % abuse.BUCKETS for p in ("<a", "ab", "abc", "abcd", "cde>", "<abcde>")} <= whole
 
 
 def test_read_gives_what_run_gives():
@@ -228,3 +229,15 @@ def test_items_in_blocks(spark):
     I = spark.createDataFrame(items, "item_id long, text string")
     got = {tuple(x) for x in leaks.leaks(D, "doc_id", "text", I, "item_id", "text", block=7).collect()}
     assert got == {(i, i) for i, _ in items}
+
+
+def test_slots_of_many_words_are_those_of_each():
+    some = ["", "a", "abcde", "চোর", "él", "龍", "x" * 40, "𝒳y"]
+    flat, size = abuse.slots_of(some)
+    at = 0
+    for w, n in zip(some, size):
+        m = f"<{w}>"
+        plain = [zlib.crc32(m.encode()) % abuse.BUCKETS] * 2 + [zlib.crc32(m[i : i + k].encode()) % abuse.BUCKETS for k in (2, 3, 4) for i in range(len(m) - k + 1)]
+        assert sorted(flat[at : at + n].tolist()) == sorted(plain)
+        at += n
+    assert len(abuse.slots_of([])[0]) == 0
