@@ -143,7 +143,7 @@ def p7_packed(spark: SparkSession, d: str) -> DataFrame:
     items = cut(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"))
     kinds = table(spark, d, "pack_sizes").distinct().collect()  # a handful of kinds, fixed
     packed = [packing.pack(items, k["container_kind"], k["capacity_tokens"]) for k in sorted(kinds, key=lambda k: k["capacity_tokens"])]
-    return reduce(DataFrame.unionByName, packed).withColumnRenamed("item", "doc_id")
+    return reduce(DataFrame.unionByName, packed or [packing.pack(items.limit(0), "", 1)]).withColumnRenamed("item", "doc_id")
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
