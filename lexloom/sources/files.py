@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
 from collections.abc import Callable, Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +45,53 @@ def text_pages(data: bytes) -> list[str]:
     return data.decode("utf-8").split("\f")
 
 
-def load_bytes(df: DataFrame, content: str, path: str, extract: Extractor) -> DataFrame:
-    """Loaded documents from a column of bytes. A failure becomes the row's error; nothing is raised."""
+_WORD_XML = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
+
+
+def docx_pages(data: bytes) -> list[str]:
+    """Pages of a word-processor file (Office Open XML): paragraphs as lines, parted where a page break is written.
+
+    Only breaks that stand in the file are known; what a program would break itself is one page.
+    """
+    with zipfile.ZipFile(io.BytesIO(data)) as parts:
+        body = ElementTree.fromstring(parts.read("word/document.xml"))
+    pages: list[list[str]] = [[]]
+    for paragraph in body.iter(f"{_WORD_XML}p"):
+        line = ""
+        for node in paragraph.iter():
+            kind = node.tag.removeprefix(_WORD_XML)
+            if kind == "t":
+                line += node.text or ""
+            elif kind == "tab":
+                line += "\t"
+            elif kind == "lastRenderedPageBreak" or kind == "br" and node.get(f"{_WORD_XML}type") == "page":
+                if line:
+                    pages[-1].append(line)
+                    line = ""
+                if pages[-1]:
+                    pages.append([])
+            elif kind in ("br", "cr"):
+                line += "\n"
+        pages[-1].append(line)
+    return ["\n".join(p) for p in pages]
+
+
+def any_pages(password: str | None = None) -> Callable[[str, bytes], list[str]]:
+    """Extractor by the ending of a file's name: PDF, word-processor or text files."""
+    pdf = pdf_pages(password)
+
+    def extract(name: str, data: bytes) -> list[str]:
+        ending = name.rsplit(".", 1)[-1].lower()
+        return pdf(data) if ending == "pdf" else docx_pages(data) if ending == "docx" else text_pages(data)
+
+    return extract
+
+
+def load_bytes(df: DataFrame, content: str, path: str, extract: Extractor, named: bool = False) -> DataFrame:
+    """Loaded documents from a column of bytes. A failure becomes the row's error; nothing is raised.
+
+    With ``named``, the extractor is given the file's name before its bytes (see ``any_pages``).
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -53,7 +101,7 @@ def load_bytes(df: DataFrame, content: str, path: str, extract: Extractor) -> Da
                 try:
                     if not data:
                         raise RuntimeError("empty file")
-                    pages = extract(bytes(data))
+                    pages = extract(name, bytes(data)) if named else extract(bytes(data))
                     out.append((p, name, pages, len(pages), "\n".join(pages), None))
                 except Exception as e:
                     out.append((p, name, [], 0, "", str(e)))
@@ -62,10 +110,10 @@ def load_bytes(df: DataFrame, content: str, path: str, extract: Extractor) -> Da
     return df.select(F.col(path).alias("path"), F.col(content).alias("content")).mapInPandas(run, LOADED)
 
 
-def load(spark: SparkSession, folder: str, extract: Extractor, pattern: str = "*.pdf", recursive: bool = False) -> DataFrame:
+def load(spark: SparkSession, folder: str, extract: Extractor, pattern: str = "*.pdf", recursive: bool = False, named: bool = False) -> DataFrame:
     """Loaded documents of a folder."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower()).load(folder)
-    return load_bytes(files, "content", "path", extract)
+    return load_bytes(files, "content", "path", extract, named)
 
 
 def scan(spark: SparkSession, folder: str, pattern: str = "*.{pdf,docx,txt}", recursive: bool = True) -> DataFrame:

@@ -205,6 +205,19 @@ def test_files(spark, tmp_path):
     assert files.scan(spark, str(tmp_path)).count() == 2
 
 
+def test_word_processor_files(spark, tmp_path):
+    import zipfile
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+    body = "<w:p><w:r><w:t>one</w:t><w:tab/><w:t> line</w:t></w:r></w:p><w:p><w:r><w:t>two</w:t><w:br w:type='page'/><w:t>three</w:t></w:r></w:p><w:p/>"
+    with zipfile.ZipFile(tmp_path / "a.docx", "w") as z:
+        z.writestr("word/document.xml", f"<w:document xmlns:w='{w}'><w:body>{body}</w:body></w:document>")
+    (tmp_path / "b.txt").write_text("x\fy")
+    (tmp_path / "c.docx").write_bytes(b"no archive")
+    rows = {r.filename: r for r in files.load(spark, str(tmp_path), files.any_pages(), "*", named=True).collect()}
+    assert rows["a.docx"].pages == ["one\t line\ntwo", "three\n"] and rows["b.txt"].pages == ["x", "y"] and rows["c.docx"].load_error
+
+
 def test_embedding(spark):
     df = spark.createDataFrame([("b", "two words"), ("c", ""), ("d", None)], "k string, t string")
     got = df.select(embedding.hashed("t", 8).alias("v")).collect()
