@@ -594,6 +594,64 @@ def extract_metadata(spark, d):
     return extract.metadata(rows, "raw_text", "first", "filename").select("file_id", "act_name", "bangla_name", "act_year", "act_number", "publication_date", "publication_date_en", "language", "document_type", "amendment_of", "law_refs", "volume")
 
 
+_RATIO = f"coalesce({_BN} / nullif({_LETTERS}, 0), -1)"
+_YEAR_NUMBER = r"[(（]\s*([১২][০-৯]{3})\s*সনের?\s*([০-৯]+)\s*নং\s*(?:আইন|অধ্যাদেশ)\s*[)）]"
+_NUMBER_OF = r"(?i)Act\s+No\.?\s*(\d+)\s*of\s*(\d{4})"
+_DATE_BN, _DATE_EN = r"\[\s*([০-৯]+)\s+([\x{0980}-\x{09FF}]+),\s*([১২][০-৯]{3})\s*\]", r"\[\s*(\d{1,2})(?:st|nd|rd|th)?\s+([\p{L}\p{N}_]+),?\s*(\d{4})\s*\]"
+_DIGITS = "translate({x}, '০১২৩৪৫৬৭৮৯', '0123456789')"
+
+
+def _tidy_sql(t: str) -> str:
+    return _sql(_STRIP, rf"regexp_replace({t}, '\s{{2,}}', ' ', 'g')")
+
+
+def _head_sql(n: int) -> str:
+    dated = r"'^[\s\p{Z}]*\p{Nd}{2}/\p{Nd}{2}/\p{Nd}{4}[\s\p{Z}]+'"
+    return f"list_transform(list_slice(string_split(h, chr(10)), 1, {n}), lambda x: regexp_replace({_sql(_STRIP, 'x')}, {dated}, ''))"
+
+
+@query(
+    rf"""WITH f AS (SELECT DISTINCT file_id, filename, CASE WHEN length(pages[1]) > 0 THEN substring(pages[1], 1, 2000) ELSE substring(coalesce(raw_text, ''), 1, 2000) END AS h FROM loaded_documents WHERE load_error IS NULL),
+    l AS (SELECT *, {_head_sql(30)} AS l30, {_head_sql(20)} AS l20 FROM f),
+    t AS (SELECT *, list_filter(l30, lambda x: length(x) >= 10 AND regexp_matches(x, 'আইন|অধ্যাদেশ|বিধিমালা') AND {_sql(_RATIO, 'x')} > 0.6) AS titles,
+      list_filter(l20, lambda x: length(x) >= 10 AND {_sql(_RATIO, 'x')} <= 0.2 AND regexp_matches(x, 'Act[,，]\s*(19|20)\d{{2}}|Act\s*$')) AS first,
+      list_filter(l20, lambda x: length(x) > 20 AND {_sql(_RATIO, 'x')} <= 0.2 AND regexp_matches(x, 'Act|Ordinance') AND regexp_matches(x, '(19|20)\d{{2}}')) AS second FROM l),
+    d AS (SELECT *, list_filter(titles, lambda x: regexp_matches(x, '[১২][০-৯]{{3}}')) AS dated FROM t),
+    b AS (SELECT *, coalesce({_tidy_sql("dated[1]")}, titles[1], '') AS bangla_name FROM d),
+    e AS (SELECT *, coalesce({_tidy_sql("first[1]")}, {_tidy_sql("second[1]")}, bangla_name) AS act_name FROM b)
+    SELECT file_id, act_name, bangla_name,
+    CASE WHEN regexp_matches(h, '{_YEAR_NUMBER}') THEN coalesce(try_cast({_DIGITS.format(x=f"regexp_extract(h, '{_YEAR_NUMBER}', 1)")} AS int), 0) ELSE coalesce(try_cast(regexp_extract(h, '{_NUMBER_OF}', 2) AS int), 0) END AS act_year,
+    CASE WHEN regexp_matches(h, '{_YEAR_NUMBER}') THEN cast(coalesce(try_cast({_DIGITS.format(x=f"regexp_extract(h, '{_YEAR_NUMBER}', 2)")} AS int), 0) AS varchar) ELSE regexp_extract(h, '{_NUMBER_OF}', 1) END AS act_number,
+    CASE WHEN regexp_matches(h, '{_DATE_BN}') THEN regexp_extract(h, '{_DATE_BN}', 1) || ' ' || regexp_extract(h, '{_DATE_BN}', 2) || ', ' || regexp_extract(h, '{_DATE_BN}', 3) ELSE '' END AS publication_date,
+    CASE WHEN regexp_matches(h, '{_DATE_EN}') THEN regexp_extract(h, '{_DATE_EN}', 1) || ' ' || regexp_extract(h, '{_DATE_EN}', 2) || ', ' || regexp_extract(h, '{_DATE_EN}', 3) ELSE '' END AS publication_date_en,
+    CASE WHEN {_sql(_RATIO, 'h')} > 0.8 THEN 'bn' WHEN {_sql(_RATIO, 'h')} > 0.15 THEN 'mixed' ELSE 'en' END AS language,
+    CASE WHEN (contains(act_name, 'Amendment') OR contains(substring(h, 1, 1000), 'সংশোধন')) AND contains(substring(h, 1, 1000), 'আইন') THEN 'Amendment Act'
+      WHEN (contains(act_name, 'Amendment') OR contains(substring(h, 1, 1000), 'সংশোধন')) AND contains(substring(h, 1, 1000), 'অধ্যাদেশ') THEN 'Amendment Ordinance'
+      WHEN contains(substring(h, 1, 1000), 'অধ্যাদেশ') THEN 'Ordinance' WHEN contains(substring(h, 1, 1000), 'বিধিমালা') THEN 'Rule' WHEN contains(substring(h, 1, 500), 'Ordinance') THEN 'Ordinance' ELSE 'Act' END AS document_type,
+    regexp_extract(filename, 'act-print-(\d+)', 1) AS volume FROM e"""
+)
+def header_metadata(spark, d):
+    """What is read off the heads of the loaded documents, by the columns that ``extract_metadata`` and ingestion use."""
+    rows = table(spark, d, "loaded_documents").where("load_error is null").select("file_id", "filename", "raw_text", F.try_element_at("pages", F.lit(1)).alias("first")).distinct()
+    return extract.metadata(rows, "raw_text", "first", "filename").select("file_id", "act_name", "bangla_name", "act_year", "act_number", "publication_date", "publication_date_en", "language", "document_type", "volume")
+
+
+_INSERTED = (r"নূতন\s+ধারা\s+([০-৯]+[ক-হ]?)", r"নতুন\s+ধারা\s+([০-৯]+[ক-হ]?)", r"ধারা\s+([০-৯]+[ক-হ]?)\s+সন্নিবেশ", r"(?:নূতন|নতুন)\s*Article\s+(\d+[A-Za-z]*)")
+
+
+@query(
+    rf"""WITH s AS (SELECT DISTINCT section_id, chapter || chr(10) || section_title AS t, section_content AS c FROM legal_sections)
+    SELECT section_id, regexp_extract(substring(c, 1, 200), '(?i)(?:^|\n|\s)Article\s+([0-9০-৯]+[A-Za-z]?)\s*[.।:)]?', 1) AS article,
+    coalesce({', '.join(f"nullif(regexp_extract(substring(c, 1, 500), '{p}', 1), '')" for p in _INSERTED)}, '') AS inserted,
+    CASE WHEN regexp_extract(t, '{extract.CHAPTER}', 1) <> '' THEN regexp_extract(t, '{extract.CHAPTER}', 1) || ' অধ্যায়' ELSE '' END AS chapter,
+    CASE WHEN regexp_matches(t, '{extract.CHAPTER}') THEN {_sql(_STRIP, f"regexp_replace(t, '{extract.CHAPTER}', '', 'g')")} ELSE t END AS title FROM s"""
+)
+def heading_marks(spark, d):
+    """Articles, inserted sections and chapters that sections name."""
+    rows = table(spark, d, "legal_sections").select("section_id", F.concat("chapter", F.lit("\n"), "section_title").alias("t"), F.col("section_content").alias("c")).distinct()
+    return rows.select("section_id", extract.article_of(F.col("c")).alias("article"), extract.inserted_section(F.col("c")).alias("inserted"), extract.chapter_of(F.col("t")).alias("chapter"), extract.title_without_chapter(F.col("t")).alias("title"))
+
+
 @query()
 def ingest_chunks(spark, d):
     """Files to chunks."""
