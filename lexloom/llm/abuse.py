@@ -364,15 +364,13 @@ class Network:
         parts = self.room("parts", t, n, 2, 3, one)
         parts[:, :, 0] = dx.reshape(t, n, 3, 2, one)[:, :, :, 0]
         parts[:, :, 1] = dx.reshape(t, n, 3, 2, one)[::-1, :, :, 1]
-        place = inverse.T.ravel()
-        order = np.argsort(place.astype(np.uint16) if len(used) < 1 << 16 else place, kind="stable")  # sorted by radix
-        count = np.bincount(place)
-        dtable = np.add.reduceat(parts.reshape(-1, 6 * one).take(order, axis=0, out=self.room("x", t * n, 6 * one), mode="clip"), np.cumsum(count) - count, axis=0)
-        dw, dc = e.T @ dtable, dtable.sum(axis=0)
+        parts, place = parts.reshape(-1, 6 * one), inverse.T.ravel()
+        dw, dc = e[place].T @ parts, np.ones(len(parts), kind_of) @ parts
         for d, (w, c) in enumerate((("Wf", "cf"), ("Wb", "cb"))):
             own = slice(3 * d * one, 3 * (d + 1) * one)
             g[w], g[c] = dw[:, own], dc[own]
-        de = (dtable @ np.concatenate([self.p["Wf"], self.p["Wb"]], axis=1).T) / roots[:, None]
+        at_place = np.concatenate([self.p["Wf"], self.p["Wb"]], axis=1) @ parts.T
+        de = np.stack([np.bincount(place, weights=column, minlength=len(used)) for column in at_place], axis=1) / roots[:, None]
         ge = np.empty_like(self.p["E"])
         word_of = np.repeat(np.arange(len(used)), sizes)
         for j, column in enumerate(np.ascontiguousarray(de.T)):

@@ -218,6 +218,7 @@ class Language:
                 allowed[0xC2:0xF5, 0x80:0xC0] = allowed[0x80:0xC0, 0x80:0xC0] = allowed[0x80:0xC0, 0xC2:0xF5] = 1
                 m = 0.99 * m + 0.01 * allowed / allowed.sum()
             self.joint[form] = m
+        self.joint |= {f"{form}-t": np.ascontiguousarray(m.T) for form, m in self.joint.items()}  # by the second byte
         m = _matrix(rows[rows["what"] == "utf8-3"])
         self.joint["utf8-3"] = (m + 1e-7) / (m.sum() + 1e-7 * 65536)
         chars = rows[rows["what"] == "char"]
@@ -357,7 +358,7 @@ def learn(rows: pd.DataFrame, joint: dict[str, np.ndarray], clean: dict[str, flo
         at = np.concatenate([right, left])
         if not len(at):
             continue
-        own = np.concatenate([joint[names[r][1]][a[right], 128:], joint[names[r][1]][128:, b[left]].T])
+        own = np.concatenate([joint[names[r][1]][a[right], 128:], joint[f"{names[r][1]}-t"][b[left], 128:]])
         letters, place = np.unique(np.concatenate([big.at_b[right], big.at_a[left]]), return_inverse=True)
         member = np.zeros((len(letters), len(at)))
         member[place, np.arange(len(at))] = 1
