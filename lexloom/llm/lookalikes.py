@@ -86,15 +86,16 @@ def script(c: str) -> str:
 
 def proposals(token: str) -> list[str]:
     """Composed forms a token may have meant, best first: its dominant script, the other scripts it holds, Latin."""
-    counts = Counter(s for s in map(script, token) if s)
+    letters = unicodedata.normalize("NFD", token)  # an accent stays what it is, whatever script its letter is of
+    counts = Counter(s for s in map(script, letters) if s)
     order = [s for s, _ in sorted(counts.items(), key=lambda x: (-x[1], x[0] != "LATIN", x[0]))]
     out: list[str] = []
     for target in dict.fromkeys([*order, "LATIN"]):
         if target == "LATIN":
-            made = "".join(TO_LATIN.get(c, c) for c in token)
+            made = "".join(TO_LATIN.get(c, c) for c in letters)
         elif target in _FROM_LATIN:
             back = _FROM_LATIN[target]
-            made = "".join(c if script(c) == target else back.get(TO_LATIN.get(c, c), c) for c in token)
+            made = "".join(c if script(c) == target else back.get(TO_LATIN.get(c, c), c) for c in letters)
         else:
             continue
         made = composed(made)
@@ -118,7 +119,7 @@ def odd_tokens(text: str) -> list[str]:
         scripts = {s for s in map(script, token) if s}
         if len(scripts) > 1:
             out.append(token)
-        elif all(c in TO_LATIN for c in token if c.isalpha()):
+        elif all(c in TO_LATIN for c in unicodedata.normalize("NFD", token) if c.isalpha()):
             whole.append((token, scripts))
         else:
             home |= scripts

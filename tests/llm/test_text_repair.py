@@ -83,6 +83,7 @@ def test_visible_differences_stay():
     assert lookalikes.fold("m²") == "m²" and lookalikes.fold("É") == "É" and lookalikes.fold("ﬁsh­") == "fish" and lookalikes.fold(None) is None
     assert "Pension" in lookalikes.proposals("Реnѕіоn")
     assert lookalikes.proposals("plain") == []
+    assert lookalikes.proposals("Сrѐche")[0] == "Crèche" and lookalikes.proposals(unicodedata.normalize("NFC", "nο\u0301"))[0] == "nó"
 
 
 CLEAN = ["আদালত এর ক্ষমতা ও নিবন্ধন", "Pêche, péage et étals du marché", "The owner’s claim – first offence", "Closure of the café “at once”", "कर्मचारी के कर्तव्य"] * 12
