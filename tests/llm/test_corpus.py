@@ -1,4 +1,5 @@
 import random
+import re
 import zlib
 
 import numpy as np
@@ -241,3 +242,22 @@ def test_slots_of_many_words_are_those_of_each():
         assert sorted(flat[at : at + n].tolist()) == sorted(plain)
         at += n
     assert len(abuse.slots_of([])[0]) == 0
+
+
+def test_words_of_the_table_stand_in_whole_rows_of_each_gate():
+    net = abuse.Network(3)
+    halves = net.halves(net.project([abuse.slots(f"w{i}") for i in range(50)]))
+    assert all(h.shape == (3, 50, abuse.HIDDEN) and h.flags.c_contiguous for h in halves)  # else each step copies the whole table
+    net.p["cf"] += 200  # exponentials beyond all bounds
+    table = net.project([abuse.slots("w")])
+    index, mask = np.zeros((2, abuse.WINDOW), np.int64), np.ones((2, abuse.WINDOW), np.float32)
+    assert np.allclose(net.read(*net.halves(table), index, mask), net.run(table[index], mask), atol=1e-5)
+
+
+def test_words_are_what_no_blank_or_mark_parts():
+    r = random.Random(4)
+    for _ in range(300):
+        text = "".join(r.choice("ab xyz.,;:?()[]{}“”\"«»।॥…—–/。，！\n  é-_ক") for _ in range(30))
+        apart = re.findall("[^\\s" + re.escape(abuse._BETWEEN) + "]+", text)
+        if not re.search(r"(?<!\w)\w(?:\W+\w(?!\w)){3}", text):  # letters spread one by one are put together
+            assert abuse.words(text) == apart
