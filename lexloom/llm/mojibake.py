@@ -18,6 +18,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -33,14 +34,15 @@ FORMS = ("utf8", "legacy", "double")
 _LOST = re.compile("�|\\?{3,}")
 # characters of no script that has a block of thousands or bytes of three in UTF-8 in the corpus: those of the code pages
 _ODD = re.compile("[\x80-\u02ff\u0370-\u08ff\u0e00-\u1fff\ufffd]|[\u2010-\u2bff]{2}")
-_BLANK = re.compile("[ \t\n\r\f\v]+")
 _HAN = re.compile("[㐀-鿿]")
 _HIGH = re.compile("[^\x00-\x7f]+")
 
 
 def tokens(text: str) -> list[str]:
-    """Tokens between ASCII blanks; other blanks may stand for bytes."""
-    return _BLANK.split(text)
+    """Tokens between ASCII blanks, empty ones too; other blanks may stand for bytes."""
+    for c in "\t\n\r\f\v":  # many times as fast as an expression that finds the blanks
+        text = text.replace(c, " ")
+    return text.split(" ")
 
 
 def odd(token: str) -> bool:
@@ -143,7 +145,7 @@ def scanned(rows: DataFrame) -> DataFrame:
                 parts = tokens(v)
                 by_source.setdefault(s, Counter()).update(parts)
                 if not v.isascii() and _ODD.search(v) or "???" in v:
-                    held.update((f, i, s, w) for w in parts if not w.isascii() and is_odd[w] or "??" in w and is_odd[w])
+                    held.update((f, i, s, w) for w in compress(parts, map(is_odd.__getitem__, parts)))
             every: Counter = Counter()
             for source, words in by_source.items():
                 words.pop("", None)

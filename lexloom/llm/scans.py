@@ -14,6 +14,9 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import compress
+from operator import not_
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -79,7 +82,12 @@ _ACCENTS = re.compile("[\u0300-\u036f]+")
 _TITLE = re.compile(r"[^\s,.·•|()\[\]–—-]+")
 
 
-def _title(text: str) -> list[str]:
+@lru_cache(maxsize=20_000)
+def _title(text: str) -> tuple[str, ...]:
+    return tuple(_parts(text))
+
+
+def _parts(text: str) -> list[str]:
     if text.isascii():
         return _TITLE.findall(text.casefold())
     out = unicodedata.normalize("NFKD", fold(text).translate(_DRAWN)).casefold()
@@ -98,7 +106,7 @@ def near(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:]
 
 
-def names_act(line: str, titles: list[list[str]]) -> bool:
+def names_act(line: str, titles: list[tuple[str, ...]]) -> bool:
     """Whether a line is the act's name, in full or short, with or without a page number after it."""
     if len(line) > 2 * max((sum(map(len, t)) + len(t) for t in titles), default=0) + 24:  # no form of a name
         return False
@@ -281,9 +289,9 @@ class Reader:
         return out[::-1]
 
 
-def furniture(lines: list[str], titles: list[list[str]]) -> list[str]:
+def furniture(lines: list[str], titles: list[tuple[str, ...]]) -> list[str]:
     """What every line of a page is: text, blank, page_number, running_header or stray_marks."""
-    kinds = ["blank" if not x or x.isspace() else "text" if x.isascii() or not stray(x) else "stray_marks" for x in lines]
+    kinds = ["blank" if not x or x.isspace() else "text" if x.isascii() or x[0].isalnum() or not stray(x) else "stray_marks" for x in lines]
     solid = [i for i, k in enumerate(kinds) if k == "text"]
     for i in solid[:2] + solid[-3:]:
         before = max((j for j in solid if j < i), default=None)
@@ -291,7 +299,7 @@ def furniture(lines: list[str], titles: list[list[str]]) -> list[str]:
         if kinds[i] == "text" and numbers_page(lines[i], edge):
             kinds[i] = "page_number"
     for i in solid:
-        if kinds[i] == "text" and numbers_page(lines[i], False):
+        if not lines[i][-1].isalpha() and kinds[i] == "text" and numbers_page(lines[i], False):  # no such number ends with a letter
             kinds[i] = "page_number"
     head = [i for i in solid if kinds[i] == "text"][:4]
     for i in head:
@@ -338,7 +346,7 @@ def decode(lines: list[str], kinds: list[str], reader: Reader, rewrite: bool = T
     low = " ".join(pieces).lower().split(" ") if pieces else []  # no piece holds a blank
     plain, counts = reader.plain, reader.counts
     turns = [begins[k + 1] for k in range(len(text) - 1) if len(text[k]) > 1 and text[k][-1] in HYPHENS and begins[k] < begins[k + 1] < begins[k + 2]]
-    open_at = {k for k, w in enumerate(low) if not plain[w]}
+    open_at = set(compress(range(len(low)), map(not_, map(plain.__getitem__, low))))
     gaps = [""] * max(len(low) - 1, 0)
     for k in turns:
         (a, _, end), b = at(k - 1), at(k)
@@ -348,7 +356,7 @@ def decode(lines: list[str], kinds: list[str], reader: Reader, rewrite: bool = T
             capital = pieces[k][0].isupper() and reader.counts.get(whole, 0) == 0
             gaps[k - 1] = "name" if capital else "hyphen" if line[-1] == "-" else "broken"
             open_at |= {k - 1, k}
-    near_by = sorted({n for k in open_at for n in (k - 1, k, k + 1) if 0 <= n < len(low)})
+    near_by = sorted((open_at | {k - 1 for k in open_at} | {k + 1 for k in open_at}) - {-1, len(low)})
     for k in near_by:
         if k + 1 < len(low) and not gaps[k] and not pieces[k + 1][0].isupper():
             if counts.get(low[k] + low[k + 1], 0) < reader.common and (plain[low[k]] or plain[low[k + 1]]):
@@ -518,7 +526,7 @@ def fit(files: DataFrame, pages: str) -> Reader:
     return Reader(counts, learn_confusions(counts, every.where(F.col("n") < max(2, n_files // 1000)), common), common)
 
 
-def _titles(names: Iterable[str | None]) -> list[list[str]]:
+def _titles(names: Iterable[str | None]) -> list[tuple[str, ...]]:
     return [t for t in (_title(x) for x in names if x) if len(t) >= 2]
 
 

@@ -380,3 +380,16 @@ def test_unmarked_spaceless_text_is_cut_at_learnt_gaps(spark):
     assert right > 0.9 * total
     assert split("关于界石的说明", gaps) == [(0, 7)]
     assert learn_gaps([df.limit(0)]).words
+
+
+def test_titles_are_parted_once():
+    scans._title.cache_clear()
+    lines = ["The Ports Act, 1908", "1. Every master of a vessel shall keep a list"]
+    for _ in range(3):
+        assert scans.furniture([*lines, "x 12 a", "- 12 -"], scans._titles(["The Ports Act, 1908", None])) == ["running_header", "text", "text", "page_number"]
+    assert scans._title.cache_info().misses <= 3
+
+
+def test_tokens_are_parted_by_ascii_blanks_only():
+    assert [w for w in mojibake.tokens(" a\t\tb\xa0c\n d \x0b\x0ce\r\n") if w] == ["a", "b\xa0c", " d", "e"]
+    assert list(map(mojibake._Odd().__getitem__, ["abc", "what??", "a???", "Ã©t", "আইন"])) == [False, False, True, True, False]
