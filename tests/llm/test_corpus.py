@@ -261,3 +261,14 @@ def test_words_are_what_no_blank_or_mark_parts():
         apart = re.findall("[^\\s" + re.escape(abuse._BETWEEN) + "]+", text)
         if not re.search(r"(?<!\w)\w(?:\W+\w(?!\w)){3}", text):  # letters spread one by one are put together
             assert abuse.words(text) == apart
+
+
+def test_short_windows_are_read_apart(monkeypatch):
+    net, data = abuse.Network(3), abuse.Data()
+    cuts = [data.cut(t) for t in (" ".join(f"w{i % 7}" for i in range(n)) for n in (30, 3, 80, 24, 1, 50))]
+    index, mask = np.concatenate([c[0] for c in cuts]), np.concatenate([c[1] for c in cuts])
+    seen, read = [], net.read
+    monkeypatch.setattr(abuse, "BATCH", 4)
+    monkeypatch.setattr(net, "read", lambda f, b, i, m: seen.append(bool(m.all())) or read(f, b, i, m))
+    assert np.allclose(abuse.probabilities(net, data, index, mask), net.run(net.project(data.bags)[index], mask), atol=1e-5)
+    assert seen == sorted(seen, reverse=True) and seen.count(False) == 1
