@@ -36,6 +36,7 @@ _LOST = re.compile("�|\\?{3,}")
 _ODD = re.compile("[\x80-\u02ff\u0370-\u08ff\u0e00-\u1fff\ufffd]|[\u2010-\u2bff]{2}")
 _HAN = re.compile("[㐀-鿿]")
 _HIGH = re.compile("[^\x00-\x7f]+")
+_WESTERN = re.compile(f"[{re.escape(bytes(range(256)).decode('cp1252', 'ignore'))}]*")
 
 
 def tokens(text: str) -> list[str]:
@@ -137,33 +138,33 @@ def scanned(rows: DataFrame) -> DataFrame:
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
+        sums: dict[str, np.ndarray] = {}
         is_odd = _Odd()
         for pdf in batches:
             by_source: dict[str, Counter] = {}
             held: set[tuple[str, int, str, str]] = set()
+            every: Counter = Counter()
             for f, i, s, v in zip(pdf["field_name"], pdf["record_id"], pdf["source"], pdf["value"]):
                 parts = tokens(v)
-                by_source.setdefault(s, Counter()).update(parts)
-                if not v.isascii() and _ODD.search(v) or "???" in v:
-                    held.update((f, i, s, w) for w in compress(parts, map(is_odd.__getitem__, parts)))
-            every: Counter = Counter()
-            for source, words in by_source.items():
-                words.pop("", None)
-                strange = {w: n for w, n in words.items() if not w.isascii() and is_odd[w] and _ODD.search(w)}
-                for what, apart in (("odd", 1), ("odd-3", 3)):
-                    for a, b, n in _pairs(strange, False, apart):
-                        if not (a.isascii() or b.isascii()) or apart == 1 and not (a.isascii() and b.isascii()):
-                            total[what, source, a, b] += n
-                every.update(words)
+                every.update(parts)
+                if not v.isascii() and _ODD.search(v) or "???" in v:  # no other text has such tokens
+                    strange = list(compress(parts, map(is_odd.__getitem__, parts)))
+                    held.update((f, i, s, w) for w in strange)
+                    by_source.setdefault(s, Counter()).update(w for w in strange if odd(w))
+            every.pop("", None)
+            yield from _odd_pairs(by_source)
             for w in [w for w in every if not w.isascii() and is_odd[w] and (_LOST.search(w) or foreign(w) or len(_scripts(w, "L")) > 1)]:
                 del every[w]
-            _count_bytes(every, total)
+            _count_bytes(every, sums)
             for a, b, n in _pairs(every, True):
                 total["char", None, a, b] += n
             yield pd.DataFrame([("token", s, None, None, 1, f, i, w) for f, i, s, w in sorted(held)], columns=[x.split()[0] for x in _SCAN.split(", ")])
             if len(total) > 500_000:
                 yield _counts(total)
                 total = Counter()
+        for what, sum_of in sums.items():
+            at = np.flatnonzero(sum_of)
+            total.update({(what, None, chr(i >> 8), chr(i & 255)): int(n) for i, n in zip(at.tolist(), sum_of[at])})
         yield _counts(total)
 
     return cut(rows.select("field_name", "record_id", "source", "value").mapInPandas(read, _SCAN))
@@ -173,29 +174,50 @@ def _counts(total: Counter) -> pd.DataFrame:
     return pd.DataFrame([(*k, n, None, None, None) for k, n in total.items()], columns=[x.split()[0] for x in _SCAN.split(", ")])
 
 
-def _count_bytes(every: Counter, total: Counter) -> None:
-    """Add the bigrams of the bytes of words in all forms."""
+def _letters(codes: np.ndarray) -> np.ndarray:
+    own, place = np.unique(codes, return_inverse=True)
+    return np.array(list(map(chr, own.tolist())), dtype=object)[place]
+
+
+def _odd_pairs(by_source: dict[str, Counter]) -> Iterator[pd.DataFrame]:
+    """Bigrams of every source's odd tokens, one of the two no ASCII, and pairs three apart, neither of them ASCII."""
+    words = [(k, w, n) for k, own in enumerate(by_source.values()) for w, n in own.items()]
+    if not words:
+        return
+    names = np.array(list(by_source), dtype=object)
+    c = np.frombuffer((" " + " ".join(w for _, w, _ in words) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    word = np.repeat(np.arange(len(words)), [len(w) + 1 for _, w, _ in words])  # a blank belongs to the word after it
+    owner = np.array([k for k, _, _ in words])[word] << 42
+    weights = np.array([n for _, _, n in words], dtype=float)[word]
+    for what, apart in (("odd", 1), ("odd-3", 3)):
+        a, b = c[:-apart], c[apart:]
+        at = np.flatnonzero((a >= 128) | (b >= 128) if apart == 1 else (a >= 128) & (b >= 128))
+        if apart > 1:
+            at = at[word[at] == word[at + apart - 1]]
+        keys, place = np.unique(owner[at] | a[at] << 21 | b[at], return_inverse=True)
+        if len(keys):
+            n = np.bincount(place, weights=weights[at]).astype(np.int64)
+            rows = {"what": what, "source": names[keys >> 42], "a": _letters(keys >> 21 & 0x1FFFFF), "b": _letters(keys & 0x1FFFFF), "n": n}
+            yield pd.DataFrame(rows | {"field_name": None, "record_id": None, "token": None})
+
+
+def _count_bytes(every: Counter, sums: dict[str, np.ndarray]) -> None:
+    """Add the bigrams of the bytes of words in all forms, by the number first byte * 256 + second byte."""
+
+    def add(what: str, codes: np.ndarray, weights: np.ndarray) -> None:
+        sums[what] = sums.get(what, 0) + np.bincount(codes, weights=weights, minlength=65536)
+
+    chosen = {"legacy": [w for w in every if w.isascii() or _WESTERN.fullmatch(w)], "double": [w for w in every if not w.isascii() and _HAN.search(w)], "utf8": list(every)}
     for what, page in (("utf8", "utf-8"), ("legacy", "cp1252"), ("double", "gbk")):
-        parts, weights = [], []
-        for w, n in every.items():
-            if what == "double" and (w.isascii() or not _HAN.search(w)):
-                continue
-            raw = w.encode(page, "ignore")
-            if what != "legacy" or len(raw) == len(w):
-                parts.append(raw)
-                weights.append(n)
+        parts = chosen[what]
         if not parts:
             continue
-        flat = np.frombuffer(b" " + b" ".join(parts) + b" ", dtype=np.uint8).astype(np.int64)
-        each = np.repeat(np.array(weights, dtype=float), [len(x) + 1 for x in parts])
-        got = np.bincount(flat[:-1] * 256 + flat[1:], weights=each, minlength=65536)
-        for i in np.flatnonzero(got):
-            total[what, None, chr(i >> 8), chr(i & 255)] += int(got[i])
+        flat = np.frombuffer(f" {' '.join(parts)} ".encode(page, "ignore"), dtype=np.uint8).astype(np.int64)
+        each = np.array([every[w] for w in parts], dtype=float)[np.cumsum(flat[:-1] == 32) - 1]  # no byte of a word is a blank
+        add(what, flat[:-1] * 256 + flat[1:], each)
         if what == "utf8":
             high = np.flatnonzero((flat[:-3] >= 128) & (flat[3:] >= 128) & (flat[1:-2] != 32) & (flat[2:-1] != 32))
-            got = np.bincount(flat[high] * 256 + flat[high + 3], weights=each[high], minlength=65536)
-            for i in np.flatnonzero(got):
-                total["utf8-3", None, chr(i >> 8), chr(i & 255)] += int(got[i])
+            add("utf8-3", flat[high] * 256 + flat[high + 3], each[high])
 
 
 def _matrix(rows: pd.DataFrame) -> np.ndarray:
@@ -534,7 +556,7 @@ def decrypt(word: str, tables: dict[tuple[str, str], dict[int, int]], language:
         else:
             if not mixed or not high <= table.keys():
                 continue
-            made = word.translate({c: _WEST.get(b, chr(b)) for c, b in table.items()})
+            made = word.translate({c: _WEST.get(table[c], chr(table[c])) for c in high})
             if made == word or not language.reads(made):
                 continue
         again = made

@@ -15,7 +15,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import compress
+from itertools import chain, compress
 from operator import not_
 
 import pandas as pd
@@ -43,6 +43,9 @@ _NUMBER = re.compile(
     rf"\s*(?:[-–—|\[(]\s*)*(?:(?:page|pg|p|পৃষ্ঠা|पृष्ठ|folio|seite)\.?\s*)?(?:[-–—|\[(]\s*)*(?:{_DIGITS})(?:\s*(?:/|of|এর|का)\s*{_DIGITS})?\s*(?:[-–—|\])]\s*)*$", re.I
 )
 _ROMAN = re.compile(r"\s*[-–—\[(|]?\s*(?=[ivxlc])(?:x[cl]|l?x{0,3})(?:i[xv]|v?i{0,3})\s*[-–—\])|]?\s*$", re.I)
+#: The last signs that a line which only numbers a page may have, besides blanks.
+_NUMBER_ENDS = frozenset("0123456789০১২৩৪৫৬৭৮৯०१२३४५६७८९-–—|])")
+_ROMAN_ENDS = frozenset("ivxlcIVXLCİı-–—|])")
 _BARE = re.compile(rf"\s*{_DIGITS}\s*$")
 _LABEL = re.compile(r"\s*(?:\([^\s()]{1,4}\)|[0-9০-৯०-९]{1,3}[.।)]|第[0-9一二三四五六七八九十]+[条章])")
 _END = re.compile(r"[.!?।॥…。！？:;：；][”’\"')）»」]*\s*$")
@@ -66,9 +69,10 @@ def numbers_page(line: str, edge: bool) -> bool:
     """A line that only numbers the page; a bare or Roman number does so only at the edge of the page."""
     if not line.strip():
         return False
-    if _ROMAN.match(line):
+    last = line.rstrip()[-1]
+    if last in _ROMAN_ENDS and _ROMAN.match(line):
         return edge
-    return bool(_NUMBER.match(line)) and (edge or not _BARE.match(line))
+    return last in _NUMBER_ENDS and bool(_NUMBER.match(line)) and (edge or not _BARE.match(line))
 
 
 def plain(text: str) -> str:
@@ -80,6 +84,7 @@ def plain(text: str) -> str:
 _DRAWN = str.maketrans(TO_LATIN)
 _ACCENTS = re.compile("[\u0300-\u036f]+")
 _TITLE = re.compile(r"[^\s,.·•|()\[\]–—-]+")
+_BEGINS = re.compile(r"(?<!\S)[0-9A-Za-zঅ-হ]")  # words that are sure to be words of a title, whatever it is folded to
 
 
 @lru_cache(maxsize=20_000)
@@ -110,15 +115,20 @@ def names_act(line: str, titles: list[tuple[str, ...]]) -> bool:
     """Whether a line is the act's name, in full or short, with or without a page number after it."""
     if len(line) > 2 * max((sum(map(len, t)) + len(t) for t in titles), default=0) + 24:  # no form of a name
         return False
+    if len(_BEGINS.findall(line)) > max(map(len, titles), default=0) + 1:  # more words than any name and a number
+        return False
     got = _title(line)
     if got and got[-1].isdecimal() and len(got) > 2 and (len(got[-1]) < 4 or got[-2].isdecimal()):
         got = got[:-1]
     if len(got) < 2:
         return False
     for name in titles:
+        if len(got) > len(name):
+            continue
         at, used = 0, 0
         for w in got:
-            k = next((j for j in range(at, len(name)) if near(w, name[j])), None)
+            # one change leaves the first letter or the last
+            k = next((j for j in range(at, len(name)) if (name[j][0] == w[0] or name[j][-1] == w[-1]) and near(w, name[j])), None)
             if k is None:
                 break
             at, used = k + 1, used + 1
@@ -144,6 +154,47 @@ class _Plain(dict):
         return _Plain, (self.reader,)
 
 
+class _Alone(dict):
+    """What a text without blanks is when its words are read by themselves, kept up to a bound: 0 if all stand for themselves, 2 if one is misread, else 1."""
+
+    def __init__(self, reader: Reader) -> None:
+        self.reader = reader
+
+    def __missing__(self, part: str) -> int:
+        if len(self) > 300_000:
+            self.clear()
+        self[part] = got = max(map(self.piece, _TOKEN.findall(part)), default=0)
+        return got
+
+    def piece(self, piece: str) -> int:
+        word = piece.lower()
+        return 0 if self.reader.plain[word] else 1 if self.reader.meant(word) is None else 2
+
+    def __reduce__(self):
+        return _Alone, (self.reader,)
+
+
+class _Ends(dict):
+    """The words that a text without blanks begins and ends with, "" where it does so with no word; kept up to a bound."""
+
+    def __missing__(self, part: str) -> tuple[str, str]:
+        if len(self) > 300_000:
+            self.clear()
+        own = _TOKEN.findall(part)
+        self[part] = got = own[0].lower() if own and part.startswith(own[0]) else "", own[-1].lower() if own and part.endswith(own[-1]) else ""
+        return got
+
+
+class _Words(dict):
+    """The different words of a text without blanks, kept up to a bound."""
+
+    def __missing__(self, part: str) -> tuple[str, ...]:
+        if len(self) > 300_000:
+            self.clear()
+        self[part] = got = tuple(words(part.lower()))
+        return got
+
+
 class Reader:
     """Common words of the corpus and what scans make of them."""
 
@@ -162,6 +213,8 @@ class Reader:
         self.known: dict[str, str | None] = {}
         self.paid: dict[str, float] = {}
         self.plain = _Plain(self)
+        self.alone = _Alone(self)
+        self.ends = _Ends()
         self._misread: dict[str, list[tuple[str, float]]] | None = None
 
     def cost(self, word: str) -> float:
@@ -169,19 +222,23 @@ class Reader:
         return math.log(self.total / n) if n else 9.0 + 1.5 * len(word)
 
     def repairs(self, word: str) -> Iterable[tuple[str, float]]:
-        """Words that one confusion turns into this one."""
+        """Words that one confusion turns into this one, without those that begin or end as no word of ``misread``."""
         swaps, opening = self.swaps, self.opening
-        for i, c in enumerate(word):
-            if c in opening:
+        index, ends = self.misread, self._ends
+        last = len(word) if word[:4] in ends[0] else min(4, len(word))  # the first letters stay where the fifth or a later one changes
+        first = 0 if word[-4:] in ends[1] else len(word) - 3
+        for i in range(max(first - self.longest, 0), last):
+            if word[i] in opening:
                 for k in range(1, self.longest + 1):
                     for right, cost in swaps.get(word[i : i + k], ()):
-                        if i + k <= len(word):
-                            yield word[:i] + right + word[i + k :], cost
+                        if first <= i + k <= len(word) and (part := word[:i] + right + word[i + k :]) in index:
+                            yield part, cost
         for right, cost in self.gaps:
             if ord(right) >> 7 != ord(word[0]) >> 7:  # another script
                 continue
-            for i in range(1, len(word) + 1):
-                yield word[:i] + right + word[i:], cost
+            for i in range(max(first, 1), min(last, len(word)) + 1):
+                if (part := word[:i] + right + word[i:]) in index:
+                    yield part, cost
 
     @property
     def misread(self) -> dict[str, list[tuple[str, float]]]:
@@ -205,6 +262,7 @@ class Reader:
                     if i and word[i] in gaps:
                         out.setdefault(word[:i] + word[i + 1 :], []).append((word, gaps[word[i]]))
             self._misread = out
+            self._ends = {w[:4] for w in out}, {w[-4:] for w in out}
         return self._misread
 
     def meant(self, word: str) -> str | None:
@@ -222,7 +280,7 @@ class Reader:
                         low, best = self.cost(made) + cost, made
                 if best is None and not own and len(word) >= 6:
                     for part, cost in self.repairs(word):
-                        for made, more in index.get(part, ()):
+                        for made, more in index[part]:
                             if made != word and self.cost(made) + cost + more < low:
                                 low, best = self.cost(made) + cost + more, made
             if best is not None:
@@ -293,13 +351,17 @@ def furniture(lines: list[str], titles: list[tuple[str, ...]]) -> list[str]:
     """What every line of a page is: text, blank, page_number, running_header or stray_marks."""
     kinds = ["blank" if not x or x.isspace() else "text" if x.isascii() or x[0].isalnum() or not stray(x) else "stray_marks" for x in lines]
     solid = [i for i, k in enumerate(kinds) if k == "text"]
-    for i in solid[:2] + solid[-3:]:
-        before = max((j for j in solid if j < i), default=None)
-        edge = i in (solid[0], solid[-1]) or i in solid[-3:] and (before is None or kinds[before] != "text" or _END.search(lines[before]) is not None)
-        if kinds[i] == "text" and numbers_page(lines[i], edge):
-            kinds[i] = "page_number"
+    last = len(solid) - 1
+    for k in [*range(min(2, last + 1)), *range(max(last - 2, 0), last + 1)]:
+        i = solid[k]
+        end = lines[i].rstrip()[-1]
+        if kinds[i] == "text" and (end in _NUMBER_ENDS or end in _ROMAN_ENDS):
+            edge = k in (0, last) or k > last - 3 and (kinds[solid[k - 1]] != "text" or _END.search(lines[solid[k - 1]]) is not None)
+            if numbers_page(lines[i], edge):
+                kinds[i] = "page_number"
     for i in solid:
-        if not lines[i][-1].isalpha() and kinds[i] == "text" and numbers_page(lines[i], False):  # no such number ends with a letter
+        end = lines[i][-1]
+        if (end in _NUMBER_ENDS or end.isspace()) and kinds[i] == "text" and numbers_page(lines[i], False):
             kinds[i] = "page_number"
     head = [i for i in solid if kinds[i] == "text"][:4]
     for i in head:
@@ -409,6 +471,32 @@ def decode(lines: list[str], kinds: list[str], reader: Reader, rewrite: bool = T
     return text, +found
 
 
+def suffers(text: list[str], reader: Reader) -> set[str]:
+    """Which of broken_word and misread ``decode`` finds in the text lines of a page.
+
+    Only where a hyphen ends a line, or two pieces with a blank between them may be one word, the lattice is decoded.
+    Elsewhere every piece is read by itself, so that what stands between two blanks is looked up whole.
+    """
+    if any(x.rstrip()[-1:] in HYPHENS for x in text[:-1]):
+        return set(decode(text, ["text"] * len(text), reader, rewrite=False)[1])
+    parts = "\n".join(text).split()
+    alone = list(map(reader.alone.__getitem__, parts))
+    if not any(alone):
+        return set()
+    for k in compress(range(len(parts)), alone):
+        if k and _may_join(parts[k - 1], parts[k], reader) or k + 1 < len(parts) and _may_join(parts[k], parts[k + 1], reader):
+            return set(decode(text, ["text"] * len(text), reader, rewrite=False)[1])
+    return {"misread"} if 2 in alone else set()
+
+
+def _may_join(left: str, right: str, reader: Reader) -> bool:
+    """Whether two texts with a blank between them may be one word, by the pieces on both sides of the blank."""
+    x, y = reader.ends[left][1], reader.ends[right][0]
+    if not x or not y or right[0].isupper():
+        return False
+    return reader.counts.get(x + y, 0) >= reader.common or not (reader.plain[x] or reader.plain[y])
+
+
 def paragraphs(lines: list[str]) -> list[str]:
     """Paragraphs of mended lines, boundaries chosen by dynamic programming over line ends."""
     lines = [x.strip() for x in lines if x.strip()]
@@ -447,13 +535,11 @@ def vocabulary(files: DataFrame, pages: str) -> tuple[dict[str, int], int, DataF
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
+        own = _Words()
         for pdf in batches:
             for ps in pdf["pages"]:
-                seen: set[str] = set()
-                for p in ps:
-                    if p:
-                        seen.update(words(_BROKEN.sub("", p).lower()))
-                total.update(seen)
+                parts = set(_BROKEN.sub("", "\f".join(p for p in ps if p)).split())  # no word goes on after a form feed
+                total.update(set(chain.from_iterable(map(own.__getitem__, parts))))
             if len(total) > 500_000:
                 yield pd.DataFrame([x for x in total.items() if not _CJK.search(x[0])], columns=["word", "n"])
                 total = Counter()
@@ -546,8 +632,7 @@ def page_noise(files: DataFrame, reader: Reader) -> DataFrame:
                         continue
                     lines = page.split("\n")
                     kinds = furniture(lines, titles)
-                    _, found = decode(lines, kinds, reader, rewrite=False)
-                    noise = {k for k in kinds if k not in ("text", "blank")} | set(found)
+                    noise = {*kinds, *suffers([x for x, k in zip(lines, kinds) if k == "text"], reader)} - {"text", "blank"}
                     out += [(file, no, x) for x in sorted(noise)]
             yield pd.DataFrame(out, columns=["file_id", "page_no", "noise"])
 

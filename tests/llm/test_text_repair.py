@@ -390,6 +390,68 @@ def test_titles_are_parted_once():
     assert scans._title.cache_info().misses <= 3
 
 
+def test_lines_longer_than_any_title_are_not_parted():
+    scans._title.cache_clear()
+    titles = scans._titles(["The Ports Act, 1908", "বন্দর আইন, ১৯০৮"])
+    before = scans._title.cache_info().misses
+    long = "every master of a vessel shall keep a list and show it"
+    assert scans.furniture([long, "The Ports Act, 1908 12", "the Pcrts Act", "বন্দর আইন, ১৯০৮", long], titles) == ["text", "running_header", "running_header", "running_header", "text"]
+    assert scans._title.cache_info().misses == before + 2  # one form was met as a title
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("the Inspect0r inspector regi ster reg- ister- by- law 1nspect0r marketstalls tea-chest Xq zzq 12 登记 প্রদেয় নিবন্ঘন হই বে — -".split()), min_size=1, max_size=6), max_size=5), st.sampled_from([" ", ", ", "  "]))
+def test_noise_of_a_page_is_what_its_lattice_finds(lines, blank):
+    text, r = [blank.join(x) for x in lines], reader()
+    assert scans.suffers(text, r) == set(scans.decode(text, ["text"] * len(text), r, rewrite=False)[1])
+
+
+def test_pages_with_nothing_to_join_take_no_lattice(monkeypatch):
+    monkeypatch.setattr(scans, "decode", None)
+    r = reader()
+    assert scans.suffers(["the inspect0r, shall keep", "a register of Qazxsw"], r) == {"misread"}
+    assert scans.suffers(["the board shall keep"], r) == scans.suffers([], r) == set()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("inspectormk015crnি াব", min_size=1, max_size=10))
+def test_repairs_are_all_that_make_a_common_word(word):
+    r = reader()
+    every = [(word[:i] + right + word[i + k :], cost) for i in range(len(word)) for k in (1, 2) for right, cost in r.swaps.get(word[i : i + k], ()) if i + k <= len(word)]
+    every += [(word[:i] + right + word[i:], cost) for right, cost in r.gaps if ord(right) >> 7 == ord(word[0]) >> 7 for i in range(1, len(word) + 1)]
+    assert list(r.repairs(word)) == [x for x in every if x[0] in r.misread]
+
+
+def test_pairs_of_all_sources_at_once():
+    by_source = {"a": mojibake.Counter({"Ã©tÃ©": 2, "xé": 1, "éÃ": 3}), "": mojibake.Counter(), "b": mojibake.Counter({"Ã©tÃ©": 1})}
+    want = {}
+    for source, words in by_source.items():
+        for what, apart in (("odd", 1), ("odd-3", 3)):
+            for a, b, n in mojibake._pairs(words, False, apart):
+                if not (a.isascii() and b.isascii()) if apart == 1 else not (a.isascii() or b.isascii()):
+                    want[what, source, a, b] = n
+    got = pd.concat(mojibake._odd_pairs(by_source))
+    assert {(r.what, r.source, r.a, r.b): r.n for r in got.itertuples()} == want and len(got) == len(want)
+    assert list(mojibake._odd_pairs({"a": mojibake.Counter()})) == []
+
+
+def test_bytes_of_words():
+    words = mojibake.Counter({"登记abc": 2, "café": 3, "আইন": 1, "x": 5, "\ud800": 1})
+    sums = {}
+    mojibake._count_bytes(words, sums)
+    for what, page in (("utf8", "utf-8"), ("legacy", "cp1252"), ("double", "gbk")):
+        want = mojibake.Counter()
+        for w, n in words.items():
+            raw = w.encode(page, "ignore")
+            if what == "double" and "登" not in w or what == "legacy" and len(raw) < len(w):
+                continue
+            line = b" " + raw + b" "
+            for a, b in zip(line, line[1:]):
+                want[a * 256 + b] += n
+        assert {int(i): int(sums[what][i]) for i in sums[what].nonzero()[0]} == want
+    assert sums["utf8-3"][ord("\xe7") * 256 + "登记".encode()[3]] == 2
+
+
 def test_tokens_are_parted_by_ascii_blanks_only():
     assert [w for w in mojibake.tokens(" a\t\tb\xa0c\n d \x0b\x0ce\r\n") if w] == ["a", "b\xa0c", " d", "e"]
     assert list(map(mojibake._Odd().__getitem__, ["abc", "what??", "a???", "Ã©t", "আইন"])) == [False, False, True, True, False]
